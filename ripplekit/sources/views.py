@@ -29,8 +29,8 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     return dim(spark, d, "nation").select(F.col("n_name").alias("unit"))
 
 
-def ev(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+def ev(spark: SparkSession, d: str, priority: str = "1-URGENT") -> DataFrame:
+    o = table(spark, d, "orders").where(F.col("o_orderpriority") == priority)
     c = table(spark, d, "customer")
     n = dim(spark, d, "nation")
     r = dim(spark, d, "region")
@@ -43,6 +43,18 @@ def ev(spark: SparkSession, d: str) -> DataFrame:
                      c.c_name.alias("notes")))
 
 
+def evall(spark: SparkSession, d: str) -> DataFrame:
+    """Multi-source event table (role of the unioned protest sources)."""
+    e = ev(spark, d)
+    return e.select("event_id", "day", F.col("unit").alias("region"), F.col("actor").alias("type"),
+                    "location", "notes",
+                    F.when(F.col("location").isin("MACHINERY", "BUILDING", "AUTOMOBILE"), "acled")
+                     .otherwise("gpreg").alias("source"),
+                    F.col("size").alias("size_pre"),
+                    F.when(F.col("actor") == "P", F.lit(None).cast("double"))
+                     .otherwise(F.col("size") / 2).alias("size_post"))
+
+
 def _lineitem_units(spark: SparkSession, d: str, cols) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_suppkey", *cols)
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
@@ -130,6 +142,16 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
       FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
         JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
       WHERE o.o_orderpriority = '1-URGENT'"""),
+    "ev2": ((), f"""SELECT o.o_orderkey AS event_id, CAST(o.o_orderdate AS DATE) AS day, n.n_name AS unit,
+        r.r_name AS area, o.o_orderstatus AS actor, c.c_mktsegment AS location, o.o_totalprice AS size,
+        c.c_name AS notes
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+        JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+      WHERE o.o_orderpriority = '2-HIGH'"""),
+    "evall": (("ev",), """SELECT event_id, day, unit AS region, actor AS type, location, notes,
+        CASE WHEN location IN ('MACHINERY', 'BUILDING', 'AUTOMOBILE') THEN 'acled' ELSE 'gpreg' END AS source,
+        size AS size_pre, CASE WHEN actor = 'P' THEN NULL ELSE size / 2 END AS size_post
+      FROM ev"""),
     "cnt": ((), """SELECT n.n_name AS unit, CAST(l.l_shipdate AS DATE) AS day,
         CASE WHEN l.l_linestatus = 'O' THEN 'online' ELSE 'print' END AS medium,
         CASE l.l_returnflag WHEN 'A' THEN 'protest' WHEN 'R' THEN 'goal' ELSE 'not_protest' END AS dim,
