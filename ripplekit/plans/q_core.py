@@ -45,9 +45,9 @@ EVENT_LIFT_SQL = """
 SELECT unit,
   SUM(occ_protest) AS event_days,
   SUM(CASE WHEN y7 IS NOT NULL THEN 1 ELSE 0 END) AS n_days,
-  ROUND(AVG(CASE WHEN occ_protest = 1 THEN y7 END), 6) AS mean_event,
-  ROUND(AVG(CASE WHEN occ_protest = 0 THEN y7 END), 6) AS mean_other,
-  ROUND(AVG(CASE WHEN occ_protest = 1 THEN y7 END) - AVG(CASE WHEN occ_protest = 0 THEN y7 END), 6) AS lift
+  ROUND(AVG(CASE WHEN occ_protest = 1 THEN y7 END), 9) AS mean_event,
+  ROUND(AVG(CASE WHEN occ_protest = 0 THEN y7 END), 9) AS mean_other,
+  ROUND(AVG(CASE WHEN occ_protest = 1 THEN y7 END) - AVG(CASE WHEN occ_protest = 0 THEN y7 END), 9) AS lift
 FROM y GROUP BY unit"""
 
 
@@ -60,8 +60,8 @@ def _event_lift(spark, d, step: int = 7):
     return p.groupBy("unit").agg(
         F.sum("occ_protest").cast("long").alias("event_days"),
         F.sum(F.when(F.col("y7").isNotNull(), 1).otherwise(0)).cast("long").alias("n_days"),
-        F.round(me, 6).alias("mean_event"), F.round(mo, 6).alias("mean_other"),
-        F.round(me - mo, 6).alias("lift"))
+        F.round(me, 9).alias("mean_event"), F.round(mo, 9).alias("mean_other"),
+        F.round(me - mo, 9).alias("lift"))
 
 
 # The flagship: one shuffle for the daily aggregates, one for the unit windows.

@@ -33,18 +33,18 @@ def event_flags(spark, d):
 
 
 @query("source_select", views=("evall",), sql="""
-SELECT 'acled' AS mode, event_id, ROUND(size_post, 6) AS size FROM evall WHERE source = 'acled'
-UNION ALL SELECT 'gpreg', event_id, ROUND(size_pre, 6) FROM evall WHERE source = 'gpreg' AND region IS DISTINCT FROM 'NATION_3'
-UNION ALL SELECT 'mean', event_id, ROUND(CASE WHEN size_post IS NULL THEN size_pre ELSE (size_pre + size_post) / 2 END, 6) FROM evall
-UNION ALL SELECT 'difference', event_id, ROUND(size_pre, 6) FROM evall WHERE source = 'gpreg' AND size_pre > 0 AND size_post > 0
-UNION ALL SELECT 'all', event_id, ROUND(size_pre, 6) FROM evall""")
+SELECT 'acled' AS mode, event_id, ROUND(size_post, 9) AS size FROM evall WHERE source = 'acled'
+UNION ALL SELECT 'gpreg', event_id, ROUND(size_pre, 9) FROM evall WHERE source = 'gpreg' AND region IS DISTINCT FROM 'NATION_3'
+UNION ALL SELECT 'mean', event_id, ROUND(CASE WHEN size_post IS NULL THEN size_pre ELSE (size_pre + size_post) / 2 END, 9) FROM evall
+UNION ALL SELECT 'difference', event_id, ROUND(size_pre, 9) FROM evall WHERE source = 'gpreg' AND size_pre > 0 AND size_post > 0
+UNION ALL SELECT 'all', event_id, ROUND(size_pre, 9) FROM evall""")
 def source_select(spark, d):
     e = V.evall(spark, d)
     parts = []
     for mode in ["acled", "gpreg", "mean", "difference", "all"]:
         s = select_source(e, mode, excluded_region="NATION_3")
         size = "size" if "size" in s.columns else "size_pre"
-        parts.append(s.select(F.lit(mode).alias("mode"), "event_id", F.round(size, 6).alias("size")))
+        parts.append(s.select(F.lit(mode).alias("mode"), "event_id", F.round(size, 9).alias("size")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
