@@ -1,3 +1,412 @@
-"""Query plans."""
+"""Aggregations A4-A40 on the fixture views."""
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.stats import t_ppf
+from ..operators import aggregates as A
+from ..operators import windows as W
+from ..operators.joins import event_window
+from ..sources import views as V
+from ..sources.tables import table
+from .registry import query
+
+YEARS = list(range(1995, 2002))
+
+
+@query("pivot_city_year", views=("ev",), sql="SELECT unit, " + ", ".join(
+    f"CAST(SUM(CASE WHEN year(day) = {y} THEN 1 ELSE 0 END) AS BIGINT) AS y{y}" for y in YEARS) +
+    " FROM ev GROUP BY unit")
+def pivot_city_year(spark, d):
+    e = V.ev(spark, d).withColumn("year", F.year("day"))
+    return A.count_pivot(e, ["unit"], "year", YEARS, prefix="y")
+
+
+@query("availability_flag", views=("panel",), sql="""
+SELECT unit, year(day) AS year, COALESCE(AVG(media_online_protest) > 6.5, FALSE) AS available FROM panel GROUP BY 1, 2""")
+def availability_flag(spark, d):
+    p = V.panel(spark, d)
+    return p.groupBy("unit", F.year("day").alias("year")).agg(A.availability("media_online_protest", 6.5).alias("available"))
+
+
+@query("totals_row", views=("ev",), sql="""
+SELECT COALESCE(unit, 'Total') AS unit, COUNT(*) AS n_events, ROUND(SUM(size), 2) AS total_size
+FROM ev GROUP BY ROLLUP (unit)""")
+def totals_row(spark, d):
+    return A.with_total_row(V.ev(spark, d), "unit",
+                            [F.count(F.lit(1)).alias("n_events"), F.round(F.sum("size"), 2).alias("total_size")])
+
+
+@query("top10_weights", views=("ev",), sql="""
+WITH c AS (SELECT unit, notes, COUNT(*) AS n FROM ev GROUP BY 1, 2),
+ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY unit ORDER BY n DESC, notes) AS rank FROM c)
+SELECT unit, notes, n, rank, ROUND(n / SUM(n) OVER (PARTITION BY unit), 9) AS share FROM r WHERE rank <= 10""".replace(
+    "WITH c AS", ", c AS"))
+def top10_weights(spark, d):
+    t = A.top_k_shares(V.ev(spark, d), ["unit"], "notes", 10)
+    return t.withColumn("share", F.round("share", 9)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("distinct_counts", views=("ev",), sql="""
+SELECT unit, COUNT(DISTINCT actor) AS n_actors, COUNT(DISTINCT location) AS n_locations, COUNT(DISTINCT day) AS n_days
+FROM ev GROUP BY unit""")
+def distinct_counts(spark, d):
+    return V.ev(spark, d).groupBy("unit").agg(F.countDistinct("actor").alias("n_actors"),
+                                              F.countDistinct("location").alias("n_locations"),
+                                              F.countDistinct("day").alias("n_days"))
+
+
+@query("having_min", views=("ev",), sql="""
+SELECT unit, actor, COUNT(*) AS n FROM ev GROUP BY 1, 2 HAVING COUNT(*) >= 40""")
+def having_min(spark, d):
+    return V.ev(spark, d).groupBy("unit", "actor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 40)
+
+
+@query("resample_week", views=("panel",), sql="""
+SELECT unit, CAST(date_trunc('week', day) AS DATE) + 6 AS week_end, CAST(SUM(media_online_protest) AS BIGINT) AS media,
+  CAST(SUM(occ_protest) AS BIGINT) AS event_days, ROUND(AVG(media_print_goal), 9) AS mean_goal FROM panel GROUP BY 1, 2""")
+def resample_week(spark, d):
+    p = V.panel(spark, d)
+    return p.groupBy("unit", A.week_end_sunday("day").alias("week_end")).agg(
+        F.sum("media_online_protest").alias("media"), F.sum("occ_protest").cast("long").alias("event_days"),
+        F.round(F.avg("media_print_goal"), 9).alias("mean_goal"))
+
+
+@query("resample_month", views=("panel",), sql="""
+SELECT unit, last_day(day) AS month_end, CAST(SUM(media_online_protest) AS BIGINT) AS media,
+  COUNT(*) AS n_days FROM panel GROUP BY 1, 2""")
+def resample_month(spark, d):
+    p = V.panel(spark, d)
+    return p.groupBy("unit", F.last_day("day").alias("month_end")).agg(
+        F.sum("media_online_protest").alias("media"), F.count(F.lit(1)).alias("n_days"))
+
+
+@query("resample_quarter", views=("panel",), sql="""
+SELECT unit, year(day) AS year, CAST(floor(month(day) / 3) * 3 AS INTEGER) AS quarter_label,
+  CAST(SUM(media_online_protest) AS BIGINT) AS media FROM panel GROUP BY 1, 2, 3""")
+def resample_quarter(spark, d):
+    p = V.panel(spark, d)
+    return p.groupBy("unit", F.year("day").alias("year"), A.reference_quarter_label("day").alias("quarter_label")) \
+            .agg(F.sum("media_online_protest").alias("media"))
+
+
+@query("quantiles", views=("ev",), sql="""
+SELECT unit, ROUND(quantile_cont(size, 0.25), 6) AS p25, ROUND(median(size), 6) AS p50,
+  ROUND(quantile_cont(size, 0.75), 6) AS p75 FROM ev GROUP BY unit""")
+def quantiles(spark, d):
+    return V.ev(spark, d).groupBy("unit").agg(
+        F.round(F.percentile("size", 0.25), 6).alias("p25"), F.round(F.median("size"), 6).alias("p50"),
+        F.round(F.percentile("size", 0.75), 6).alias("p75"))
+
+
+@query("source_quality", sql="""
+SELECT source, ROUND(AVG(CASE WHEN n_chars <= 1000 THEN 1.0 ELSE 0.0 END), 9) AS share_short,
+  ROUND(STDDEV_SAMP(n_chars), 6) AS sd_chars FROM documents GROUP BY source
+HAVING AVG(CASE WHEN n_chars <= 1000 THEN 1.0 ELSE 0.0 END) < 0.5 AND STDDEV_SAMP(n_chars) > 1000""")
+def source_quality(spark, d):
+    t = table(spark, d, "documents")
+    share = F.avg(F.when(F.col("n_chars") <= 1000, 1.0).otherwise(0.0))
+    return t.groupBy("source").agg(share.alias("s"), F.stddev_samp("n_chars").alias("sd")) \
+            .where((F.col("s") < 0.5) & (F.col("sd") > 1000)) \
+            .select("source", F.round("s", 9).alias("share_short"), F.round("sd", 6).alias("sd_chars"))
+
+
+@query("weighted_mean", views=("ev", "instr"), sql="""
+WITH w AS (SELECT unit, area, COUNT(*) * 1.0 / SUM(COUNT(*)) OVER (PARTITION BY area) AS w FROM ev GROUP BY unit, area)
+SELECT w.area, i.day, ROUND(SUM(i.weather_tax * w.w) / SUM(CASE WHEN i.weather_tax IS NOT NULL THEN w.w END), 9) AS tax
+FROM instr i JOIN w ON i.unit = w.unit GROUP BY 1, 2""".replace("WITH w AS", ", w AS"))
+def weighted_mean(spark, d):
+    w = V.ev(spark, d).groupBy("unit", "area").agg(F.count(F.lit(1)).alias("n"))
+    w = w.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("area")))
+    i = V.instr(spark, d)
+    return i.join(w.select("unit", "area", "w"), "unit").groupBy("area", "day") \
+            .agg(F.round(A.masked_weighted_mean("weather_tax", "w"), 9).alias("tax"))
+
+
+@query("wald_screen", views=("panelz",), sql=" UNION ALL ".join(f"""
+SELECT '{z}' AS instrument, ROUND(corr({z}, occ_protest), 9) AS corr_treatment,
+  ROUND(corr({z}, media_online_protest), 9) AS corr_outcome,
+  ROUND(covar_samp({z}, media_online_protest) / covar_samp({z}, occ_protest), 9) AS wald, COUNT({z}) AS n FROM panelz"""
+    for z in V.INSTR_COLS))
+def wald_screen(spark, d):
+    p = V.panel(spark, d, with_instruments=True)
+    r = A.instrument_screen(p, V.INSTR_COLS, "occ_protest", "media_online_protest")
+    return r.select("instrument", *[F.round(c, 9).alias(c) for c in ["corr_treatment", "corr_outcome", "wald"]], "n")
+
+
+@query("row_stats", views=("panelz",), sql="""
+SELECT unit, day, GREATEST(occ_F, occ_O, occ_P) AS any_actor,
+  ROUND(CASE WHEN weather_tax IS NULL AND weather_discount IS NULL THEN NULL
+    ELSE (COALESCE(weather_tax, 0) + COALESCE(weather_discount, 0)) /
+         ((CASE WHEN weather_tax IS NULL THEN 0 ELSE 1 END) + (CASE WHEN weather_discount IS NULL THEN 0 ELSE 1 END)) END, 9) AS mean_z,
+  media_online_protest + media_print_protest AS media_sum FROM panelz""")
+def row_stats(spark, d):
+    from ..operators.events import row_mean
+    p = V.panel(spark, d, with_instruments=True)
+    return p.select("unit", "day", F.greatest("occ_F", "occ_O", "occ_P").alias("any_actor"),
+                    F.round(row_mean("weather_tax", "weather_discount"), 9).alias("mean_z"),
+                    A.sum_cols("media_online_protest", "media_print_protest").alias("media_sum"))
+
+
+_PAIRS = [(a, b) for i, a in enumerate(V.MEDIA_COLS) for b in V.MEDIA_COLS[i + 1:]]
+
+
+@query("corr_matrix", views=("panel",), sql=" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, ROUND(corr({a}, {b}), 9) AS corr FROM panel" for a, b in _PAIRS))
+def corr_matrix(spark, d):
+    r = A.corr_pairs(V.panel(spark, d), V.MEDIA_COLS)
+    return r.withColumn("corr", F.round("corr", 9))
+
+
+def _window_effects(spark, d):
+    """Effect stand-in: event-window outcome minus the event's pre-period mean."""
+    p = V.panel(spark, d).select("unit", "day", "occ_protest", "media_online_protest")
+    ev = p.where("occ_protest = 1").select("unit", "day")
+    win = event_window(ev, p, 7, 7, cols=["media_online_protest"])
+    pre = F.avg(F.when(F.col("rel_day") < 0, F.col("media_online_protest"))).over(
+        Window.partitionBy("unit", "event_day"))
+    return win.withColumn("effect", F.col("media_online_protest") - pre)
+
+
+@query("effect_summary")
+def effect_summary(spark, d):
+    s = A.effect_summary(_window_effects(spark, d), ["rel_day"], "effect")
+    return s.select("rel_day", "n", *[F.round(c, 6).alias(c) for c in ["mean", "ci_lower", "ci_upper", "rmse", "mae"]])
+
+
+@query("fold_metric_stats", views=("panel",), sql="""
+WITH f AS (SELECT unit, ('0x' || substr(md5('7|' || CAST(day AS VARCHAR)), 1, 8))::BIGINT % 5 AS fold,
+  AVG(media_online_protest) AS m FROM panel GROUP BY 1, 2)
+SELECT unit, ROUND(AVG(m), 9) AS mean_over_folds, ROUND(STDDEV_POP(m), 9) AS std_over_folds FROM f GROUP BY unit""".replace(
+    "WITH f AS", ", f AS"))
+def fold_metric_stats(spark, d):
+    from ..operators.sampling import hash_fold
+    p = V.panel(spark, d).withColumn("fold", hash_fold(F.col("day").cast("string"), 5, seed=7))
+    f = p.groupBy("unit", "fold").agg(F.avg("media_online_protest").alias("m"))
+    return f.groupBy("unit").agg(F.round(F.avg("m"), 9).alias("mean_over_folds"),
+                                 F.round(F.stddev_pop("m"), 9).alias("std_over_folds"))
+
+
+@query("argmin_bias", views=("panel",), sql="""
+WITH b AS (SELECT unit, k, AVG(x) AS bias FROM (
+   SELECT unit, 1 AS k, media_online_protest - LAG(media_online_protest, 1) OVER (PARTITION BY unit ORDER BY day) AS x FROM panel
+   UNION ALL SELECT unit, 7, media_online_protest - LAG(media_online_protest, 7) OVER (PARTITION BY unit ORDER BY day) FROM panel
+   UNION ALL SELECT unit, 28, media_online_protest - LAG(media_online_protest, 28) OVER (PARTITION BY unit ORDER BY day) FROM panel)
+  GROUP BY 1, 2)
+SELECT unit, arg_min(k, (abs(bias), k)) AS best_k, ROUND(arg_min(bias, (abs(bias), k)), 9) AS best_bias FROM b GROUP BY unit""".replace(
+    "WITH b AS", ", b AS"))
+def argmin_bias(spark, d):
+    p = V.panel(spark, d).select("unit", "day", "media_online_protest")
+    p = p.withColumns({f"x{k}": W.diff("media_online_protest", k) for k in (1, 7, 28)})
+    long = p.unpivot(["unit"], ["x1", "x7", "x28"], "kk", "x") \
+            .withColumn("k", F.regexp_extract("kk", r"(\d+)", 1).cast("int"))
+    b = long.groupBy("unit", "k").agg(F.avg("x").alias("bias"))
+    best = F.min_by(F.struct("k", "bias"), F.struct(F.abs("bias"), F.col("k")))
+    return b.groupBy("unit").agg(best.alias("b")).select("unit", F.col("b.k").alias("best_k"),
+                                                         F.round("b.bias", 9).alias("best_bias"))
+
+
+_CONF_SQL = """
+  CAST(SUM(CASE WHEN t = 1 AND p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+  CAST(SUM(CASE WHEN t = 0 AND p = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(SUM(CASE WHEN t = 1 AND p = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+  CAST(SUM(CASE WHEN t = 0 AND p = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn"""
+
+
+def _conf_round(df):
+    return df.select(*[F.round(c, 9).alias(c) if c in ("precision", "recall", "f1", "macro_f1") else F.col(c)
+                       for c in df.columns])
+
+
+_CONF_OUT = """SELECT {keys} tp, fp, fn, tn, ROUND(tp / NULLIF(tp + fp, 0), 9) AS precision,
+  ROUND(tp / NULLIF(tp + fn, 0), 9) AS recall, ROUND(2 * tp / NULLIF(2 * tp + fp + fn, 0), 9) AS f1,
+  ROUND((COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0) + COALESCE(2 * tn / NULLIF(2 * tn + fn + fp, 0), 0)) / 2, 9) AS macro_f1"""
+
+
+@query("confusion", sql=f"""
+WITH x AS (SELECT d.lang, l.quality AS t, CASE WHEN d.n_chars > 2000 THEN 1 ELSE 0 END AS p
+           FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+ c AS (SELECT lang, {_CONF_SQL} FROM x GROUP BY lang)
+{_CONF_OUT.format(keys="lang,")} FROM c""")
+def confusion(spark, d):
+    x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id") \
+        .select("lang", F.col("quality").alias("t"), (F.col("n_chars") > 2000).cast("int").alias("p"))
+    return _conf_round(x.groupBy("lang").agg(*A.confusion("t", "p")))
+
+
+@query("allpos_f1", views=("panel",), sql="""
+SELECT unit, ROUND(2 * AVG(occ_protest) / (1 + AVG(occ_protest)), 9) AS f1_all_positive FROM panel GROUP BY unit""")
+def allpos_f1(spark, d):
+    return V.panel(spark, d).groupBy("unit").agg(
+        F.round(A.all_positive_f1(F.avg("occ_protest")), 9).alias("f1_all_positive"))
+
+
+THRESH = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+@query("threshold_sweep", sql=f"""
+WITH x AS (SELECT l.quality AS t, d.n_chars / MAX(d.n_chars) OVER () AS score
+           FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+ c AS (SELECT th AS threshold, {_CONF_SQL.replace("p = 1", "score >= th").replace("p = 0", "score < th")}
+       FROM x, (VALUES {", ".join(f"(CAST({t} AS DOUBLE))" for t in THRESH)}) v(th) GROUP BY th)
+{_CONF_OUT.format(keys="threshold,")} FROM c""")
+def threshold_sweep(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    mx = docs.agg(F.max("n_chars")).first()[0]
+    x = table(spark, d, "labels").join(docs, "doc_id").select(
+        F.col("quality").alias("t"), (F.col("n_chars") / F.lit(float(mx))).alias("score"))
+    return _conf_round(A.threshold_sweep(x, "t", "score", THRESH))
+
+
+@query("calibration", sql="""
+WITH x AS (SELECT l.quality AS t, d.n_chars / MAX(d.n_chars) OVER () AS score
+           FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+SELECT CAST(LEAST(floor(score * 10), 9) AS BIGINT) AS bin, COUNT(*) AS n, ROUND(AVG(t), 9) AS rate,
+  ROUND(AVG(score), 9) AS mean_score FROM x GROUP BY 1""".replace("WITH x AS", ", x AS"))
+def calibration(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    mx = docs.agg(F.max("n_chars")).first()[0]
+    x = table(spark, d, "labels").join(docs, "doc_id").select(
+        F.col("quality").alias("t"), (F.col("n_chars") / F.lit(float(mx))).alias("score"))
+    return x.groupBy(F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("long").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("t"), 9).alias("rate"), F.round(F.avg("score"), 9).alias("mean_score"))
+
+
+@query("event_time_mean", views=("panel",), sql="""
+SELECT g.r AS rel_day, ROUND(AVG(p.media_online_protest), 9) AS mean_media, CAST(SUM(p.media_online_protest) AS BIGINT) AS sum_media,
+  COUNT(*) AS n FROM panel e, range(-7, 7) g(r), panel p
+WHERE e.occ_protest = 1 AND p.unit = e.unit AND p.day = e.day + CAST(g.r AS INTEGER) GROUP BY 1""")
+def event_time_mean(spark, d):
+    p = V.panel(spark, d).select("unit", "day", "occ_protest", "media_online_protest")
+    win = event_window(p.where("occ_protest = 1").select("unit", "day"), p, 7, 7, cols=["media_online_protest"])
+    return win.groupBy(F.col("rel_day").cast("long").alias("rel_day")).agg(
+        F.round(F.avg("media_online_protest"), 9).alias("mean_media"),
+        F.sum("media_online_protest").alias("sum_media"), F.count(F.lit(1)).alias("n"))
+
+
+@query("mixed_day_agg", views=("panelz",), sql="""
+SELECT day, ROUND(AVG(weather_tax), 9) AS mean_tax, CAST(SUM(n_events) AS BIGINT) AS events,
+  CAST(SUM(media_online_protest) AS BIGINT) AS media FROM panelz GROUP BY day""")
+def mixed_day_agg(spark, d):
+    p = V.panel(spark, d, with_instruments=True)
+    return p.groupBy("day").agg(F.round(F.avg("weather_tax"), 9).alias("mean_tax"),
+                                F.sum("n_events").cast("long").alias("events"),
+                                F.sum("media_online_protest").alias("media"))
+
+
+@query("national_series", views=("panel",), sql="""
+SELECT day, MAX(occ_protest) AS occ_protest, CAST(SUM(media_online_protest) AS BIGINT) AS media_online_protest,
+  CAST(SUM(media_print_protest) AS BIGINT) AS media_print_protest FROM panel GROUP BY day""")
+def national_series(spark, d):
+    p = V.panel(spark, d)
+    return p.groupBy("day").agg(F.max("occ_protest").alias("occ_protest"),
+                                F.sum("media_online_protest").alias("media_online_protest"),
+                                F.sum("media_print_protest").alias("media_print_protest"))
+
+
+@query("positives_by_source", sql="""
+SELECT d.source, COUNT(*) AS n, CAST(SUM(l.quality) AS BIGINT) AS positives FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+GROUP BY d.source ORDER BY positives DESC, d.source LIMIT 15""")
+def positives_by_source(spark, d):
+    x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return x.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("positives")) \
+            .orderBy(F.col("positives").desc(), "source").limit(15)
+
+
+@query("start_year_survivors", views=("cnt",), sql="""
+WITH m AS (SELECT unit, year(day) AS year, month(day) AS month, CAST(SUM(n) AS BIGINT) AS monthly FROM cnt GROUP BY 1, 2, 3)
+SELECT year, CAST(SUM(monthly) AS BIGINT) AS total, COUNT(DISTINCT CASE WHEN monthly >= 150 THEN unit END) AS units_150
+FROM m GROUP BY year""".replace("WITH m AS", ", m AS"))
+def start_year_survivors(spark, d):
+    m = V.cnt(spark, d).groupBy("unit", F.year("day").alias("year"), F.month("day").alias("month")) \
+        .agg(F.sum("n").alias("monthly"))
+    return m.groupBy("year").agg(F.sum("monthly").alias("total"),
+                                 F.countDistinct(F.when(F.col("monthly") >= 150, F.col("unit"))).alias("units_150"))
+
+
+@query("location_agg", views=("ev",), sql="""
+SELECT location, ROUND(SUM(size), 2) AS total_size, ROUND(ln(SUM(size)), 9) AS log_total, ROUND(AVG(size), 6) AS mean_size,
+  COUNT(*) AS n FROM ev GROUP BY location""")
+def location_agg(spark, d):
+    return V.ev(spark, d).groupBy("location").agg(
+        F.round(F.sum("size"), 2).alias("total_size"), F.round(F.log(F.sum("size")), 9).alias("log_total"),
+        F.round(F.avg("size"), 6).alias("mean_size"), F.count(F.lit(1)).alias("n"))
+
+
+@query("log_means", views=("ev",), sql="""
+SELECT unit, ROUND(AVG(log2(size)), 9) AS mean_log2, ROUND(STDDEV_SAMP(log2(size)), 9) AS sd_log2,
+  ROUND(pow(2, AVG(log2(size))), 6) AS geo_mean FROM ev GROUP BY unit""")
+def log_means(spark, d):
+    return V.ev(spark, d).groupBy("unit").agg(
+        F.round(F.avg(F.log2("size")), 9).alias("mean_log2"), F.round(F.stddev_samp(F.log2("size")), 9).alias("sd_log2"),
+        F.round(F.pow(F.lit(2.0), F.avg(F.log2("size"))), 6).alias("geo_mean"))
+
+
+@query("mean_per_site", sql="""
+SELECT source, lang, ROUND(AVG(n_chars), 9) AS mean_chars, COUNT(*) AS n FROM documents GROUP BY 1, 2""")
+def mean_per_site(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(
+        F.round(F.avg("n_chars"), 9).alias("mean_chars"), F.count(F.lit(1)).alias("n"))
+
+
+@query("overview_table", views=("ev",), sql="""
+WITH c AS (SELECT unit, COUNT(*) AS n FROM ev WHERE actor = 'P' AND location = 'AUTOMOBILE' GROUP BY unit),
+ a AS (SELECT c.unit, c.n FROM c UNION ALL SELECT n_name, NULL FROM nation WHERE n_name NOT IN (SELECT unit FROM c))
+SELECT unit, CASE WHEN n IS NULL THEN '–' ELSE format('{:,}', n * 1000) END AS events_k,
+  CASE WHEN n >= 10 THEN '✓' ELSE '' END AS available FROM a""".replace("WITH c AS", ", c AS"))
+def overview_table(spark, d):
+    c = V.ev(spark, d).where((F.col("actor") == "P") & (F.col("location") == "AUTOMOBILE")) \
+        .groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    missing = V.units(spark, d).join(c.select("unit"), "unit", "left_anti").withColumn("n", F.lit(None).cast("long"))
+    a = c.unionByName(missing)
+    return a.select("unit", F.when(F.col("n").isNull(), "–").otherwise(F.format_number(F.col("n") * 1000, 0)).alias("events_k"),
+                    F.when(F.col("n") >= 10, "✓").otherwise("").alias("available"))
+
+
+@query("histogram", views=("ev",), sql="""
+SELECT CASE WHEN size < 0 THEN 0 WHEN size >= 600000 THEN 11 ELSE CAST(floor(size / 60000.0) AS BIGINT) + 1 END AS bucket,
+  COUNT(*) AS n FROM ev GROUP BY 1""")
+def histogram(spark, d):
+    return V.ev(spark, d).groupBy(A.width_bucket("size", 0.0, 600000.0, 10).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("word_count_summary", sql="""
+SELECT lang, COUNT(*) AS n, MIN(w) AS min_words, MAX(w) AS max_words, ROUND(AVG(w), 9) AS mean_words,
+  quantile_cont(w, 0.5) AS median_words FROM (SELECT lang, len(string_split(text, ' ')) AS w FROM documents) GROUP BY lang""")
+def word_count_summary(spark, d):
+    w = table(spark, d, "documents").select("lang", F.size(F.split("text", " ")).alias("w"))
+    return w.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("w").cast("bigint").alias("min_words"),
+                                 F.max("w").cast("bigint").alias("max_words"), F.round(F.avg("w"), 9).alias("mean_words"),
+                                 F.median("w").alias("median_words"))
+
+
+@query("monthly_source_counts", views=("evlog",), sql="""
+SELECT event_type, CAST(date_trunc('month', day) AS DATE) AS month, CASE WHEN day(day) <= 15 THEN 'H1' ELSE 'H2' END AS half,
+  CAST(date_trunc('week', day) AS DATE) AS week, COUNT(*) AS n FROM evlog GROUP BY 1, 2, 3, 4""")
+def monthly_source_counts(spark, d):
+    e = V.evlog(spark, d)
+    return e.groupBy("event_type", F.trunc("day", "month").alias("month"),
+                     F.when(F.dayofmonth("day") <= 15, "H1").otherwise("H2").alias("half"),
+                     F.date_trunc("week", "day").cast("date").alias("week")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stem_pivot", sql="""
+WITH w AS (SELECT lang, source, unnest(string_split(lower(text), ' ')) AS word FROM documents)
+SELECT lang, CAST(SUM(CASE WHEN contains(word, 'tion') THEN 1 ELSE 0 END) AS BIGINT) AS stem_tion,
+  CAST(SUM(CASE WHEN contains(word, 'ung') THEN 1 ELSE 0 END) AS BIGINT) AS stem_ung,
+  CAST(SUM(CASE WHEN contains(word, 'the') THEN 1 ELSE 0 END) AS BIGINT) AS stem_the FROM w GROUP BY lang""".replace(
+    "WITH w AS", ", w AS"))
+def stem_pivot(spark, d):
+    w = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return w.groupBy("lang").agg(*[F.sum(F.when(F.col("word").contains(s), 1).otherwise(0)).cast("long").alias(f"stem_{s}")
+                                   for s in ("tion", "ung", "the")])
+
+
+@query("text_per_day", views=("evlog",), sql="""
+SELECT user_id, day, string_agg(event_type, chr(10) || chr(10) ORDER BY ts, event_id) AS text FROM evlog GROUP BY 1, 2""")
+def text_per_day(spark, d):
+    e = V.evlog(spark, d)
+    s = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return e.groupBy("user_id", "day").agg(F.array_join(F.transform(s, lambda x: x["event_type"]), "\n\n").alias("text"))
