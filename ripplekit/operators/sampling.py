@@ -101,18 +101,27 @@ def _global_index(df: DataFrame, order_cols, name: str = "_idx") -> DataFrame:
                 .drop("_pid", "_lrn", "_off")
 
 
-def placebo_events(units_weights: DataFrame, n: int, start: str, n_days: int, seed, unit: str = "unit",
+def placebo_events(units_weights: DataFrame, ids: DataFrame, start: str, n_days: int, seed, unit: str = "unit",
                    weight: str = "w") -> DataFrame:
-    """N placebo events: uniform date in [start, start + n_days) and a
-    region drawn with probability ∝ weight (cumulative-weight lookup as a
-    range-bucket equi-join on the small weight table)."""
-    spark = units_weights.sparkSession
+    """One placebo event per id: uniform date in [start, start + n_days)
+    and a unit drawn with probability ∝ weight (cumulative-weight lookup
+    against the unit weight table, one row per unit, broadcast)."""
     w = units_weights.select(unit, weight)
     total = Window.orderBy(unit).rowsBetween(Window.unboundedPreceding, 0)
     cw = w.withColumn("_hi", F.sum(weight).over(total) / F.sum(weight).over(Window.partitionBy())) \
           .withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy(unit)), F.lit(0.0)))
-    draws = spark.range(n).select(F.col("id").alias("placebo_id"),
+    draws = ids.select(F.col("id").alias("placebo_id"),
                                   hash_uniform(F.col("id"), f"{seed}|u").alias("_u"),
                                   (hash_int(F.col("id"), f"{seed}|d") % n_days).alias("_dd"))
     j = draws.join(F.broadcast(cw), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
     return j.select("placebo_id", unit, F.date_add(F.to_date(F.lit(start)), F.col("_dd").cast("int")).alias("day"))
+
+
+def index_within_group(df: DataFrame, group: str, order_cols, name: str = "pos") -> DataFrame:
+    """1-based position of each row inside its group in ``order_cols`` order,
+    computed from a global range-partitioned index minus the group's first
+    index (an aggregate + broadcast-free join).  A hot group is spread over
+    many range partitions instead of one window task."""
+    g = _global_index(df, [group, *order_cols], "_gidx")
+    first = g.groupBy(group).agg(F.min("_gidx").alias("_g0"))
+    return g.join(first, group).withColumn(name, F.col("_gidx") - F.col("_g0") + 1).drop("_gidx", "_g0")
