@@ -70,31 +70,28 @@ def sentences(text) -> Column:
     return F.regexp_extract_all(t, F.lit(SENTENCE), 0)
 
 
-def kwic(text, pattern: str, n: int = 0, gap: str = "\n...\n") -> Column:
+def kwic(df: DataFrame, text: str, pattern: str, n: int = 0, out: str = "kwic", gap: str = "\n...\n") -> DataFrame:
     """Sentences matching ``pattern`` plus ``n`` neighbours each side,
     concatenated in order; every run of kept sentences is preceded by ``gap``.
-    Runs inside the row with higher-order functions (no shuffle)."""
-    s = sentences(text)
-    hits = F.transform(s, lambda x: x.rlike(pattern))
-    n_s = F.size(s)
-    idx = F.sequence(F.lit(0), n_s - 1)
-
-    def keep(i):
-        lo, hi = F.greatest(F.lit(0), i - n), F.least(n_s - 1, i + n)
-        return F.exists(F.sequence(lo, hi), lambda j: F.element_at(hits, j + 1))
-
-    kept = F.transform(idx, lambda i: keep(i))
+    Runs inside the row with higher-order functions (no shuffle).  Each
+    intermediate array is its own projected column, so it is computed once
+    per document rather than once per lambda call."""
+    d = df.withColumn("_s", sentences(text))
+    d = d.withColumn("_h", F.transform("_s", lambda x: x.rlike(pattern)))
+    n_s = F.size("_s")
+    d = d.withColumn("_k", F.transform(
+        F.col("_s"), lambda x, i: F.exists(F.slice("_h", F.greatest(F.lit(1), i + 1 - n), 2 * n + 1 - F.greatest(F.lit(0), n - i)),
+                                           lambda h: h)))
     # the reference also marks out-of-range neighbour -1 as kept when a match
     # lies in the first n sentences; then sentence 0 gets no gap marker
-    if n >= 1:
-        virt = F.exists(F.sequence(F.lit(0), F.least(F.lit(n - 1), n_s - 1)), lambda j: F.element_at(hits, j + 1))
-    else:
-        virt = F.lit(False)
-    prev_kept = lambda i: F.when(i == 0, virt).otherwise(F.element_at(kept, F.greatest(i, F.lit(1))))
-    pieces = F.transform(idx, lambda i: F.when(
-        F.element_at(kept, i + 1),
-        F.concat(F.when(~prev_kept(i), F.lit(gap)).otherwise(F.lit("")), F.element_at(s, i + 1))).otherwise(F.lit("")))
-    return F.when(n_s > 0, F.array_join(pieces, "")).otherwise(F.lit(""))
+    virt = F.exists(F.slice("_h", 1, n), lambda h: h) if n >= 1 else F.lit(False)
+    d = d.withColumn("_v", virt)
+    pieces = F.transform(F.col("_s"), lambda x, i: F.when(
+        F.element_at("_k", i + 1),
+        F.concat(F.when(~F.when(i == 0, F.col("_v")).otherwise(F.element_at("_k", F.greatest(i, F.lit(1)))), F.lit(gap))
+                 .otherwise(F.lit("")), x)).otherwise(F.lit("")))
+    d = d.withColumn(out, F.when(n_s > 0, F.array_join(pieces, "")).otherwise(F.lit("")))
+    return d.drop("_s", "_h", "_k", "_v")
 
 
 def text_history(panel: DataFrame, line: Column, days: int = 30, unit: str = "unit", day: str = "day") -> Column:

@@ -325,7 +325,7 @@ SELECT d.doc_id, COALESCE(x.kw, '') AS kwic FROM documents d LEFT JOIN (
   FROM g WHERE kept GROUP BY doc_id) x ON d.doc_id = x.doc_id""")
 def kwic(spark, d):
     t = table(spark, d, "documents")
-    return t.select("doc_id", C.kwic("text", KWIC_PATTERN, 1).alias("kwic"))
+    return C.kwic(t.select("doc_id", "text"), "text", KWIC_PATTERN, 1).select("doc_id", "kwic")
 
 
 # W17 / F19
