@@ -35,7 +35,7 @@ def logistic_scores(train: DataFrame, score: DataFrame, label: str, features, c:
     model = lr.fit(_assemble(train, features))
     out = model.transform(_assemble(score, features))
     return out.withColumn("propensity", vector_to_array("probability").getItem(1)) \
-              .drop("features", "rawPrediction", "probability", "_const")
+              .drop("features", "rawPrediction", "probability", "prediction", "_const")
 
 
 def cross_fitted_scores(df: DataFrame, label: str, features, fold: str, k: int, **kw) -> DataFrame:

@@ -114,3 +114,34 @@ def scaled_donor_mean(panel: DataFrame, outcome: str, pre: int, post: int, treat
     ratio = F.try_divide(F.avg(F.when(F.col("rel_day") < 0, F.col("y"))).over(w),
                          F.avg(F.when(F.col("rel_day") < 0, F.col("donor_mean"))).over(w))
     return per_day.where(F.col("n_donors") > 0).withColumn("y_synth", F.col("donor_mean") * ratio)
+
+
+def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), treatment: str = "occ_protest",
+            start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
+    """One job for a grid of (pre-period, scaling) configurations:
+    the event panel is built once for the longest pre-period, every event
+    group is replicated per configuration (a generated key, no join) and each
+    (event, config) group is solved on its own rows.  Returns per config the
+    pre-period fit RMSE and the post-period bias / RMSE over all events."""
+    import itertools
+    configs = [f"{p}|{s or 'none'}" for p, s in itertools.product(pres, scales)]
+    long = event_panel(panel, [outcome], max(pres), post, treatment, start, unit, day)
+    long = long.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
+    pre_c = F.split("config", r"\|").getItem(0).cast("int")
+    long = long.where(F.col("rel_day") >= -pre_c)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cfg = pdf["config"].iloc[0]
+        sc = cfg.split("|")[1]
+        out = _solver("nnls", None if sc == "none" else sc, unit)(pdf.drop(columns=["config"]))
+        out["config"] = cfg
+        return out
+
+    schema = SC_SCHEMA.replace("unit string", f"{unit} string") + ", config string"
+    res = long.groupBy(unit, "event_day", "config").applyInPandas(solve, schema)
+    eff = res.withColumn("err", F.col("y") - F.col("y_synth"))
+    return eff.groupBy("config").agg(
+        F.countDistinct(unit, "event_day").alias("events"),
+        F.sqrt(F.avg(F.when(F.col("rel_day") < 0, F.col("err") * F.col("err")))).alias("pre_rmse"),
+        F.avg(F.when(F.col("rel_day") >= 0, F.col("err"))).alias("post_bias"),
+        F.sqrt(F.avg(F.when(F.col("rel_day") >= 0, F.col("err") * F.col("err")))).alias("post_rmse"))

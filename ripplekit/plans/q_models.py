@@ -351,3 +351,147 @@ def donor_pool_size(spark, d):
     j = pool.join(nn, ["event_unit", "day", "donor"], "left")
     return j.groupBy(F.col("event_unit").alias("unit"), "day").agg(
         F.count(F.lit(1)).alias("n_donors"), F.count("_nn").alias("n_non_neighbours"))
+
+
+# C22 / C31 / C45 -----------------------------------------------------------
+@query("pre_period_grid")
+def pre_period_grid(spark, d):
+    return SC.sc_grid(V.panel(spark, d), Y, [7, 14, 28], SC_POST, scales=(None, "demean"), start=V.START)
+
+
+# C30 ------------------------------------------------------------------------
+@query("cv_grid")
+def cv_grid(spark, d):
+    """Ridge / OLS over 5 folds from ONE grouped Gram: train Gram = total −
+    fold Gram; held-out SSE, bias and R² from the fold Gram itself."""
+    import math
+
+    import numpy as np
+    from ..estimators.gram import collect_gram
+    p, xs, ys = design(spark, d)
+    p = p.select(*xs, ys[0], "day").dropna().withColumn("const", F.lit(1.0)) \
+         .withColumn("fold", hash_fold(F.col("day").cast("string"), 5, 2))
+    X = ["const"] + xs
+    G = collect_gram(p, X + [ys[0]], ["fold"])
+    k = len(X)
+    total = sum(m for _, _, m in G.values())
+    rows = []
+    for alpha in (0.0, 1.0, 10.0, 100.0):
+        pen = np.eye(k) * alpha
+        pen[0, 0] = 0.0
+        for (f,), (n, _, mf) in sorted(G.items()):
+            tr = total - mf
+            beta = np.linalg.solve(tr[:k, :k] + pen, tr[:k, k])
+            sse = mf[k, k] - 2 * beta @ mf[:k, k] + beta @ mf[:k, :k] @ beta
+            sy, sx = mf[0, k], mf[0, :k]
+            sst = mf[k, k] - sy * sy / n
+            rows.append((float(alpha), int(f), int(n), math.sqrt(max(sse, 0) / n), float(1 - sse / sst),
+                         float((sy - beta @ sx) / n)))
+    r = spark.createDataFrame(rows, "alpha double, fold int, n int, rmse double, r2 double, bias double")
+    return r.groupBy("alpha").agg(F.avg("rmse").alias("rmse"), F.stddev_pop("rmse").alias("rmse_sd"),
+                                  F.avg("r2").alias("r2"), F.avg("bias").alias("bias"),
+                                  F.stddev_pop("bias").alias("bias_sd"))
+
+
+# C3 / C4 / C39 --------------------------------------------------------------
+@query("size_gap_wls")
+def size_gap_wls(spark, d):
+    """Log-ratio of the two size estimates on asinh instruments, weighted."""
+    e = V.evall(spark, d).where((F.col("size_post") > 0) & (F.col("size_pre") > 0))
+    z = V.instr(spark, d).withColumnRenamed("unit", "region")
+    e = e.join(z, ["region", "day"], "left").withColumns({
+        "gap": F.log10("size_post") - F.log10("size_pre"), "w": F.log10("size_pre"),
+        "z_tax": F.asinh("weather_tax"), "z_disc": F.asinh("weather_discount")})
+    return LN.ols(e, "gap", ["z_tax", "z_disc"], weight="w")
+
+
+@query("ols_placebo_sweep")
+def ols_placebo_sweep(spark, d):
+    """C4: outcome at day+k on the day's treatment for k = -31..30, one grouped
+    Gram for all offsets (offset rows generated by explode, equi-join on day+k)."""
+    from ..operators.joins import offset_lookup
+    p = V.panel(spark, d).select("unit", "day", "occ_protest", Y)
+    o = offset_lookup(p.select("unit", "day"), p, list(range(-31, 31)), Y)
+    j = o.join(p.select("unit", "day", "occ_protest"), ["unit", "day"]) \
+         .withColumn("yk", F.col(Y).cast("double")).withColumn("occ", F.col("occ_protest").cast("double"))
+    r = LN.ols(j, "yk", ["occ"], group=["offset"])
+    return r.where(F.col("predictor") == "occ")
+
+
+@query("shift_timeline")
+def shift_timeline(spark, d):
+    """Size on standardised instrument at day+s, s = -14..14 (grouped)."""
+    from ..operators.joins import offset_lookup
+    t = V.treat(spark, d).select("unit", "day", F.asinh("size_protest").alias("y"))
+    z = V.instr(spark, d)
+    st = z.agg(F.avg("weather_tax").alias("m"), F.stddev_samp("weather_tax").alias("s")).first()
+    zs = z.select("unit", "day", ((F.col("weather_tax") - st["m"]) / st["s"]).alias("z"))
+    o = offset_lookup(t, zs, list(range(-14, 15)), "z").join(t, ["unit", "day"])
+    r = LN.ols(o, "y", ["z"], group=["offset"])
+    return r.where(F.col("predictor") == "z")
+
+
+# C32-C38 --------------------------------------------------------------------
+def _labelled_docs(spark, d):
+    from ..estimators import ml as _ml  # noqa: F401
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    lab = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    return docs.join(lab, "doc_id").withColumn("fold", hash_fold(F.col("doc_id"), 5, 4))
+
+
+@query("text_classifier")
+def text_classifier(spark, d):
+    from ..estimators import ml as M
+    return M.cv_classifier(_labelled_docs(spark, d), "text", "label", "fold", 5, "logistic", n=2)
+
+
+@query("complement_nb")
+def complement_nb(spark, d):
+    from ..estimators import ml as M
+    return M.cv_classifier(_labelled_docs(spark, d), "text", "label", "fold", 5, "complement_nb")
+
+
+@query("relevance_search")
+def relevance_search(spark, d):
+    """Model search over text classifiers, macro F1 per model (leave-one-
+    fold-out); trees on the same TF-IDF features."""
+    from ..estimators import ml as M
+    docs = _labelled_docs(spark, d)
+    parts = [M.cv_classifier(docs, "text", "label", "fold", 5, m) for m in ("logistic", "complement_nb", "random_forest")]
+    r = reduce(lambda a, b: a.unionByName(b), parts)
+    return r.groupBy("model").agg(F.avg("macro_f1").alias("macro_f1"), F.avg("f1").alias("f1"),
+                                  F.stddev_pop("f1").alias("f1_sd"))
+
+
+@query("topic_clusters")
+def topic_clusters(spark, d):
+    from ..estimators import ml as M
+    return M.topic_clusters(table(spark, d, "documents").select("doc_id", "text"), "text", k=5, n=2)
+
+
+@query("doc_vectors")
+def doc_vectors(spark, d):
+    from ..estimators import ml as M
+    e = table(spark, d, "embeddings").withColumn("fold", hash_fold(F.col("vec_id"), 5, 6)) \
+        .withColumn("label", (F.col("label") >= 5).cast("double"))   # binary target for the PR curve
+    return M.vector_classifier(e, "embedding", "label", "fold", 5)
+
+
+@query("rf_search")
+def rf_search(spark, d):
+    from ..estimators import ml as M
+    p, xs, ys = design(spark, d, instruments=True, lags=[-2, -1, 0])
+    feats = [c for c in xs if c != "occ_protest_lag0"] + V.INSTR_COLS
+    n_days = F.datediff(F.to_date(F.lit(V.END)), F.to_date(F.lit(V.START))) + 1
+    p = p.withColumn("label", F.col("occ_protest_lag0").cast("double")) \
+         .withColumn("tfold", F.floor(F.datediff("day", F.to_date(F.lit(V.START))) * 5 / n_days).cast("int"))
+    p = p.select("label", "tfold", *feats).fillna(0.0)
+    return M.rf_time_folds(p, "label", feats, "tfold", 5)
+
+
+@query("impute")
+def impute(spark, d):
+    from ..estimators import ml as M
+    p = V.panel(spark, d, with_instruments=True).select("unit", "day", *V.INSTR_COLS)
+    out = M.chained_impute(p, V.INSTR_COLS, rounds=1)
+    return out.select("unit", "day", *V.INSTR_COLS)
