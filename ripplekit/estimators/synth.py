@@ -22,74 +22,147 @@ SC_SCHEMA = ("unit string, event_day date, outcome string, rel_day int, y double
              "n_donors int, loss double")
 
 
-def event_panel(panel: DataFrame, outcomes, pre: int, post: int, treatment: str = "occ_protest",
-                start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
-    """Long rows (unit, event_day, series, outcome, rel_day, value) for every
-    event (treatment = 1 with a full pre-window) and every donor (treatment = 0
-    on the event day; null treatment is neither)."""
-    p = panel.select(unit, day, treatment, *outcomes)
+def window_arrays(panel: DataFrame, outcomes, pre: int, post: int, unit: str = "unit", day: str = "day") -> DataFrame:
+    """For every (unit, day) of the dense panel the outcome values of
+    [day - pre, day + post) as arrays (one ROWS window pass).  Null when the
+    pre-part leaves the spine or the window holds a null; near the spine end
+    the array is shorter (post-period truncated, as in the reference)."""
+    w = Window.partitionBy(unit).orderBy(day).rowsBetween(-pre, post - 1)
+    wpre = Window.partitionBy(unit).orderBy(day).rowsBetween(-pre, 0)
+    full_pre = F.count(F.lit(1)).over(wpre) == pre + 1
+    return panel.select(F.col(unit).alias("series"), F.col(day).alias("event_day"),
+                        *[F.when(full_pre & (F.count(F.col(o)).over(w) == F.count(F.lit(1)).over(w)),
+                                 F.collect_list(F.col(o)).over(w)).alias(f"_a_{o}") for o in outcomes])
+
+
+def event_members(panel: DataFrame, pre: int, treatment: str = "occ_protest", start: str | None = None,
+                  unit: str = "unit", day: str = "day") -> DataFrame:
+    """(unit, event_day, series) for each event (treatment = 1, full pre-window)
+    and its donors (treatment = 0 on the event day; null is neither) plus the
+    treated unit itself — an equi-join on the day."""
+    p = panel.select(unit, day, treatment)
     ev = p.where(F.col(treatment) == 1).select(F.col(unit).alias("ev_unit"), F.col(day).alias("event_day"))
     if start is not None:
         ev = ev.where(F.date_sub("event_day", pre) >= F.to_date(F.lit(start)))
     donors = p.where(F.col(treatment) == 0).select(F.col(unit).alias("series"), F.col(day).alias("event_day"))
-    members = ev.join(donors, "event_day").where(F.col("series") != F.col("ev_unit")) \
-                .unionByName(ev.withColumn("series", F.col("ev_unit")))
-    rel = members.withColumn("rel_day", F.explode(F.sequence(F.lit(-pre), F.lit(post - 1)))) \
-                 .withColumn("win_day", F.date_add("event_day", F.col("rel_day")))
-    vals = p.select(F.col(unit).alias("series"), F.col(day).alias("win_day"), *outcomes) \
-            .unpivot(["series", "win_day"], list(outcomes), "outcome", "value")
-    out = rel.join(vals, ["series", "win_day"]).select(
-        F.col("ev_unit").alias(unit), "event_day", "series", "outcome", "rel_day", "value")
-    return out
-
-
-def _solver(method: str, scale: str | None, unit: str):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, ed = pdf[unit].iloc[0], pdf["event_day"].iloc[0]
-        wide = pdf.pivot_table(index=["outcome", "rel_day"], columns="series", values="value", aggfunc="first")
-        wide = wide.sort_index()
-        if u not in wide.columns:
-            return pd.DataFrame(columns=SC_SCHEMA_COLS)
-        y = wide[u].astype(float)
-        D = wide.drop(columns=[u]).astype(float)
-        D = D.loc[:, D.notna().all(axis=0)]
-        if D.shape[1] == 0 or y.isna().any():
-            return pd.DataFrame(columns=SC_SCHEMA_COLS)
-        rel = wide.index.get_level_values("rel_day").to_numpy()
-        pre = rel < 0
+    return ev.join(donors, "event_day").where(F.col("series") != F.col("ev_unit")) \
+             .unionByName(ev.withColumn("series", F.col("ev_unit")))
+
+
+def event_panel(panel: DataFrame, outcomes, pre: int, post: int, treatment: str = "occ_protest",
+                start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
+    """Long rows (unit, event_day, series, outcome, rel_day, value) — used by
+    the pure-aggregate baselines."""
+    arr = window_arrays(panel, outcomes, pre, post, unit, day)
+    m = event_members(panel, pre, treatment, start, unit, day).join(arr, ["series", "event_day"])
+    long = m.unpivot(["ev_unit", "event_day", "series"], [f"_a_{o}" for o in outcomes], "outcome", "vals") \
+            .where(F.col("vals").isNotNull())
+    long = long.select("ev_unit", "event_day", "series", F.regexp_replace("outcome", "^_a_", "").alias("outcome"),
+                       F.posexplode("vals").alias("pos", "value"))
+    return long.select(F.col("ev_unit").alias(unit), "event_day", "series", "outcome",
+                       (F.col("pos") - pre).cast("int").alias("rel_day"), "value")
+
+
+def _spread(df: DataFrame, keys) -> DataFrame:
+    """Hash-partition the solver input on its group keys into (at least) one
+    partition per core.  The Python solve is CPU-bound while its input is
+    small, so AQE would otherwise coalesce it into very few tasks; an explicit
+    partition count is kept, and the grouped operator reuses this partitioning
+    (no second shuffle)."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, 1) * 2
+    return df.repartition(n, *keys)
+
+
+def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit, cut=None):
+    """NumPy solve of one event.  mats: outcome -> (n_series × (pre+post)) array."""
+    series = np.asarray(series)
+    t_idx = np.nonzero(series == u)[0]
+    if len(t_idx) == 0 or mats[outcomes[0]].shape[1] == 0:
+        return None
+    ok = np.ones(len(series), dtype=bool)
+    for o in outcomes:
+        ok &= ~np.isnan(mats[o]).any(axis=1)
+    if not ok[t_idx[0]]:
+        return None
+    d_idx = np.nonzero(ok & (series != u))[0]
+    if len(d_idx) == 0:
+        return None
+    lo = 0 if cut is None else pre - cut           # shorter pre-period inside a longer window
+    ys, Ds, pre_mask, rel, outs = [], [], [], [], []
+    for o in outcomes:
+        M = mats[o][:, lo:]
+        npre = pre - lo
+        y, D = M[t_idx[0]].copy(), M[d_idx].T.copy()
         if scale == "demean":
-            grp = wide.index.get_level_values("outcome")
-            y = y - y[pre].groupby(grp[pre]).mean().reindex(grp).to_numpy()
-            D = D - D[pre].groupby(grp[pre]).mean().reindex(grp).to_numpy()
-        X = np.column_stack([np.ones(len(D)), D.to_numpy()])
-        if method == "simplex":
-            w = np.concatenate([[0.0], simplex_ls(X[pre][:, 1:], y.to_numpy()[pre])])
+            y -= y[:npre].mean()
+            D -= D[:npre].mean(axis=0)
+        ys.append(y)
+        Ds.append(D)
+        pre_mask.append(np.arange(M.shape[1]) < npre)
+        rel.append(np.arange(M.shape[1]) - npre)
+        outs.append(np.full(M.shape[1], o, dtype=object))
+    y, D = np.concatenate(ys), np.vstack(Ds)
+    pm, rel, outs = np.concatenate(pre_mask), np.concatenate(rel), np.concatenate(outs)
+    X = np.column_stack([np.ones(len(y)), D])
+    if method == "simplex":
+        w = np.concatenate([[0.0], simplex_ls(X[pm][:, 1:], y[pm])])
+    else:
+        w = nnls(X[pm], y[pm])
+    yh = X @ w
+    loss = float(np.sqrt(np.mean((y[pm] - yh[pm]) ** 2)))
+    return pd.DataFrame({unit: u, "event_day": ed, "outcome": outs, "rel_day": rel.astype("int32"), "y": y,
+                         "y_synth": yh, "n_donors": np.int32(len(d_idx)), "loss": loss})
+
+
+def _solver(outcomes, pre, post, method, scale, unit, with_config=False):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, ed = pdf["ev_unit"].iloc[0], pdf["event_day"].iloc[0]
+        cut = None
+        if with_config:
+            cfg = pdf["config"].iloc[0]
+            cut, sc = int(cfg.split("|")[0]), cfg.split("|")[1]
+            sc = None if sc == "none" else sc
         else:
-            w = nnls(X[pre], y.to_numpy()[pre])
-        ys = X @ w
-        loss = float(np.sqrt(np.mean((y.to_numpy()[pre] - ys[pre]) ** 2)))
-        return pd.DataFrame({unit: u, "event_day": ed, "outcome": wide.index.get_level_values("outcome"),
-                             "rel_day": rel.astype("int32"), "y": y.to_numpy(), "y_synth": ys,
-                             "n_donors": np.int32(D.shape[1]), "loss": loss})
+            sc = scale
+        lens = [len(v) for o in outcomes for v in pdf[f"_a_{o}"] if v is not None]
+        n = min(lens) if lens else 0          # all series share the calendar end
+        if n <= pre:
+            n = 0
+        mats = {}
+        for o in outcomes:
+            col = pdf[f"_a_{o}"]
+            mats[o] = np.vstack([np.asarray(v[:n], dtype=float) if v is not None else np.full(n, np.nan)
+                                 for v in col]) if n else np.zeros((len(col), 0))
+        out = _solve_event(u, ed, pdf["series"].to_numpy(), mats, outcomes, pre, post, method, sc, unit, cut)
+        if out is None:
+            out = pd.DataFrame({c: pd.Series(dtype=t) for c, t in SC_DTYPES.items()}).rename(columns={"unit": unit})
+        if with_config:
+            out["config"] = pdf["config"].iloc[0] if len(out) else pd.Series(dtype=object)
+        return out
     return solve
 
 
-SC_SCHEMA_COLS = ["unit", "event_day", "outcome", "rel_day", "y", "y_synth", "n_donors", "loss"]
+SC_DTYPES = {"unit": object, "event_day": object, "outcome": object, "rel_day": "int32", "y": float,
+             "y_synth": float, "n_donors": "int32", "loss": float}
 
 
 def synthetic_control(panel: DataFrame, outcomes, pre: int = 28, post: int = 7, treatment: str = "occ_protest",
                       start: str | None = None, method: str = "nnls", scale: str | None = None,
                       rolling: int = 1, unit: str = "unit", day: str = "day") -> DataFrame:
-    """Weights per event on the stacked pre-period outcomes of the
-    donors plus a non-negative constant (NNLS) or simplex weights; y_synth for
-    every window day."""
+    """Per event, weights on the donors' stacked pre-period
+    outcomes plus a non-negative constant (NNLS) or simplex weights; y_synth
+    for every window day.  One group per event holds (donors + 1) rows of
+    (pre + post)-long arrays."""
+    outcomes = list(outcomes)
     p = panel
     if rolling > 1:
         w = Window.partitionBy(unit).orderBy(day).rowsBetween(-(rolling - 1), 0)
         p = p.withColumns({o: F.when(F.count(o).over(w) == rolling, F.avg(o).over(w)) for o in outcomes})
-    long = event_panel(p, outcomes, pre, post, treatment, start, unit, day)
-    return long.groupBy(unit, "event_day").applyInPandas(_solver(method, scale, unit),
-                                                         SC_SCHEMA.replace("unit string", f"{unit} string"))
+    arr = window_arrays(p, outcomes, pre, post, unit, day)
+    m = _spread(event_members(p, pre, treatment, start, unit, day).join(arr, ["series", "event_day"]),
+                ["ev_unit", "event_day"])
+    return m.groupBy("ev_unit", "event_day").applyInPandas(
+        _solver(outcomes, pre, post, method, scale, unit), SC_SCHEMA.replace("unit string", f"{unit} string"))
 
 
 def effect_table(sc: DataFrame, cumulative: bool = False, unit: str = "unit") -> DataFrame:
@@ -119,26 +192,19 @@ def scaled_donor_mean(panel: DataFrame, outcome: str, pre: int, post: int, treat
 def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), treatment: str = "occ_protest",
             start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
     """One job for a grid of (pre-period, scaling) configurations:
-    the event panel is built once for the longest pre-period, every event
-    group is replicated per configuration (a generated key, no join) and each
-    (event, config) group is solved on its own rows.  Returns per config the
-    pre-period fit RMSE and the post-period bias / RMSE over all events."""
+    window arrays are built once for the longest pre-period, each event group
+    is replicated per configuration (generated key, no join) and solved on its
+    own slice.  Per config: pre-period fit RMSE, post-period bias and RMSE."""
     import itertools
     configs = [f"{p}|{s or 'none'}" for p, s in itertools.product(pres, scales)]
-    long = event_panel(panel, [outcome], max(pres), post, treatment, start, unit, day)
-    long = long.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs])))
-    pre_c = F.split("config", r"\|").getItem(0).cast("int")
-    long = long.where(F.col("rel_day") >= -pre_c)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cfg = pdf["config"].iloc[0]
-        sc = cfg.split("|")[1]
-        out = _solver("nnls", None if sc == "none" else sc, unit)(pdf.drop(columns=["config"]))
-        out["config"] = cfg
-        return out
-
+    mx = max(pres)
+    arr = window_arrays(panel, [outcome], mx, post, unit, day)
+    m = event_members(panel, mx, treatment, start, unit, day).join(arr, ["series", "event_day"])
+    m = _spread(m.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))),
+                ["ev_unit", "event_day", "config"])
     schema = SC_SCHEMA.replace("unit string", f"{unit} string") + ", config string"
-    res = long.groupBy(unit, "event_day", "config").applyInPandas(solve, schema)
+    res = m.groupBy("ev_unit", "event_day", "config").applyInPandas(
+        _solver([outcome], mx, post, "nnls", None, unit, with_config=True), schema)
     eff = res.withColumn("err", F.col("y") - F.col("y_synth"))
     return eff.groupBy("config").agg(
         F.countDistinct(unit, "event_day").alias("events"),
