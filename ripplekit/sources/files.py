@@ -63,7 +63,7 @@ def union_files(frames: dict[str, DataFrame], name_col: str = "city") -> DataFra
 def indicator_matrix(spark: SparkSession, folder: str, sep: str = ";") -> DataFrame:
     """Single-indicator text files (line 1 = indicator title, then a header
     'key;region;value' and data rows) -> indicator × region matrix."""
-    files = spark.read.option("wholetext", True).text(folder)
+    files = spark.read.text(folder, wholetext=True)
     lines = files.select(F.split(F.col("value"), "\r?\n").alias("l"))
     rows = lines.select(F.element_at("l", 1).alias("indicator"), F.explode(F.slice("l", 3, 1 << 30)).alias("line"))
     parts = F.split("line", sep)
