@@ -1,12 +1,13 @@
 """Synthetic control over all events as one Spark job.
 
-events -> donor pool on the event day (equi-join on day) -> window rows of
-the treated unit and its donors (equi-join on generated window days) ->
-one ``applyInPandas`` group per event holding (pre + post) × (donors + 1)
-values, where the NNLS / simplex weights are solved -> long output
-(event, outcome, rel_day, y, y_synth).  A group's size is bounded by the
-window length and the number of units, never by the data volume; the
-panel itself is never shipped to a task.
+Window values of every (unit, day) are built once as arrays by a ROWS
+window over the dense panel.  All events of one day share the same donor
+pool (every unit untreated that day), so the solver groups by DAY: one
+``applyInPandas`` group holds one array row per unit of that day (bounded by
+the number of units, however many events fall on the day) and solves the
+NNLS / simplex weights of each treated unit against the shared donors ->
+long output (event, outcome, rel_day, y, y_synth).  The panel itself is never
+shipped to a task.
 """
 
 from __future__ import annotations
@@ -73,7 +74,25 @@ def _spread(df: DataFrame, keys) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit, cut=None):
+def _ar_path(y: np.ndarray, npre: int, p: int) -> np.ndarray:
+    """AR(p) with constant fitted by least squares on the pre-window;
+    in-sample one-step fits for the pre-period, recursive forecasts after."""
+    out = np.full(len(y), np.nan)
+    if npre <= p + 1:
+        return out
+    rows = np.array([np.concatenate([[1.0], y[t - p:t][::-1]]) for t in range(p, npre)])
+    beta = np.linalg.lstsq(rows, y[p:npre], rcond=None)[0]
+    out[p:npre] = rows @ beta
+    hist = list(y[:npre])
+    for t in range(npre, len(y)):
+        x = np.concatenate([[1.0], np.array(hist[-p:])[::-1]])
+        v = float(x @ beta)
+        out[t] = v
+        hist.append(v)
+    return out
+
+
+def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit, cut=None, ar_order=7):
     """NumPy solve of one event.  mats: outcome -> (n_series × (pre+post)) array."""
     series = np.asarray(series)
     t_idx = np.nonzero(series == u)[0]
@@ -85,7 +104,7 @@ def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit,
     if not ok[t_idx[0]]:
         return None
     d_idx = np.nonzero(ok & (series != u))[0]
-    if len(d_idx) == 0:
+    if len(d_idx) == 0 and method != "ar":
         return None
     lo = 0 if cut is None else pre - cut           # shorter pre-period inside a longer window
     ys, Ds, pre_mask, rel, outs = [], [], [], [], []
@@ -101,6 +120,30 @@ def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit,
         pre_mask.append(np.arange(M.shape[1]) < npre)
         rel.append(np.arange(M.shape[1]) - npre)
         outs.append(np.full(M.shape[1], o, dtype=object))
+    if method == "ar":
+        yh = np.concatenate([_ar_path(y, int(pm.sum()), ar_order) for y, pm in zip(ys, pre_mask)])
+        y, pm = np.concatenate(ys), np.concatenate(pre_mask)
+        rel, outs = np.concatenate(rel), np.concatenate(outs)
+        ok_pre = pm & ~np.isnan(yh)
+        loss = float(np.sqrt(np.mean((y[ok_pre] - yh[ok_pre]) ** 2))) if ok_pre.any() else float("nan")
+        return pd.DataFrame({unit: u, "event_day": ed, "outcome": outs, "rel_day": rel.astype("int32"), "y": y,
+                             "y_synth": yh, "n_donors": np.int32(0), "loss": loss})
+    if scale == "logdiff":
+        # fit on log1p-differences, then integrate back to levels from the first window day
+        yh_all = []
+        for y, D, pm in zip(ys, Ds, pre_mask):
+            ly, lD = np.log1p(np.maximum(y, 0)), np.log1p(np.maximum(D, 0))
+            dy, dD = np.diff(ly), np.diff(lD, axis=0)
+            X = np.column_stack([np.ones(len(dy)), dD])
+            pmd = pm[1:]
+            w = nnls(X[pmd], dy[pmd])
+            yh_all.append(np.expm1(ly[0] + np.concatenate([[0.0], np.cumsum(X @ w)])))
+        yh = np.concatenate(yh_all)
+        y, pm = np.concatenate(ys), np.concatenate(pre_mask)
+        rel, outs = np.concatenate(rel), np.concatenate(outs)
+        loss = float(np.sqrt(np.mean((y[pm] - yh[pm]) ** 2)))
+        return pd.DataFrame({unit: u, "event_day": ed, "outcome": outs, "rel_day": rel.astype("int32"), "y": y,
+                             "y_synth": yh, "n_donors": np.int32(len(d_idx)), "loss": loss})
     y, D = np.concatenate(ys), np.vstack(Ds)
     pm, rel, outs = np.concatenate(pre_mask), np.concatenate(rel), np.concatenate(outs)
     X = np.column_stack([np.ones(len(y)), D])
@@ -114,6 +157,54 @@ def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit,
                          "y_synth": yh, "n_donors": np.int32(len(d_idx)), "loss": loss})
 
 
+def _day_solver(outcomes, pre, post, method, scale, unit, start_ok="_ev", with_config=False):
+    """One group per event DAY: the donors (untreated that day) are shared by
+    every event of the day, so each unit-day window array is shipped once."""
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ed = pdf["event_day"].iloc[0]
+        cut, sc = None, scale
+        if with_config:
+            cfg = pdf["config"].iloc[0]
+            cut, sc = int(cfg.split("|")[0]), cfg.split("|")[1]
+            sc = None if sc == "none" else sc
+        lens = [len(v) for o in outcomes for v in pdf[f"_a_{o}"] if v is not None]
+        n = min(lens) if lens else 0
+        outs = []
+        if n > pre:
+            mats = {o: np.vstack([np.asarray(v[:n], dtype=float) if v is not None else np.full(n, np.nan)
+                                  for v in pdf[f"_a_{o}"]]) for o in outcomes}
+            treat = pdf["_t"].to_numpy()
+            evok = pdf[start_ok].to_numpy()
+            donors = np.nonzero(treat == 0)[0]
+            series = pdf["series"].to_numpy()
+            for ti in np.nonzero((treat == 1) & evok)[0]:
+                idx = np.concatenate([[ti], donors])
+                r = _solve_event(series[ti], ed, series[idx], {o: m[idx] for o, m in mats.items()}, outcomes,
+                                 pre, post, method, sc, unit, cut)
+                if r is not None:
+                    outs.append(r)
+        if outs:
+            out = pd.concat(outs, ignore_index=True)
+        else:
+            out = pd.DataFrame({c: pd.Series(dtype=t) for c, t in SC_DTYPES.items()}).rename(columns={"unit": unit})
+        if with_config:
+            out["config"] = pdf["config"].iloc[0] if len(out) else pd.Series(dtype=object)
+        return out
+    return solve
+
+
+def day_members(panel: DataFrame, outcomes, pre: int, post: int, treatment: str = "occ_protest",
+                start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
+    """One row per (day, unit) with the unit's window arrays, its treatment
+    that day (null treatment rows are dropped: neither event nor donor) and
+    whether it qualifies as an event (full pre-window after ``start``)."""
+    arr = window_arrays(panel, outcomes, pre, post, unit, day)
+    t = panel.select(F.col(unit).alias("series"), F.col(day).alias("event_day"), F.col(treatment).alias("_t")) \
+             .where(F.col("_t").isNotNull())
+    ok = F.lit(True) if start is None else (F.date_sub("event_day", pre) >= F.to_date(F.lit(start)))
+    return t.join(arr, ["series", "event_day"]).withColumn("_ev", ok)
+
+
 def _solver(outcomes, pre, post, method, scale, unit, with_config=False):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         u, ed = pdf["ev_unit"].iloc[0], pdf["event_day"].iloc[0]
@@ -158,11 +249,9 @@ def synthetic_control(panel: DataFrame, outcomes, pre: int = 28, post: int = 7,
     if rolling > 1:
         w = Window.partitionBy(unit).orderBy(day).rowsBetween(-(rolling - 1), 0)
         p = p.withColumns({o: F.when(F.count(o).over(w) == rolling, F.avg(o).over(w)) for o in outcomes})
-    arr = window_arrays(p, outcomes, pre, post, unit, day)
-    m = _spread(event_members(p, pre, treatment, start, unit, day).join(arr, ["series", "event_day"]),
-                ["ev_unit", "event_day"])
-    return m.groupBy("ev_unit", "event_day").applyInPandas(
-        _solver(outcomes, pre, post, method, scale, unit), SC_SCHEMA.replace("unit string", f"{unit} string"))
+    m = _spread(day_members(p, outcomes, pre, post, treatment, start, unit, day), ["event_day"])
+    return m.groupBy("event_day").applyInPandas(
+        _day_solver(outcomes, pre, post, method, scale, unit), SC_SCHEMA.replace("unit string", f"{unit} string"))
 
 
 def effect_table(sc: DataFrame, cumulative: bool = False, unit: str = "unit") -> DataFrame:
@@ -177,18 +266,22 @@ def effect_table(sc: DataFrame, cumulative: bool = False, unit: str = "unit") ->
 def scaled_donor_mean(panel: DataFrame, outcome: str, pre: int, post: int, treatment: str = "occ_protest",
                       start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
     """C20 baseline: synthetic = donors' mean scaled by the ratio of the treated
-    pre-period mean to the donors' pre-period mean (pure aggregates)."""
-    long = event_panel(panel, [outcome], pre, post, treatment, start, unit, day)
-    is_t = F.col("series") == F.col(unit)
-    per_day = long.groupBy(unit, "event_day", "rel_day").agg(
-        F.max(F.when(is_t, F.col("value"))).alias("y"), F.avg(F.when(~is_t, F.col("value"))).alias("donor_mean"),
-        F.sum(F.when(~is_t, 1).otherwise(0)).alias("n_donors"))
+    pre-period mean to the donors' pre-period mean.  Donors are shared by all
+    events of a day, so the donor mean curve is computed once per day (an
+    aggregate over untreated unit-days), then joined to the events."""
+    m = day_members(panel, [outcome], pre, post, treatment, start, unit, day)
+    vals = m.select("series", "event_day", "_t", "_ev", F.posexplode(f"_a_{outcome}").alias("pos", "value")) \
+            .withColumn("rel_day", (F.col("pos") - pre).cast("int"))
+    donor = vals.where(F.col("_t") == 0).groupBy("event_day", "rel_day").agg(
+        F.avg("value").alias("donor_mean"), F.count(F.lit(1)).alias("n_donors"))
+    ev = vals.where((F.col("_t") == 1) & F.col("_ev")).select(F.col("series").alias(unit), "event_day", "rel_day",
+                                                               F.col("value").alias("y"))
+    per_day = ev.join(donor, ["event_day", "rel_day"])
     w = Window.partitionBy(unit, "event_day")
     ratio = F.try_divide(F.avg(F.when(F.col("rel_day") < 0, F.col("y"))).over(w),
                          F.avg(F.when(F.col("rel_day") < 0, F.col("donor_mean"))).over(w))
     return per_day.where(F.col("n_donors") > 0).withColumn("y_synth", F.col("donor_mean") * ratio)
 
-
 def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), treatment: str = "occ_protest",
             start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
     """One job for a grid of (pre-period, scaling) configurations:
@@ -198,13 +291,11 @@ def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), tre
     import itertools
     configs = [f"{p}|{s or 'none'}" for p, s in itertools.product(pres, scales)]
     mx = max(pres)
-    arr = window_arrays(panel, [outcome], mx, post, unit, day)
-    m = event_members(panel, mx, treatment, start, unit, day).join(arr, ["series", "event_day"])
-    m = _spread(m.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))),
-                ["ev_unit", "event_day", "config"])
+    m = day_members(panel, [outcome], mx, post, treatment, start, unit, day)
+    m = _spread(m.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))), ["event_day", "config"])
     schema = SC_SCHEMA.replace("unit string", f"{unit} string") + ", config string"
-    res = m.groupBy("ev_unit", "event_day", "config").applyInPandas(
-        _solver([outcome], mx, post, "nnls", None, unit, with_config=True), schema)
+    res = m.groupBy("event_day", "config").applyInPandas(
+        _day_solver([outcome], mx, post, "nnls", None, unit, with_config=True), schema)
     eff = res.withColumn("err", F.col("y") - F.col("y_synth"))
     return eff.groupBy("config").agg(
         F.countDistinct(unit, "event_day").alias("events"),

@@ -22,9 +22,12 @@ def boilerplate_lines(docs: DataFrame, source: str = "source", text: str = "text
                 .where((F.col("line") != "") & (F.col("line") != "* * *"))
     counts = lines.groupBy(source, "line").agg(F.count(F.lit(1)).alias("n"))
     ndocs = docs.groupBy(source).agg(F.count(F.lit(1)).alias("ndocs"))
+    # Threshold first, rank after: a line above the threshold outranks every
+    # line below it, so ranking only the candidates gives the same top-k, and
+    # the window never sees a source's full set of distinct lines.
+    cand = counts.join(ndocs, source).where(F.col("n") > F.col("ndocs") * share)
     w = Window.partitionBy(source).orderBy(F.col("n").desc(), F.col("line"))
-    ranked = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
-    return ranked.join(ndocs, source).where(F.col("n") > F.col("ndocs") * share).select(source, "line")
+    return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).select(source, "line")
 
 
 def remove_lines(docs: DataFrame, common: DataFrame, key: str = "doc_id", source: str = "source",

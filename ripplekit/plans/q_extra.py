@@ -146,3 +146,22 @@ def sc_mean_curves(spark, d):
     sc = SC.synthetic_control(V.panel(spark, d), [V.MEDIA_COLS[0]], 28, 7, start=V.START, scale="demean")
     return sc.groupBy("outcome", "rel_day").agg(F.avg("y").alias("y"), F.avg("y_synth").alias("y_synth"),
                                                 F.count(F.lit(1)).alias("n"))
+
+
+@query("ar_forecast")
+def ar_forecast(spark, d):
+    """Per event an AR(7) fitted on the unit's own 28-day pre-window,
+    recursive 7-day forecast; effect summary by relative day."""
+    sc = SC.synthetic_control(V.panel(spark, d), [V.MEDIA_COLS[0]], 28, 7, start=V.START, method="ar")
+    e = sc.withColumn("err", F.col("y") - F.col("y_synth"))
+    return e.groupBy("rel_day").agg(F.avg("err").alias("mean_effect"), F.sqrt(F.avg(F.col("err") ** 2)).alias("rmse"),
+                                    F.count("err").alias("n"))
+
+
+@query("sc_logdiff")
+def sc_logdiff(spark, d):
+    """Synthetic control in log-difference space, back-transformed."""
+    sc = SC.synthetic_control(V.panel(spark, d), [V.MEDIA_COLS[0]], 28, 7, start=V.START, scale="logdiff")
+    e = sc.withColumn("err", F.col("y") - F.col("y_synth"))
+    return e.groupBy("rel_day").agg(F.avg("err").alias("mean_effect"), F.sqrt(F.avg(F.col("err") ** 2)).alias("rmse"),
+                                    F.count("err").alias("n"))
