@@ -26,14 +26,14 @@ ANSWER_SCHEMA = ("array<struct<IS_CLIMATE_PROTEST_EVENT: boolean, PAST_OR_FUTURE
 @query("json_answers", views=("ev",), sql="""
 SELECT event_id, lower(split_part(location || ' - ' || unit, ' - ', 1)) AS city, day AS date,
   CAST(floor(size / 1000) AS INTEGER) AS n_participants FROM ev
-WHERE actor <> 'P' AND actor = 'F' AND event_id % 2 = 0""")
+WHERE actor = 'F' AND location IN ('BUILDING', 'MACHINERY')""")
 def json_answers(spark, d):
     """parse answer JSON (bad JSON -> no rows), keep objects with the
     flag set, PAST and country DE, first city token, date from parts."""
     e = V.ev(spark, d)
     obj = F.struct(
         (F.col("actor") == "F").alias("IS_CLIMATE_PROTEST_EVENT"),
-        F.when(F.col("event_id") % 2 == 0, "PAST").otherwise("FUTURE").alias("PAST_OR_FUTURE"),
+        F.when(F.col("location").isin("BUILDING", "MACHINERY"), "PAST").otherwise("FUTURE").alias("PAST_OR_FUTURE"),
         F.lit("DE").alias("COUNTRY"), F.concat_ws(" - ", "location", "unit").alias("CITY"),
         F.year("day").alias("PROTEST_DATE_YEAR"), F.date_format("day", "MMMM").alias("PROTEST_DATE_MONTH"),
         F.dayofmonth("day").alias("PROTEST_DATE_DAY"), F.floor(F.col("size") / 1000).cast("int").alias("N_PARTICIPANTS"))

@@ -81,7 +81,7 @@ def _parse_sql(s):
 SELECT event_id, q AS size_text, CAST({_parse_sql("q")} AS BIGINT) AS n FROM (SELECT event_id, {QTEXT_SQL} AS q FROM ev)""")
 def parse_quantity(spark, d):
     e = V.ev(spark, d).select("event_id", _qtext().alias("size_text"))
-    return e.withColumn("n", X.parse_quantity("size_text"))
+    return X.with_parsed_quantity(e, "size_text", "n")
 
 
 # F3
@@ -109,8 +109,8 @@ def _org_sql():
 
 @query("org_labels", sql=f"SELECT doc_id, {_org_sql()} AS actor FROM documents")
 def org_labels(spark, d):
-    t = table(spark, d, "documents")
-    return t.select("doc_id", X.organisation_label("text", TOPIC, ORGS, "climate").alias("actor"))
+    t = table(spark, d, "documents").select("doc_id", X.squeeze("text").alias("sq"))
+    return t.select("doc_id", X.organisation_label("sq", TOPIC, ORGS, "climate", squeezed=True).alias("actor"))
 
 
 # F5 -------------------------------------------------------------------------
