@@ -48,6 +48,9 @@ def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "l
     WMx = WW - sub(Wi, ix) @ np.linalg.pinv(sub(ix, ix)) @ sub(ix, Wi)
     kappa_liml = float(np.min(np.real(np.linalg.eigvals(np.linalg.solve(WMz, WMx)))))
     names = exog + endog
+    Zy = sub(Zf, [iy])[:, 0]
+    ZR = sub(Zf, R)
+    ZZ = sub(Zf, Zf)
     rows = []
     q = norm_ppf(0.5 + level / 2)
     for m in methods:
@@ -65,6 +68,14 @@ def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "l
             p = math.erfc(abs(z) / math.sqrt(2)) if se > 0 else None
             rows.append((m, name, float(beta[i]), float(se), float(z), None if p is None else float(p), float(beta[i] - q * se),
                          float(beta[i] + q * se), float(kappa), int(n)))
+        if m == "2sls" and nz > ne:
+            # Sargan over-identification test from the same Gram: n · e'P_Z e / e'e
+            Ze = Zy - ZR @ beta
+            ePe = Ze @ Qinv @ Ze
+            sargan = float(n * ePe / rss) if rss > 0 else float("nan")
+            from ..functions.stats import chi2_sf
+            rows.append(("sargan", "overid", sargan, None, None, float(chi2_sf(sargan, nz - ne)), None, None,
+                         float(nz - ne), int(n)))
     return df.sparkSession.createDataFrame(rows, IV_SCHEMA)
 
 
@@ -85,3 +96,45 @@ def wald_binary(df: DataFrame, y: str, w: str, z) -> DataFrame:
               F.count(F.lit(1)).alias("n"))
     return a.select("y1", "y0", "w1", "w0", "n",
                     F.try_divide(F.col("y1") - F.col("y0"), F.col("w1") - F.col("w0")).alias("wald"))
+
+
+def gmm_two_step(df: DataFrame, y: str, endog, exog, instruments, intercept: bool = True) -> DataFrame:
+    """Efficient two-step GMM.  Step 1 = 2SLS from the Gram; step 2
+    weights the moments with Ω = Σ e_i² z_i z_i' — one more block-Gram pass
+    with weight e² (residuals from broadcast β); Hansen J from the same sums."""
+    import math as _m
+
+    from ..functions.stats import chi2_sf
+    endog, exog, instruments = list(endog), list(exog), list(instruments)
+    d = df.select(*(endog + exog + instruments + [y])).dropna()
+    if intercept:
+        d = d.withColumn("const", F.lit(1.0))
+        exog = ["const"] + exog
+    d = d.persist()
+    R, Z = exog + endog, exog + instruments
+    order = R + instruments + [y]
+    (n, _, G), = collect_gram(d, order).values()
+    k, nzf = len(R), len(Z)
+    idx = {c: i for i, c in enumerate(order)}
+    ri, zi, yi = [idx[c] for c in R], [idx[c] for c in Z], idx[y]
+    ZR, ZZ, Zy = G[np.ix_(zi, ri)], G[np.ix_(zi, zi)], G[zi, yi]
+    W1 = np.linalg.pinv(ZZ)
+    b1 = np.linalg.pinv(ZR.T @ W1 @ ZR) @ ZR.T @ W1 @ Zy
+    from .gram import dot
+    e = F.col(y) - dot(R, b1)
+    (_, _, Om), = collect_gram(d.withColumn("_e2", e * e), Z, (), F.col("_e2")).values()
+    W2 = np.linalg.pinv(Om)
+    A = np.linalg.pinv(ZR.T @ W2 @ ZR)
+    b2 = A @ ZR.T @ W2 @ Zy
+    gbar = Zy - ZR @ b2
+    J = float(gbar @ W2 @ gbar)
+    rows = []
+    for i, c in enumerate(R):
+        se = _m.sqrt(max(A[i, i], 0.0))
+        z = b2[i] / se if se > 0 else float("nan")
+        rows.append(("gmm", c, float(b2[i]), float(se), float(z), float(_m.erfc(abs(z) / _m.sqrt(2))) if se > 0 else None,
+                     float(b2[i] - 1.959964 * se), float(b2[i] + 1.959964 * se), None, int(n)))
+    if nzf > k:
+        rows.append(("hansen_j", "overid", J, None, None, float(chi2_sf(J, nzf - k)), None, None, float(nzf - k), int(n)))
+    d.unpersist()
+    return df.sparkSession.createDataFrame(rows, IV_SCHEMA)

@@ -134,3 +134,37 @@ def chained_impute(df: DataFrame, cols, rounds: int = 2, trees: int = 20, checkp
             # the shared spark.checkpoint.dir; survives executor loss)
             d = d.checkpoint(eager=True)
     return d.drop(*[f"_miss_{c}" for c in cols])
+
+
+def pooled_regressors(df: DataFrame, label: str, features, train_cond, models=("forest", "boosting", "poisson"),
+                      seed: int = 5) -> DataFrame:
+    """C20: one pooled MLlib regressor per model over all events (trained on
+    the pre-period rows), predictions for every row; metrics per model and
+    period from one aggregate."""
+    from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    out = []
+    for m in models:
+        if m == "forest":
+            reg = RandomForestRegressor(labelCol=label, numTrees=30, maxDepth=5, seed=seed)
+        elif m == "boosting":
+            reg = GBTRegressor(labelCol=label, maxIter=20, maxDepth=4, seed=seed)
+        else:
+            reg = GeneralizedLinearRegression(labelCol=label, family="poisson", link="log", maxIter=50, regParam=1e-6)
+        fit = Pipeline(stages=[va, reg]).fit(df.where(train_cond))
+        pr = fit.transform(df).withColumn("model", F.lit(m)).withColumn("period", F.when(train_cond, "pre").otherwise("post"))
+        err = F.col(label) - F.col("prediction")
+        out.append(pr.groupBy("model", "period").agg(F.avg(err * err).alias("mse"), F.avg(err).alias("bias"),
+                                                       F.count(F.lit(1)).alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def model_filter_chain(labelled: DataFrame, docs: DataFrame, text: str, label: str, threshold: float = 0.5) -> DataFrame:
+    """Fit a text classifier, score every document, keep predicted
+    positives above the threshold with their score, ordered by score."""
+    pipe = Pipeline(stages=tfidf_stages(text, 1, 1000) + [
+        LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=100)])
+    m = pipe.fit(labelled)
+    sc = m.transform(docs).withColumn("score", vector_to_array("probability").getItem(1))
+    return sc.where((F.col("prediction") == 1) & (F.col("score") > threshold)) \
+             .select("doc_id", "score").orderBy(F.col("score").desc(), "doc_id")

@@ -78,6 +78,8 @@ def norm_ppf(p):
 
 def chi2_sf(x, k):
     """Upper tail of chi-square with k dof (regularized upper gamma)."""
+    if k <= 0:
+        return float("nan")
     a, xx = k / 2.0, x / 2.0
     if xx <= 0:
         return 1.0

@@ -165,3 +165,54 @@ def sc_logdiff(spark, d):
     e = sc.withColumn("err", F.col("y") - F.col("y_synth"))
     return e.groupBy("rel_day").agg(F.avg("err").alias("mean_effect"), F.sqrt(F.avg(F.col("err") ** 2)).alias("rmse"),
                                     F.count("err").alias("n"))
+
+
+@query("gmm_overid")
+def gmm_overid(spark, d):
+    """Efficient two-step GMM with Hansen J, next to 2SLS + Sargan."""
+    from ..estimators import iv as IV
+    from .q_models import design
+    p, xs, ys = design(spark, d, instruments=True, lags=[-1, 0])
+    exog = [c for c in xs if not c.startswith("occ_")]
+    return IV.gmm_two_step(p, ys[0], ["occ_protest_lag0"], exog, V.INSTR_COLS)
+
+
+@query("sc_pooled_regressors")
+def sc_pooled_regressors(spark, d):
+    """C20: forest / boosting / Poisson regressors pooled over all events on
+    donor-summary features, trained on pre-period rows."""
+    from ..estimators import ml as M
+    r = SC.scaled_donor_mean(V.panel(spark, d), V.MEDIA_COLS[0], 28, 7, start=V.START)
+    r = r.select(F.col("y").cast("double").alias("y"), "donor_mean", F.col("n_donors").cast("double").alias("n_donors"),
+                 F.col("rel_day").cast("double").alias("rel"), "y_synth").dropna()
+    return M.pooled_regressors(r, "y", ["donor_mean", "n_donors", "y_synth"], F.col("rel") < 0)
+
+
+@query("model_filter_chain")
+def model_filter_chain(spark, d):
+    """Classifier predictions joined back to the corpus, positives above
+    the threshold ordered by score."""
+    from ..estimators import ml as M
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lab = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    return M.model_filter_chain(docs.join(lab, "doc_id"), docs, "text", "label", 0.5)
+
+
+@query("leaderboard")
+def leaderboard(spark, d):
+    """Trials table -> strip name prefixes, keep complete trials, sort by
+    metric, distinct (over the synthetic-control configuration grid)."""
+    g = SC.sc_grid(V.panel(spark, d), V.MEDIA_COLS[0], [7, 14, 28], 7, scales=(None, "demean"), start=V.START)
+    t = g.withColumnRenamed("post_rmse", "value").select(
+        F.regexp_replace("config", r"^\d+\|", "").alias("scale"),
+        F.split("config", r"\|").getItem(0).cast("int").alias("pre"), "value", "post_bias")
+    return t.where(F.col("value").isNotNull()).distinct().orderBy("value")
+
+
+@query("column_check")
+def column_check(spark, d):
+    """Required / optional columns per source (schema only, no data pass)."""
+    from ..operators.filters import required_columns_report
+    frames = {"ev": V.ev(spark, d), "evall": V.evall(spark, d), "events": table(spark, d, "events")}
+    rows = required_columns_report(frames, ["event_id", "day", "unit", "size"], ["notes", "location"])
+    return spark.createDataFrame(rows, "source string, missing_required array<string>, missing_optional array<string>")

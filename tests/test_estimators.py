@@ -140,3 +140,28 @@ def test_bh_by(spark):
     got_by = bh_by(df, "p", method="by").orderBy("i").toPandas()["p_by"].to_numpy()
     c = sum(1 / i for i in range(1, m + 1))
     assert np.allclose(got_by, np.minimum(1, np.minimum.accumulate((raw * c)[::-1])[::-1]))
+
+
+def test_gmm_and_sargan(spark):
+    from ripplekit.estimators.iv import gmm_two_step
+    rng = np.random.default_rng(7)
+    n = 3000
+    z = rng.normal(size=(n, 2))
+    u = rng.normal(size=n)
+    w = z @ np.array([1.0, 0.7]) + u + rng.normal(size=n)
+    y = 1.5 * w + 2 * u + rng.normal(size=n)
+    pdf = pd.DataFrame({"y": y, "w": w, "z1": z[:, 0], "z2": z[:, 1]})
+    df = spark.createDataFrame(pdf)
+    # just identified: GMM = 2SLS = simple IV
+    g = gmm_two_step(df, "y", ["w"], [], ["z1"]).toPandas().set_index("predictor")
+    iv = np.cov(z[:, 0], y)[0, 1] / np.cov(z[:, 0], w)[0, 1]
+    assert g.loc["w", "coef"] == pytest.approx(iv, rel=1e-8)
+    # Sargan = n · R² of 2SLS residuals on all instruments
+    r = k_class(df, "y", ["w"], [], ["z1", "z2"]).toPandas()
+    b = r[(r.method == "2sls")].set_index("predictor")["coef"]
+    e = y - b["const"] - b["w"] * w
+    Z = np.column_stack([np.ones(n), z])
+    fit = Z @ np.linalg.lstsq(Z, e, rcond=None)[0]
+    r2 = 1 - ((e - fit) ** 2).sum() / ((e - e.mean()) ** 2).sum()
+    sargan = r[r.method == "sargan"]["coef"].iloc[0]
+    assert sargan == pytest.approx(n * r2, rel=1e-6, abs=1e-8)
