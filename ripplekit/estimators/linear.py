@@ -85,20 +85,23 @@ def _hc_weights(spark, params, group, X, y, weight, power):
         par = bc.value
         for pdf in batches:
             out = np.zeros(len(pdf))
-            keys = [tuple(r) for r in pdf[group].itertuples(index=False, name=None)] if group else None
-            groups = {k: None for k in keys} if group else {(): None}
-            for g in groups:
+            if group:
+                parts = pdf.groupby(group, sort=False, dropna=False).indices.items()
+            else:
+                parts = [((), np.arange(len(pdf)))]
+            for g, rows in parts:
+                g = g if isinstance(g, tuple) else (g,)
                 if g not in par:
                     continue
                 inv, beta = par[g]
-                mask = np.array([k == g for k in keys]) if group else np.ones(len(pdf), dtype=bool)
-                Xm = pdf.loc[mask, X].to_numpy(dtype=float)
-                e = pdf.loc[mask, y].to_numpy(dtype=float) - Xm @ beta
+                sub = pdf.iloc[rows]
+                Xm = sub[X].to_numpy(dtype=float)
+                e = sub[y].to_numpy(dtype=float) - Xm @ beta
                 h = np.einsum("ij,jk,ik->i", Xm, inv, Xm)
                 if weight:
-                    wv = pdf.loc[mask, weight].to_numpy(dtype=float)
+                    wv = sub[weight].to_numpy(dtype=float)
                     h, e = h * wv, e * wv
-                out[mask] = e * e / np.power(1.0 - h, power)
+                out[rows] = e * e / np.power(1.0 - h, power)
             yield pdf.assign(_hw=out)
     return fn
 

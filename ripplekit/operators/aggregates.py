@@ -31,14 +31,31 @@ def with_total_row(df: DataFrame, key: str, aggs, label: str = "Total") -> DataF
     return r.withColumn(key, F.when(F.col("_g") == 1, F.lit(label)).otherwise(F.col(key))).drop("_g")
 
 
-def top_k_shares(df: DataFrame, part, key: str, k: int = 10) -> DataFrame:
-    """Value counts, top k per group (ties by key), share of the top-k total."""
+def top_k_shares(df: DataFrame, part, key: str, k: int = 10, buckets: int = 64) -> DataFrame:
+    """Value counts, top k per group (ties by key), share of the top-k total.
+
+    Two-level exact top-k: rank inside (group, hash bucket of key) first and
+    keep k per bucket, then rank the ≤ k × buckets survivors per group.  The
+    group's global top k is contained in the union of the bucket top-ks, and a
+    group with millions of distinct keys is never sorted by one task."""
     c = df.groupBy(*part, key).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*part).orderBy(F.col("n").desc(), F.col(key))
-    top = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    order = [F.col("n").desc(), F.col(key)]
+    c = c.withColumn("_b", F.abs(F.xxhash64(key)) % buckets)
+    local = c.withColumn("_r", F.row_number().over(Window.partitionBy(*part, "_b").orderBy(*order))) \
+             .where(F.col("_r") <= k).drop("_r", "_b")
+    top = local.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))) \
+               .where(F.col("rank") <= k)
     return top.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*part)))
 
 
+def with_group_stats(df: DataFrame, part, aggs: dict) -> DataFrame:
+    """W13/W14 for groups that may be hot: the group statistic is a hash
+    aggregate (map-side combine) joined back on the group key, instead of a
+    window that would put a whole group into one task."""
+    st = df.groupBy(*part).agg(*[e.alias(n) for n, e in aggs.items()])
+    return df.join(st, on=list(part), how="left")
+
+
 def masked_weighted_mean(x, w) -> Column:
     """sum(w·x) / sum(w where x is not null) — nulls neither count nor weigh."""
     x = F.col(x) if isinstance(x, str) else x

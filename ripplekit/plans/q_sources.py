@@ -99,7 +99,8 @@ def story_rows(spark, d):
     item = F.struct(F.col("event_id").alias("stories_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"),
                     F.col("event_type").alias("title"),
                     F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd")).alias("publish_date"))
-    pages = e.groupBy("user_id", "day").agg(F.to_json(F.collect_list(item)).alias("page"))
+    # one page per user and hour (a paged listing, bounded per page)
+    pages = e.groupBy("user_id", "day", F.hour("ts").alias("h")).agg(F.to_json(F.collect_list(item)).alias("page"))
     return S.story_rows(pages, "page")
 
 

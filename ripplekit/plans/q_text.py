@@ -339,9 +339,9 @@ def dedupe_earliest(spark, d):
 @query("unique_that_day", views=("evlog",), sql="""
 SELECT event_id, COUNT(*) OVER (PARTITION BY day, user_id, event_type) > 1 AS duplicated FROM evlog""")
 def unique_that_day(spark, d):
-    e = V.evlog(spark, d)
-    return e.select("event_id", (F.count(F.lit(1)).over(Window.partitionBy("day", "user_id", "event_type")) > 1)
-                    .alias("duplicated"))
+    from ..operators.aggregates import with_group_stats
+    e = with_group_stats(V.evlog(spark, d), ["day", "user_id", "event_type"], {"_c": F.count(F.lit(1))})
+    return e.select("event_id", (F.col("_c") > 1).alias("duplicated"))
 
 
 # W23

@@ -202,9 +202,9 @@ def group_share(spark, d):
 SELECT event_id, ROUND(AVG(size) OVER g, 6) AS mean_size, ROUND(ln(AVG(size) OVER g), 9) AS log_mean_size
 FROM ev WINDOW g AS (PARTITION BY area, location)""")
 def group_mean(spark, d):
-    e = V.ev(spark, d)
-    m = W.group_mean("size", ["area", "location"])
-    return e.select("event_id", F.round(m, 6).alias("mean_size"), F.round(F.log(m), 9).alias("log_mean_size"))
+    from ..operators.aggregates import with_group_stats
+    e = with_group_stats(V.ev(spark, d), ["area", "location"], {"_m": F.avg("size")})
+    return e.select("event_id", F.round("_m", 6).alias("mean_size"), F.round(F.log("_m"), 9).alias("log_mean_size"))
 
 
 @query("window_change", views=("panel",), sql="""
@@ -238,8 +238,9 @@ def logdiff_roundtrip(spark, d):
 @query("relative_days", views=("ev",), sql="""
 SELECT event_id, datediff('day', MIN(day) OVER (PARTITION BY unit), day) AS rel_day FROM ev""")
 def relative_days(spark, d):
-    e = V.ev(spark, d)
-    return e.select("event_id", F.datediff("day", F.min("day").over(Window.partitionBy("unit"))).cast("long").alias("rel_day"))
+    from ..operators.aggregates import with_group_stats
+    e = with_group_stats(V.ev(spark, d), ["unit"], {"_first": F.min("day")})
+    return e.select("event_id", F.datediff("day", "_first").cast("long").alias("rel_day"))
 
 
 @query("baseline_forecast", views=("panel",), sql=f"""
