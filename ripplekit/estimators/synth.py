@@ -162,11 +162,12 @@ def _day_solver(outcomes, pre, post, method, scale, unit, start_ok="_ev", with_c
     every event of the day, so each unit-day window array is shipped once."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ed = pdf["event_day"].iloc[0]
-        cut, sc = None, scale
+        cut, sc, min_count = None, scale, None
         if with_config:
-            cfg = pdf["config"].iloc[0]
-            cut, sc = int(cfg.split("|")[0]), cfg.split("|")[1]
+            parts = pdf["config"].iloc[0].split("|")
+            cut, sc = int(parts[0]), parts[1]
             sc = None if sc == "none" else sc
+            min_count = float(parts[2]) if len(parts) > 2 else None
         lens = [len(v) for o in outcomes for v in pdf[f"_a_{o}"] if v is not None]
         n = min(lens) if lens else 0
         outs = []
@@ -178,6 +179,12 @@ def _day_solver(outcomes, pre, post, method, scale, unit, start_ok="_ev", with_c
             donors = np.nonzero(treat == 0)[0]
             series = pdf["series"].to_numpy()
             for ti in np.nonzero((treat == 1) & evok)[0]:
+                if min_count is not None:
+                    # Skip events whose treated pre-period mean count is below the minimum
+                    lo = pre - (cut or pre)
+                    pre_vals = mats[outcomes[0]][ti, lo:pre]
+                    if np.isnan(pre_vals).any() or pre_vals.mean() < min_count:
+                        continue
                 idx = np.concatenate([[ti], donors])
                 r = _solve_event(series[ti], ed, series[idx], {o: m[idx] for o, m in mats.items()}, outcomes,
                                  pre, post, method, sc, unit, cut)
@@ -283,13 +290,16 @@ def scaled_donor_mean(panel: DataFrame, outcome: str, pre: int, post: int, treat
     return per_day.where(F.col("n_donors") > 0).withColumn("y_synth", F.col("donor_mean") * ratio)
 
 def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), treatment: str = "occ_protest",
-            start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
+            start: str | None = None, unit: str = "unit", day: str = "day", min_counts=None) -> DataFrame:
     """One job for a grid of (pre-period, scaling) configurations:
     window arrays are built once for the longest pre-period, each event group
     is replicated per configuration (generated key, no join) and solved on its
     own slice.  Per config: pre-period fit RMSE, post-period bias and RMSE."""
     import itertools
-    configs = [f"{p}|{s or 'none'}" for p, s in itertools.product(pres, scales)]
+    if min_counts:
+        configs = [f"{p}|{s or 'none'}|{m}" for p, s, m in itertools.product(pres, scales, min_counts)]
+    else:
+        configs = [f"{p}|{s or 'none'}" for p, s in itertools.product(pres, scales)]
     mx = max(pres)
     m = day_members(panel, [outcome], mx, post, treatment, start, unit, day)
     m = _spread(m.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))), ["event_day", "config"])
@@ -297,8 +307,11 @@ def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), tre
     res = m.groupBy("event_day", "config").applyInPandas(
         _day_solver([outcome], mx, post, "nnls", None, unit, with_config=True), schema)
     eff = res.withColumn("err", F.col("y") - F.col("y_synth"))
-    return eff.groupBy("config").agg(
+    all_cfg = panel.sparkSession.createDataFrame([(c,) for c in configs], "config string")
+    stats = eff.groupBy("config").agg(
         F.countDistinct(unit, "event_day").alias("events"),
         F.sqrt(F.avg(F.when(F.col("rel_day") < 0, F.col("err") * F.col("err")))).alias("pre_rmse"),
         F.avg(F.when(F.col("rel_day") >= 0, F.col("err"))).alias("post_bias"),
         F.sqrt(F.avg(F.when(F.col("rel_day") >= 0, F.col("err") * F.col("err")))).alias("post_rmse"))
+    # every configuration appears, with 0 events when none qualifies
+    return all_cfg.join(stats, "config", "left").fillna({"events": 0})

@@ -216,3 +216,57 @@ def column_check(spark, d):
     frames = {"ev": V.ev(spark, d), "evall": V.evall(spark, d), "events": table(spark, d, "events")}
     rows = required_columns_report(frames, ["event_id", "day", "unit", "size"], ["notes", "location"])
     return spark.createDataFrame(rows, "source string, missing_required array<string>, missing_optional array<string>")
+
+
+@query("min_count_sweep")
+def min_count_sweep(spark, d):
+    """Minimum-count sensitivity × training length: events whose treated
+    pre-period mean is below the minimum are left out; one job for the grid."""
+    g = SC.sc_grid(V.panel(spark, d), V.MEDIA_COLS[0], [14, 28], 7, start=V.START, min_counts=[0, 5, 10])
+    parts = F.split("config", r"\|")
+    return g.select(parts.getItem(0).cast("int").alias("pre"), parts.getItem(2).cast("double").alias("min_count"),
+                    "events", "pre_rmse", "post_bias", "post_rmse")
+
+
+@query("prefix_columns", views=("instr",), sql="""
+SELECT unit, day, weather_discount AS covid_weather_discount, weather_tax AS covid_weather_tax FROM instr""")
+def prefix_columns(spark, d):
+    """Drop a column if present (absent names ignored), prefix the rest."""
+    from ..operators.filters import affix, drop_if_present
+    i = drop_if_present(V.instr(spark, d), "weather_quantity", "not_there")
+    return affix(i, prefix="covid_")
+
+
+@query("finite_values", views=("ev",), sql="""
+SELECT event_id, CASE WHEN isinf(exp(size / 500.0)) OR isnan(exp(size / 500.0)) THEN NULL ELSE ROUND(exp(size / 500.0) / 1e300, 12) END AS ratio FROM ev""")
+def finite_values(spark, d):
+    """±inf / NaN -> null (exp overflows for the largest sizes)."""
+    from ..operators.filters import finite_or_null
+    e = V.ev(spark, d)
+    return e.select("event_id", F.round(finite_or_null(F.exp(F.col("size") / 500.0)) / 1e300, 12).alias("ratio"))
+
+
+@query("clean_titles", sql="""
+SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '[“”„"]', '', 'g'), '^\\)\\s*', '') AS title
+FROM pages""")
+def clean_titles(spark, d):
+    """quote / leading-bracket cleanup of scraped titles."""
+    from ..functions.text import clean_quotes, html_title
+    return table(spark, d, "pages").select("page_id", clean_quotes(html_title("html")).alias("title"))
+
+
+@query("paragraph_join")
+def paragraph_join(spark, d):
+    """single line breaks -> spaces, paragraph breaks kept (Java regex
+    look-arounds; checked against Python's re in tests)."""
+    from ..functions.text import join_single_newlines
+    return table(spark, d, "conversations").select("conv_id", "turn", join_single_newlines("text").alias("text"))
+
+
+@query("date_context", views=("ev",), sql="""
+SELECT event_id, array_to_string(list_transform(range(-7, 8), lambda k: strftime(day + CAST(k AS INTEGER), '%Y-%m-%d') || ' ' ||
+  dayname(day + CAST(k AS INTEGER))), chr(10)) AS context FROM ev""")
+def date_context(spark, d):
+    """the ±7-day date helper text (date and weekday per line)."""
+    from ..functions.dates import date_context as ctx
+    return V.ev(spark, d).select("event_id", ctx("day").alias("context"))
