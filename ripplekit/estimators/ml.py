@@ -116,6 +116,9 @@ def chained_impute(df: DataFrame, cols, rounds: int = 2, trees: int = 20, checkp
     on the other columns (current fills) predicts its missing cells.  Columns
     that are null everywhere become 0.  Starts from column means."""
     cols = list(cols)
+    if checkpoint:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     d = df.withColumns({f"_miss_{c}": F.col(c).isNull() for c in cols})
     d = d.withColumns({c: F.coalesce(F.col(c), F.lit(means[c] if means[c] is not None else 0.0)) for c in cols})
