@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import norm_cdf, norm_ppf, t_cdf
-from .gram import collect_gram, dot, quad
+from ..functions.stats import norm_ppf, t_cdf
+from .gram import collect_gram
 
 COEF_SCHEMA = ("predictor string, coef double, se double, stat double, p double, ci_lower double, "
                "ci_upper double, n long")

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import t_ppf
 from ..operators import aggregates as A
 from ..operators import windows as W
 from ..operators.joins import event_window

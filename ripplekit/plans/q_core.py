@@ -3,7 +3,6 @@ calendar spine, 7-day cumulative lead, and the first question
 "does an event day precede more coverage?" (P1 P5 J6 A1 A3 T1 J1 W3 C2)."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.windows import cumulative_target

@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import roles
-from ..operators import filters as P
 from ..operators import windows as W
 from ..operators.joins import event_window
 from ..sources import views as V
