@@ -74,19 +74,38 @@ def _spread(df: DataFrame, keys) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def _ar_path(y: np.ndarray, npre: int, p: int) -> np.ndarray:
-    """AR(p) with constant fitted by least squares on the pre-window;
-    in-sample one-step fits for the pre-period, recursive forecasts after."""
+def _ar_path(y: np.ndarray, npre: int, p: int, exog: np.ndarray | None = None, direct: bool = False) -> np.ndarray:
+    """AR(p) with constant fitted by least squares on the pre-window.
+    Recursive (default): in-sample one-step fits for the pre-period, then
+    forecasts fed back.  ``exog``: an extra regressor known for every day (the
+    donors' mean), used at the same day.  ``direct``: one regression per
+    horizon h on the last p pre-period values (no feedback)."""
     out = np.full(len(y), np.nan)
     if npre <= p + 1:
         return out
-    rows = np.array([np.concatenate([[1.0], y[t - p:t][::-1]]) for t in range(p, npre)])
+
+    def row(hist, t):
+        r = [1.0] + list(np.asarray(hist[t - p:t])[::-1])
+        if exog is not None:
+            r.append(exog[t])
+        return np.array(r)
+
+    rows = np.array([row(y, t) for t in range(p, npre)])
     beta = np.linalg.lstsq(rows, y[p:npre], rcond=None)[0]
     out[p:npre] = rows @ beta
+    if direct:
+        for h in range(1, len(y) - npre + 1):
+            ts = list(range(p, npre - h + 1))
+            if len(ts) < p + 2:
+                break
+            A = np.array([[1.0] + list(y[t - p:t][::-1]) + ([exog[t + h - 1]] if exog is not None else []) for t in ts])
+            bh = np.linalg.lstsq(A, y[[t + h - 1 for t in ts]], rcond=None)[0]
+            x = [1.0] + list(y[npre - p:npre][::-1]) + ([exog[npre + h - 1]] if exog is not None else [])
+            out[npre + h - 1] = float(np.array(x) @ bh)
+        return out
     hist = list(y[:npre])
     for t in range(npre, len(y)):
-        x = np.concatenate([[1.0], np.array(hist[-p:])[::-1]])
-        v = float(x @ beta)
+        v = float(row(np.array(hist), t) @ beta)
         out[t] = v
         hist.append(v)
     return out
@@ -104,7 +123,7 @@ def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit,
     if not ok[t_idx[0]]:
         return None
     d_idx = np.nonzero(ok & (series != u))[0]
-    if len(d_idx) == 0 and method != "ar":
+    if len(d_idx) == 0 and not method.startswith("ar"):
         return None
     lo = 0 if cut is None else pre - cut           # shorter pre-period inside a longer window
     ys, Ds, pre_mask, rel, outs = [], [], [], [], []
@@ -120,8 +139,10 @@ def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit,
         pre_mask.append(np.arange(M.shape[1]) < npre)
         rel.append(np.arange(M.shape[1]) - npre)
         outs.append(np.full(M.shape[1], o, dtype=object))
-    if method == "ar":
-        yh = np.concatenate([_ar_path(y, int(pm.sum()), ar_order) for y, pm in zip(ys, pre_mask)])
+    if method in ("ar", "arx", "ar_direct", "arx_direct"):
+        ex = [D.mean(axis=1) if (method.startswith("arx") and D.shape[1]) else None for D in Ds]
+        yh = np.concatenate([_ar_path(y, int(pm.sum()), ar_order, e, method.endswith("direct"))
+                             for y, pm, e in zip(ys, pre_mask, ex)])
         y, pm = np.concatenate(ys), np.concatenate(pre_mask)
         rel, outs = np.concatenate(rel), np.concatenate(outs)
         ok_pre = pm & ~np.isnan(yh)
@@ -157,49 +178,65 @@ def _solve_event(u, ed, series, mats, outcomes, pre, post, method, scale, unit,
                          "y_synth": yh, "n_donors": np.int32(len(d_idx)), "loss": loss})
 
 
-def _day_solver(outcomes, pre, post, method, scale, unit, start_ok="_ev", with_config=False):
+def _day_solver(outcomes, pre, post, method, scale, unit, start_ok="_ev", configs=None):
     """One group per event DAY: the donors (untreated that day) are shared by
-    every event of the day, so each unit-day window array is shipped once."""
+    every event of the day, so each unit-day window array is shipped once.
+    With ``configs`` every configuration is solved on the same group (the data
+    is not replicated per configuration)."""
+    def solve_cfg(pdf, mats, n, ed, cfg):
+        cut, sc, min_count, meth, order = None, scale, None, method, 7
+        if cfg is not None:
+            c = parse_config(cfg)
+            cut = int(c["pre"])
+            sc = None if c.get("scale", "none") == "none" else c["scale"]
+            min_count = float(c["min"]) if "min" in c else None
+            meth = c.get("method", method)
+            order = int(c.get("order", 7))
+        outs = []
+        treat = pdf["_t"].to_numpy()
+        evok = pdf[start_ok].to_numpy()
+        donors = np.nonzero(treat == 0)[0]
+        series = pdf["series"].to_numpy()
+        for ti in np.nonzero((treat == 1) & evok)[0]:
+            if min_count is not None:
+                # Skip events whose treated pre-period mean count is below the minimum
+                lo = pre - (cut or pre)
+                pre_vals = mats[outcomes[0]][ti, lo:pre]
+                if np.isnan(pre_vals).any() or pre_vals.mean() < min_count:
+                    continue
+            idx = np.concatenate([[ti], donors])
+            r = _solve_event(series[ti], ed, series[idx], {o: m[idx] for o, m in mats.items()}, outcomes,
+                             pre, post, meth, sc, unit, cut, ar_order=order)
+            if r is not None:
+                if cfg is not None:
+                    r["config"] = cfg
+                outs.append(r)
+        return outs
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ed = pdf["event_day"].iloc[0]
-        cut, sc, min_count = None, scale, None
-        if with_config:
-            parts = pdf["config"].iloc[0].split("|")
-            cut, sc = int(parts[0]), parts[1]
-            sc = None if sc == "none" else sc
-            min_count = float(parts[2]) if len(parts) > 2 else None
         lens = [len(v) for o in outcomes for v in pdf[f"_a_{o}"] if v is not None]
         n = min(lens) if lens else 0
         outs = []
         if n > pre:
             mats = {o: np.vstack([np.asarray(v[:n], dtype=float) if v is not None else np.full(n, np.nan)
                                   for v in pdf[f"_a_{o}"]]) for o in outcomes}
-            treat = pdf["_t"].to_numpy()
-            evok = pdf[start_ok].to_numpy()
-            donors = np.nonzero(treat == 0)[0]
-            series = pdf["series"].to_numpy()
-            for ti in np.nonzero((treat == 1) & evok)[0]:
-                if min_count is not None:
-                    # Skip events whose treated pre-period mean count is below the minimum
-                    lo = pre - (cut or pre)
-                    pre_vals = mats[outcomes[0]][ti, lo:pre]
-                    if np.isnan(pre_vals).any() or pre_vals.mean() < min_count:
-                        continue
-                idx = np.concatenate([[ti], donors])
-                r = _solve_event(series[ti], ed, series[idx], {o: m[idx] for o, m in mats.items()}, outcomes,
-                                 pre, post, method, sc, unit, cut)
-                if r is not None:
-                    outs.append(r)
+            for cfg in (configs or [None]):
+                outs += solve_cfg(pdf, mats, n, ed, cfg)
         if outs:
-            out = pd.concat(outs, ignore_index=True)
-        else:
-            out = pd.DataFrame({c: pd.Series(dtype=t) for c, t in SC_DTYPES.items()}).rename(columns={"unit": unit})
-        if with_config:
-            out["config"] = pdf["config"].iloc[0] if len(out) else pd.Series(dtype=object)
+            return pd.concat(outs, ignore_index=True)
+        out = pd.DataFrame({c: pd.Series(dtype=t) for c, t in SC_DTYPES.items()}).rename(columns={"unit": unit})
+        if configs:
+            out["config"] = pd.Series(dtype=object)
         return out
     return solve
 
 
+def parse_config(cfg: str) -> dict:
+    """'pre=28|scale=none|min=5|method=ar|order=7' -> dict."""
+    return dict(kv.split("=", 1) for kv in cfg.split("|"))
+
+
 def day_members(panel: DataFrame, outcomes, pre: int, post: int, treatment: str = "occ_protest",
                 start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
     """One row per (day, unit) with the unit's window arrays, its treatment
@@ -212,34 +249,6 @@ def day_members(panel: DataFrame, outcomes, pre: int, post: int, treatment: str
     return t.join(arr, ["series", "event_day"]).withColumn("_ev", ok)
 
 
-def _solver(outcomes, pre, post, method, scale, unit, with_config=False):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, ed = pdf["ev_unit"].iloc[0], pdf["event_day"].iloc[0]
-        cut = None
-        if with_config:
-            cfg = pdf["config"].iloc[0]
-            cut, sc = int(cfg.split("|")[0]), cfg.split("|")[1]
-            sc = None if sc == "none" else sc
-        else:
-            sc = scale
-        lens = [len(v) for o in outcomes for v in pdf[f"_a_{o}"] if v is not None]
-        n = min(lens) if lens else 0          # all series share the calendar end
-        if n <= pre:
-            n = 0
-        mats = {}
-        for o in outcomes:
-            col = pdf[f"_a_{o}"]
-            mats[o] = np.vstack([np.asarray(v[:n], dtype=float) if v is not None else np.full(n, np.nan)
-                                 for v in col]) if n else np.zeros((len(col), 0))
-        out = _solve_event(u, ed, pdf["series"].to_numpy(), mats, outcomes, pre, post, method, sc, unit, cut)
-        if out is None:
-            out = pd.DataFrame({c: pd.Series(dtype=t) for c, t in SC_DTYPES.items()}).rename(columns={"unit": unit})
-        if with_config:
-            out["config"] = pdf["config"].iloc[0] if len(out) else pd.Series(dtype=object)
-        return out
-    return solve
-
-
 SC_DTYPES = {"unit": object, "event_day": object, "outcome": object, "rel_day": "int32", "y": float,
              "y_synth": float, "n_donors": "int32", "loss": float}
 
@@ -290,22 +299,27 @@ def scaled_donor_mean(panel: DataFrame, outcome: str, pre: int, post: int, treat
     return per_day.where(F.col("n_donors") > 0).withColumn("y_synth", F.col("donor_mean") * ratio)
 
 def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), treatment: str = "occ_protest",
-            start: str | None = None, unit: str = "unit", day: str = "day", min_counts=None) -> DataFrame:
-    """One job for a grid of (pre-period, scaling) configurations:
-    window arrays are built once for the longest pre-period, each event group
-    is replicated per configuration (generated key, no join) and solved on its
-    own slice.  Per config: pre-period fit RMSE, post-period bias and RMSE."""
+            start: str | None = None, unit: str = "unit", day: str = "day", min_counts=None,
+            methods=("nnls",), orders=(7,)) -> DataFrame:
+    """One job for a grid of configurations (pre-period,
+    scaling, minimum count, method, lag order): window arrays are built once
+    for the longest pre-period, each day group is shipped once and every
+    configuration is solved on its slice inside the group.  Per config:
+    pre-period fit RMSE, post-period bias and RMSE."""
     import itertools
-    if min_counts:
-        configs = [f"{p}|{s or 'none'}|{m}" for p, s, m in itertools.product(pres, scales, min_counts)]
-    else:
-        configs = [f"{p}|{s or 'none'}" for p, s in itertools.product(pres, scales)]
+    configs = []
+    for p, sc, m, meth, o in itertools.product(pres, scales, min_counts or [None], methods, orders):
+        c = f"pre={p}|scale={sc or 'none'}"
+        c += f"|min={m}" if m is not None else ""
+        c += f"|method={meth}" if meth != "nnls" else ""
+        c += f"|order={o}" if meth.startswith("ar") else ""
+        if c not in configs:
+            configs.append(c)
     mx = max(pres)
-    m = day_members(panel, [outcome], mx, post, treatment, start, unit, day)
-    m = _spread(m.withColumn("config", F.explode(F.array(*[F.lit(c) for c in configs]))), ["event_day", "config"])
+    m = _spread(day_members(panel, [outcome], mx, post, treatment, start, unit, day), ["event_day"])
     schema = SC_SCHEMA.replace("unit string", f"{unit} string") + ", config string"
-    res = m.groupBy("event_day", "config").applyInPandas(
-        _day_solver([outcome], mx, post, "nnls", None, unit, with_config=True), schema)
+    res = m.groupBy("event_day").applyInPandas(
+        _day_solver([outcome], mx, post, "nnls", None, unit, configs=configs), schema)
     eff = res.withColumn("err", F.col("y") - F.col("y_synth"))
     all_cfg = panel.sparkSession.createDataFrame([(c,) for c in configs], "config string")
     stats = eff.groupBy("config").agg(

@@ -204,8 +204,8 @@ def leaderboard(spark, d):
     metric, distinct (over the synthetic-control configuration grid)."""
     g = SC.sc_grid(V.panel(spark, d), V.MEDIA_COLS[0], [7, 14, 28], 7, scales=(None, "demean"), start=V.START)
     t = g.withColumnRenamed("post_rmse", "value").select(
-        F.regexp_replace("config", r"^\d+\|", "").alias("scale"),
-        F.split("config", r"\|").getItem(0).cast("int").alias("pre"), "value", "post_bias")
+        F.regexp_replace("config", r"^pre=\d+\|", "").alias("scale"),
+        F.regexp_extract("config", r"pre=(\d+)", 1).cast("int").alias("pre"), "value", "post_bias")
     return t.where(F.col("value").isNotNull()).distinct().orderBy("value")
 
 
@@ -223,8 +223,8 @@ def min_count_sweep(spark, d):
     """Minimum-count sensitivity × training length: events whose treated
     pre-period mean is below the minimum are left out; one job for the grid."""
     g = SC.sc_grid(V.panel(spark, d), V.MEDIA_COLS[0], [14, 28], 7, start=V.START, min_counts=[0, 5, 10])
-    parts = F.split("config", r"\|")
-    return g.select(parts.getItem(0).cast("int").alias("pre"), parts.getItem(2).cast("double").alias("min_count"),
+    return g.select(F.regexp_extract("config", r"pre=(\d+)", 1).cast("int").alias("pre"),
+                    F.regexp_extract("config", r"min=([0-9.]+)", 1).cast("double").alias("min_count"),
                     "events", "pre_rmse", "post_bias", "post_rmse")
 
 
@@ -270,3 +270,13 @@ def date_context(spark, d):
     """the ±7-day date helper text (date and weekday per line)."""
     from ..functions.dates import date_context as ctx
     return V.ev(spark, d).select("event_id", ctx("day").alias("context"))
+
+
+@query("ar_forecast_grid")
+def ar_forecast_grid(spark, d):
+    """Autoregressive forecasts — recursive / direct, without / with the
+    donors' mean as exogenous regressor — × lag order × training window, all
+    configurations solved in one job."""
+    g = SC.sc_grid(V.panel(spark, d), V.MEDIA_COLS[0], [28, 56], 7, start=V.START,
+                   methods=("ar", "arx", "ar_direct", "arx_direct"), orders=(3, 7))
+    return g.select("config", "events", "pre_rmse", "post_bias", "post_rmse")

@@ -33,7 +33,7 @@ def test_scaled_donor_mean_and_grid(spark):
     m = SC.scaled_donor_mean(p, "y", 14, 7, start="2000-01-01").toPandas()
     assert len(m) == 2 * 21 and (m["n_donors"] == 4).all()
     g = SC.sc_grid(p, "y", [7, 14], 7, scales=(None, "demean"), start="2000-01-01").toPandas()
-    assert set(g["config"]) == {"7|none", "14|none", "7|demean", "14|demean"}
+    assert set(g["config"]) == {"pre=7|scale=none", "pre=14|scale=none", "pre=7|scale=demean", "pre=14|scale=demean"}
     assert (g["events"] == 2).all()
 
 
@@ -45,3 +45,16 @@ def test_ar_forecast_exact_on_ar_process(spark):
         y[t] = 2.0 + 0.5 * y[t - 1]
     f = _ar_path(y, 40, 1)
     assert np.allclose(f[1:], y[1:], atol=1e-8)
+
+
+def test_ar_direct_and_exog():
+    from ripplekit.estimators.synth import _ar_path
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=80)
+    y = np.zeros(80)
+    for t in range(1, 80):
+        y[t] = 1.0 + 0.4 * y[t - 1] + 2.0 * x[t]
+    f = _ar_path(y, 60, 1, exog=x)
+    assert np.allclose(f[1:], y[1:], atol=1e-8)
+    d = _ar_path(y, 60, 1, exog=x, direct=True)
+    assert np.isfinite(d[60:]).all()
