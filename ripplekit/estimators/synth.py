@@ -52,8 +52,8 @@ def event_members(panel: DataFrame, pre: int, treatment: str = "occ_protest", st
 
 def event_panel(panel: DataFrame, outcomes, pre: int, post: int, treatment: str = "occ_protest",
                 start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
-    """Long rows (unit, event_day, series, outcome, rel_day, value) — used by
-    the pure-aggregate baselines."""
+    """Long rows (unit, event_day, series, outcome, rel_day, value) for
+    callers that want one row per event, series and window day."""
     arr = window_arrays(panel, outcomes, pre, post, unit, day)
     m = event_members(panel, pre, treatment, start, unit, day).join(arr, ["series", "event_day"])
     long = m.unpivot(["ev_unit", "event_day", "series"], [f"_a_{o}" for o in outcomes], "outcome", "vals") \
