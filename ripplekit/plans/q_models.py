@@ -261,7 +261,38 @@ def _k2_exprs(n, g1, g2):
     return z1, z2, k2, F.exp(-k2 / 2)
 
 
-@query("normality")
+def _k2_sql(n, g1, g2):
+    y = f"({g1} * sqrt(({n} + 1) * ({n} + 3) / (6.0 * ({n} - 2))))"
+    beta2 = f"(3.0 * ({n} * {n} + 27 * {n} - 70) * ({n} + 1) * ({n} + 3) / (({n} - 2) * ({n} + 5) * ({n} + 7) * ({n} + 9)))"
+    w2 = f"(-1 + sqrt(2 * ({beta2} - 1)))"
+    delta = f"(1 / sqrt(0.5 * ln({w2})))"
+    alpha = f"sqrt(2 / ({w2} - 1))"
+    ya = f"({y} / {alpha})"
+    z1 = f"({delta} * ln({ya} + sqrt({ya} * {ya} + 1)))"
+    e = f"(3.0 * ({n} - 1) / ({n} + 1))"
+    varb2 = f"(24.0 * {n} * ({n} - 2) * ({n} - 3) / (({n} + 1) * ({n} + 1) * ({n} + 3) * ({n} + 5)))"
+    x = f"(({g2} + 3 - {e}) / sqrt({varb2}))"
+    sb1 = f"(6.0 * ({n} * {n} - 5 * {n} + 2) / (({n} + 7) * ({n} + 9)) * sqrt(6.0 * ({n} + 3) * ({n} + 5) / ({n} * ({n} - 2) * ({n} - 3))))"
+    a = f"(6.0 + 8.0 / {sb1} * (2.0 / {sb1} + sqrt(1 + 4.0 / ({sb1} * {sb1}))))"
+    den = f"(1 + {x} * sqrt(2 / ({a} - 4)))"
+    term2 = f"(sign({den}) * pow((1 - 2 / {a}) / abs({den}), 1.0 / 3))"
+    z2 = f"((1 - 2 / (9 * {a}) - {term2}) / sqrt(2 / (9 * {a})))"
+    return z1, z2
+
+
+_Z1, _Z2 = _k2_sql("n", "g1", "g2")
+NORMALITY_SQL = f"""
+, x AS (SELECT unit, media_online_protest - LAG(media_online_protest) OVER (PARTITION BY unit ORDER BY day) AS x FROM panel),
+ m AS (SELECT unit, COUNT(x) AS n, AVG(x) AS mu FROM x GROUP BY unit),
+ c AS (SELECT x.unit, m.n, AVG(pow(x.x - m.mu, 2)) AS m2, AVG(pow(x.x - m.mu, 3)) AS m3, AVG(pow(x.x - m.mu, 4)) AS m4
+       FROM x JOIN m ON x.unit = m.unit WHERE x.x IS NOT NULL GROUP BY x.unit, m.n),
+ g AS (SELECT unit, CAST(n AS DOUBLE) AS n, m3 / pow(m2, 1.5) AS g1, m4 / (m2 * m2) - 3 AS g2 FROM c),
+ z AS (SELECT unit, n, g1, g2, {_Z1} AS z1, {_Z2} AS z2 FROM g)
+SELECT unit, n, ROUND(g1, 6) AS g1, ROUND(g2, 6) AS g2, ROUND(z1, 6) AS z_skew, ROUND(z2, 6) AS z_kurt,
+  ROUND(z1 * z1 + z2 * z2, 6) AS k2, ROUND(exp(-(z1 * z1 + z2 * z2) / 2), 9) AS p FROM z"""
+
+
+@query("normality", views=("panel",), sql=NORMALITY_SQL)
 def normality(spark, d):
     """K² normality test of the differenced series per unit; moments by
     one aggregate, the test statistic as column arithmetic (χ²₂ tail = e^(-K²/2))."""
@@ -269,7 +300,9 @@ def normality(spark, d):
     m = p.groupBy("unit").agg(F.count("x").cast("double").alias("n"), F.skewness("x").alias("g1"),
                               F.kurtosis("x").alias("g2"))
     z1, z2, k2, pv = _k2_exprs(F.col("n"), F.col("g1"), F.col("g2"))
-    return m.select("unit", "n", "g1", "g2", z1.alias("z_skew"), z2.alias("z_kurt"), k2.alias("k2"), pv.alias("p"))
+    return m.select("unit", "n", F.round("g1", 6).alias("g1"), F.round("g2", 6).alias("g2"),
+                    F.round(z1, 6).alias("z_skew"), F.round(z2, 6).alias("z_kurt"), F.round(k2, 6).alias("k2"),
+                    F.round(pv, 9).alias("p"))
 
 
 @query("baseline_auc", views=("panel",), sql="""
