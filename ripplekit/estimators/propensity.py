@@ -85,4 +85,4 @@ def class_weights(label: Column) -> list[Column]:
     """N / (2 · n_class) for classes 0 and 1."""
     n = F.count(F.lit(1))
     n1 = F.sum(label)
-    return [(n / (2 * (n - n1))).alias("w0"), (n / (2 * n1)).alias("w1")]
+    return [F.try_divide(n, 2 * (n - n1)).alias("w0"), F.try_divide(n, 2 * n1).alias("w1")]

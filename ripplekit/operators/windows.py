@@ -157,10 +157,13 @@ def running_sum(y, part, order) -> Column:
 
 # W12 / W13 / W14 ------------------------------------------------------------
 def zscore(y, part=(), sample: bool = True) -> Column:
+    """Standardise within ``part`` groups.  With ``part=()`` the window is a
+    single partition: for whole-table moments compute the two scalars with
+    one aggregate instead (as the ``zscore`` plan does)."""
     y = F.col(y) if isinstance(y, str) else y
     w = Window.partitionBy(*part)
     sd = F.stddev_samp(y) if sample else F.stddev_pop(y)
-    return (y - F.avg(y).over(w)) / sd.over(w)
+    return F.try_divide(y - F.avg(y).over(w), sd.over(w))   # constant group -> null, not an error
 
 
 def minmax(y, part=()) -> Column:
@@ -178,6 +181,8 @@ def share_of(y, part=(), how: str = "sum") -> Column:
 
 
 def group_mean(y, part) -> Column:
+    """Window form; for groups that can be hot use
+    ``aggregates.with_group_stats`` (aggregate + join)."""
     y = F.col(y) if isinstance(y, str) else y
     return F.avg(y).over(Window.partitionBy(*part))
 

@@ -125,7 +125,8 @@ def indicator_matrix(spark, d):
         text = rows.agg(F.concat_ws("\n", F.lit(name), F.lit("schluessel;regionaleinheit;wert"),
                                     F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("value"))
         text.write.mode("overwrite").text(os.path.join(base, name))
-    return S.indicator_matrix(spark, os.path.join(base, "*"))
+    regions = [r[0] for r in V.units(spark, d).orderBy("unit").collect()]   # 25-row dimension
+    return S.indicator_matrix(spark, os.path.join(base, "*"), regions=regions)
 
 
 @query("effects_by_group")

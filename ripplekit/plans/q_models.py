@@ -220,7 +220,7 @@ def aipw(spark, d):
 
 
 @query("class_weights", views=("panel",), sql="""
-SELECT unit, ROUND(COUNT(*) / (2.0 * (COUNT(*) - SUM(occ_protest))), 9) AS w0, ROUND(COUNT(*) / (2.0 * SUM(occ_protest)), 9) AS w1
+SELECT unit, ROUND(COUNT(*) / NULLIF(2.0 * (COUNT(*) - SUM(occ_protest)), 0), 9) AS w0, ROUND(COUNT(*) / NULLIF(2.0 * SUM(occ_protest), 0), 9) AS w1
 FROM panel GROUP BY unit""")
 def class_weights(spark, d):
     r = V.panel(spark, d).groupBy("unit").agg(*PS.class_weights(F.col("occ_protest")))

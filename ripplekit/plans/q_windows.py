@@ -176,7 +176,7 @@ def zscore(spark, d):
     # global moments: one aggregate, two scalars to the driver (no single-partition window)
     r = p.agg(F.avg("media_online_protest").alias("m"), F.stddev_samp("media_online_protest").alias("s")).first()
     return p.select("unit", "day",
-                    F.round((F.col("media_online_protest") - F.lit(r["m"])) / F.lit(r["s"]), 9).alias("z_global"),
+                    F.round(F.try_divide(F.col("media_online_protest") - F.lit(r["m"]), F.lit(r["s"])), 9).alias("z_global"),
                     F.round(W.zscore("media_online_protest", ["unit"], sample=False), 9).alias("z_unit_pop"))
 
 

@@ -60,9 +60,11 @@ def union_files(frames: dict[str, DataFrame], name_col: str = "city") -> DataFra
 
 
 # S8 -------------------------------------------------------------------------
-def indicator_matrix(spark: SparkSession, folder: str, sep: str = ";") -> DataFrame:
+def indicator_matrix(spark: SparkSession, folder: str, sep: str = ";", regions=None) -> DataFrame:
     """Single-indicator text files (line 1 = indicator title, then a header
-    'key;region;value' and data rows) -> indicator × region matrix."""
+    'key;region;value' and data rows) -> indicator × region matrix.  Pass the
+    region list (a dimension) to get every region column even when a file
+    lacks it (and to skip pivot's extra distinct-values job)."""
     files = spark.read.text(folder, wholetext=True)
     lines = files.select(F.split(F.col("value"), "\r?\n").alias("l"))
     rows = lines.select(F.element_at("l", 1).alias("indicator"), F.explode(F.slice("l", 3, 1 << 30)).alias("line"))
@@ -70,6 +72,8 @@ def indicator_matrix(spark: SparkSession, folder: str, sep: str = ";") -> DataFr
     data = rows.where(F.size(parts) >= 3).select(
         "indicator", F.element_at(parts, 2).alias("region"),
         F.regexp_replace(F.element_at(parts, 3), ",", ".").try_cast("double").alias("value"))
+    if regions is not None:
+        return data.groupBy("indicator").pivot("region", list(regions)).agg(F.first("value"))
     return data.groupBy("indicator").pivot("region").agg(F.first("value"))
 
 
