@@ -20,7 +20,7 @@ IV_SCHEMA = ("method string, predictor string, coef double, se double, stat doub
 
 
 def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "liml"), level: float = 0.95,
-            intercept: bool = True) -> DataFrame:
+            intercept: bool = True, robust: bool = False) -> DataFrame:
     endog, exog, instruments = list(endog), list(exog), list(instruments)
     cols = endog + exog + instruments + [y]
     d = df.select(*cols).dropna()
@@ -68,6 +68,21 @@ def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "l
             p = math.erfc(abs(z) / math.sqrt(2)) if se > 0 else None
             rows.append((m, name, float(beta[i]), float(se), float(z), None if p is None else float(p), float(beta[i] - q * se),
                          float(beta[i] + q * se), float(kappa), int(n)))
+        if m == "2sls" and robust:
+            # HC0 sandwich for 2SLS: one more block-Gram pass over the
+            # instruments weighted by the squared residuals
+            from .gram import dot
+            e = F.col(y) - dot([order[j] for j in R], beta)
+            zcols = [order[j] for j in Zf]
+            (_, _, Om), = collect_gram(d.withColumn("_e2", e * e), zcols, (), F.col("_e2")).values()
+            H = np.linalg.pinv(RPR) @ sub(R, Zf) @ Qinv
+            covr = H @ Om @ H.T
+            for i, name in enumerate(names):
+                se = math.sqrt(max(covr[i, i], 0.0))
+                z = beta[i] / se if se > 0 else float("nan")
+                p = math.erfc(abs(z) / math.sqrt(2)) if se > 0 else None
+                rows.append(("2sls_robust", name, float(beta[i]), float(se), float(z), None if p is None else float(p),
+                             float(beta[i] - q * se), float(beta[i] + q * se), 1.0, int(n)))
         if m == "2sls" and nz > ne:
             # Sargan over-identification test from the same Gram: n · e'P_Z e / e'e
             Ze = Zy - ZR @ beta

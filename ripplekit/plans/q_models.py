@@ -152,7 +152,7 @@ def wald_binary(spark, d):
 def iv_kclass(spark, d):
     p, xs, ys = design(spark, d, instruments=True, lags=[-1, 0])
     exog = [c for c in xs if not c.startswith("occ_")]
-    return IV.k_class(p, ys[0], ["occ_protest_lag0"], exog, V.INSTR_COLS)
+    return IV.k_class(p, ys[0], ["occ_protest_lag0"], exog, V.INSTR_COLS, robust=True)
 
 
 @query("instrument_pca")

@@ -165,3 +165,25 @@ def test_gmm_and_sargan(spark):
     r2 = 1 - ((e - fit) ** 2).sum() / ((e - e.mean()) ** 2).sum()
     sargan = r[r.method == "sargan"]["coef"].iloc[0]
     assert sargan == pytest.approx(n * r2, rel=1e-6, abs=1e-8)
+
+
+
+def test_2sls_robust_se(spark):
+    rng = np.random.default_rng(11)
+    n = 1500
+    z = rng.normal(size=(n, 2))
+    u = rng.normal(size=n)
+    w = z @ np.array([1.0, 0.5]) + u + rng.normal(size=n)
+    y = 2.0 * w + 3 * u + rng.normal(size=n) * (1 + np.abs(z[:, 0]))
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "w": w, "z1": z[:, 0], "z2": z[:, 1]}))
+    r = k_class(df, "y", ["w"], [], ["z1", "z2"], robust=True).toPandas()
+    Z = np.column_stack([np.ones(n), z])
+    R = np.column_stack([np.ones(n), w])
+    Q = np.linalg.inv(Z.T @ Z)
+    A = np.linalg.inv(R.T @ Z @ Q @ Z.T @ R)
+    b = A @ R.T @ Z @ Q @ Z.T @ y
+    e = y - R @ b
+    H = A @ R.T @ Z @ Q
+    cov = H @ ((Z * (e ** 2)[:, None]).T @ Z) @ H.T
+    got = r[r.method == "2sls_robust"].set_index("predictor")
+    assert np.allclose([got.loc["const", "se"], got.loc["w", "se"]], np.sqrt(np.diag(cov)), rtol=1e-8)
