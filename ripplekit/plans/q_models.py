@@ -178,10 +178,15 @@ def instrument_pca(spark, d):
 
 # C12-C15, C42 ---------------------------------------------------------------
 def _ps_frame(spark, d):
+    """Design for the cross-fitted models, written once to the shared
+    checkpoint folder: every fold fit and scoring pass reads the table instead
+    of recomputing the window block."""
+    from ..session import materialize
     p, xs, ys = design(spark, d, lags=list(range(-7, 1)))
     feats = [c for c in xs if c != "occ_protest_lag0"]
     p = p.withColumn("label", F.col("occ_protest_lag0").cast("double")) \
          .withColumn("fold", hash_fold(F.col("day").cast("string"), 5, 1))
+    p = materialize(p.select("unit", "day", "label", "fold", *feats, *ys), "ps_design")
     return p, feats, ys
 
 
@@ -518,7 +523,8 @@ def rf_search(spark, d):
     n_days = F.datediff(F.to_date(F.lit(V.END)), F.to_date(F.lit(V.START))) + 1
     p = p.withColumn("label", F.col("occ_protest_lag0").cast("double")) \
          .withColumn("tfold", F.floor(F.datediff("day", F.to_date(F.lit(V.START))) * 5 / n_days).cast("int"))
-    p = p.select("label", "tfold", *feats).fillna(0.0)
+    from ..session import materialize
+    p = materialize(p.select("label", "tfold", *feats).fillna(0.0), "rf_design")
     return M.rf_time_folds(p, "label", feats, "tfold", 5)
 
 

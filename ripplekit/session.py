@@ -53,11 +53,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, unique: bool = True):
     """Cut lineage by writing ``df`` as Parquet under the checkpoint folder
     and reading it back.  Survives executor loss (unlike local checkpoints)."""
+    import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", name)
+    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:8]}" if unique else name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
