@@ -29,6 +29,10 @@ def row_mean(*cols) -> Column:
     return F.when(n > 0, s / n)
 
 
+# Source labels understood by the selector: "acled", "gpreg",
+# "mean", "difference"; any other label keeps all rows.
+
+
 def select_source(df: DataFrame, source: str, region_col: str = "region",
                   excluded_region: str = "Sachsen") -> DataFrame:
     """Per-source event selection and size column.
