@@ -92,3 +92,14 @@ SELECT conv_id, count(*) n_turns,
   sum(n)::BIGINT formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@_query
+def op8_pii(spark, sf_dir: str) -> DataFrame:
+    from . import pii
+    out = pii.detected(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
