@@ -103,3 +103,9 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}")
               for k, kind in enumerate(pii.KINDS)]
     return out.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@_query
+def op10_repeats(spark, sf_dir: str) -> DataFrame:
+    from .repeats import without_repeats
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
