@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, stored
+from .common import columns_of, smallest, stored
 
 SAMPLE_ROWS = 20_000
 TREE_ROWS = 256
@@ -225,8 +225,7 @@ def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
            sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Statistics, base_failed, the statistics' anomaly scores, the failing statistics and kept for every row."""
     stats = stored(statistics(df, id_col, text_col).withColumn("base_failed", base_failed()), "quality-stats")
-    order = F.xxhash64("doc_id", *COUNTS)
-    rows = stats.where("not base_failed").orderBy(order).limit(sample_rows).select(*COUNTS).toPandas()
+    rows = smallest(stats.where("not base_failed").select("doc_id", *COUNTS), sample_rows, "doc_id", *COUNTS).toPandas()
     x = features({k: rows[k].to_numpy() for k in COUNTS})
     forests = [IsolationForest(x[:, [j]], seed=17 + j) for j in range(len(FEATURES))]
     names = ", ".join(f"{c} long" for c in COUNTS)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, stored
+from .common import columns_of, smallest, stored
 
 BUCKETS, DIM, FILTERS = 1 << 15, 16, 12
 WIDTHS = (1, 2, 3)
@@ -171,9 +171,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_row
     """Word lists and labels of the bounded sample; at most toxic_rows + clean_rows ids are broadcast."""
     marked = (columns_of(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null")
               .where(~held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic").cast("int")))
-    order = F.xxhash64("doc_id")
-    sample = (marked.where("toxic = 1").orderBy(order).limit(toxic_rows)
-              .union(marked.where("toxic = 0").orderBy(order).limit(clean_rows)))
+    sample = (smallest(marked.where("toxic = 1"), toxic_rows, "doc_id")
+              .union(smallest(marked.where("toxic = 0"), clean_rows, "doc_id")))
     rows = (docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
             .mapInArrow(_word_lists, "doc_id long, toxic int, ids binary").orderBy("doc_id").toPandas())
     texts = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows["ids"]]
