@@ -21,10 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -33,14 +35,24 @@ from pyspark.sql import functions as F
 from .common import columns_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-MEMO = 400_000
-BLOCK = 4000
+MEMO = 300_000
+BLOCK = 5 << 20
 SHORT = 256
 _BREAK = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
+    """Ranks by token, from a rank file (base64 token and rank a line) or the JSON of a byte-level BPE."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        special = {t["content"] for t in told.get("added_tokens", ())}
+        # the JSON writes bytes as printable characters: 188 stand for themselves, the others follow from U+0100
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain}
+        byte |= {chr(256 + n): b for n, b in enumerate(x for x in range(256) if x not in plain)}
+        return {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
@@ -108,7 +120,8 @@ class Merger:
 
     def _by_token(self, token, other, made):
         o = np.lexsort((other, token))
-        return np.searchsorted(token[o], np.arange(self.size + 1)), other[o], made[o]
+        return (np.searchsorted(token[o], np.arange(self.size + 1)).tolist(), other[o].astype(np.int32),
+                made[o].astype(np.int32))
 
     @staticmethod
     def _merges(table, token: int, others: np.ndarray) -> np.ndarray:
@@ -116,9 +129,11 @@ class Merger:
         first, other, made = table
         a, b = first[token], first[token + 1]
         if a == b:
-            return np.full(len(others), -1, np.int64)
+            return np.full(len(others), -1, np.int32)
         at = np.minimum(np.searchsorted(other[a:b], others), b - a - 1) + a
-        return np.where(other[at] == others, made[at], -1)
+        out = made[at]
+        out[other[at] != others] = -1
+        return out
 
     def merge_long(self, piece: bytes) -> bytes:
         """Packed ids of one pre-token of any length."""
@@ -158,18 +173,18 @@ class Merger:
     def merge_short(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of many pre-tokens."""
         data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
         ends = np.cumsum(size + 1) - 1
-        owner = np.repeat(np.arange(len(pieces)), size + 1)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size + 1)
         n = len(data)
         gap = np.zeros(n + 1, bool)
         gap[ends] = True
-        part = np.append(self.one[data], 0)
-        held = np.full(n, -1, np.int64)
-        held[:-1] = self.two[data[:-1].astype(np.int64) << 8 | data[1:]]
+        part = np.append(self.one[data], 0).astype(np.int32)
+        held = np.full(n, -1, np.int32)
+        held[:-1] = self.two[data[:-1].astype(np.int32) << 8 | data[1:]]
         held[gap[:n] | gap[1:]] = -1
         held[ends - 1] = -1
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         gap[n] = True  # stands before the first position and after the last
         before[0] = n
         live = ~gap[:n]
@@ -178,11 +193,11 @@ class Merger:
         def push(ranks, at):
             o = np.argsort(ranks, kind="stable")
             ranks, at = ranks[o], at[o]
-            cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-            for r, x in zip(ranks[np.append(0, cut)].tolist(), np.split(at, cut) if len(cut) else [at]):
-                queue.bucket(r).append(x)
+            edge = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(at)]
+            for r, a, b in zip(ranks[edge[:-1]].tolist(), edge, edge[1:]):
+                queue.bucket(r).append(at[a:b])
 
-        at = np.flatnonzero(held >= 0)
+        at = np.flatnonzero(held >= 0).astype(np.int32)
         if len(at):
             push(held[at], at)
         while queue.top:
@@ -193,7 +208,7 @@ class Merger:
             if not len(i):
                 continue
             if len(i) > 1:
-                i = np.unique(i)
+                i.sort()
                 mine = owner[i]
                 first = np.ones(len(i), bool)
                 first[1:] = mine[1:] != mine[:-1]
@@ -208,8 +223,10 @@ class Merger:
             part[i] = rank
             before[k] = i
             p = before[i]
-            right = np.where(gap[k], -1, self._merges(self.with_right, rank, part[k]))
-            left = np.where(gap[p], -1, self._merges(self.with_left, rank, part[p]))
+            right = self._merges(self.with_right, rank, part[k])
+            right[gap[k]] = -1
+            left = self._merges(self.with_left, rank, part[p])
+            left[gap[p]] = -1
             held[i] = right
             inner = ~gap[p]
             held[p[inner]] = left[inner]
@@ -258,7 +275,8 @@ class Encoder:
         if need:
             self.pieces.update(zip(need, self.merger.merge([x.encode() for x in need])))
         piece, known = self.pieces.__getitem__, self.runs.__getitem__
-        for run, parts in found.items():
+        while found:
+            run, parts = found.popitem()
             self.runs[run] = b"".join(map(piece, parts))
         return [b"".join(map(piece, head)) + b"".join(map(known, runs)) for head, runs in zip(heads, split)]
 
@@ -279,15 +297,23 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
+def text_blocks(texts):
+    """(first row, texts) of consecutive rows of an Arrow column, about BLOCK bytes at once; null counts as empty."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BLOCK)))
+        yield lo, [t or "" for t in texts.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 def _encoded(path: str, pattern: str):
     def run(batches):
         enc = encoder(path, pattern)
         for b in batches:
-            for lo in range(0, len(b), BLOCK):
-                part = b.slice(lo, BLOCK)
-                ids = enc.encode_all([t or "" for t in part.column(1).to_pylist()])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for lo, texts in text_blocks(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(enc.encode_all(texts), pa.binary())],
+                                                 names=["doc_id", "ids"])
     return run
 
 
