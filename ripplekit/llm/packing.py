@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences with Martello-Toth dominance reduction.
 
-Documents become ids (a tokenizer file of the ``tokenizers`` library; strings of special tokens in a text are
-ordinary text) followed by ``END``; one longer than a sequence is cut into pieces of the sequence length, of which
+Documents become the ids of a byte-level BPE file of the ``tokenizers`` library (by the encoder of bpe.py, whose ids
+are the library's own; strings of special tokens in a text are ordinary text) followed by ``END``; one longer than a sequence is cut into pieces of the sequence length, of which
 the first may be shorter. How the pieces share sequences depends on their lengths only, so the driver plans with
 the histogram of lengths (at most ``capacity`` rows): first, sets that provably dominate every other choice for
 their largest piece are fixed for all its copies; the shrunken instance is packed by best-fit decreasing over
@@ -10,12 +10,12 @@ their length from block counts and look up sequence and offset, in one pass over
 
 Defined results: null or empty text is the single id END. Repeated rows are pieces of their own. Pieces of equal
 length are interchangeable; ties are ordered by id and piece. Null ids are kept. Extra columns are ignored; an
-empty table gives an empty result. Memory in a task: one Arrow batch and the memo of ``MEMO`` runs.
+empty table gives an empty result. Memory in a task: one Arrow batch
+and the encoder's memo.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import Counter
 
@@ -31,52 +31,16 @@ from .common import columns_of, stored
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 1024
 END = 2
-MEMO = 400_000
-BLOCK = 2000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class LibraryEncoder:
-    """Ids by the tokenizers library; runs of a text between separating spaces are encoded once (see bpe.py)."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.runs: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if len(self.runs) > MEMO:
-            self.runs.clear()
-        split = [bpe.runs_of(t) for t in texts]
-        heads = self._ids([runs.pop(0) for runs in split])
-        new = list(set().union(*split).difference(self.runs))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            self.runs.update(zip(part, self._ids([" " + x for x in part])))
-        known = self.runs.__getitem__
-        return [head + b"".join(map(known, runs)) for head, runs in zip(heads, split)]
-
-
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = LibraryEncoder(path)
-        enc, end, width = _ENCODERS[path], np.array([END], "<u4").tobytes(), 4 * capacity
+        enc, end, width = bpe.encoder(path, public_tokenizers.PATTERN), np.array([END], "<u4").tobytes(), 4 * capacity
         for b in batches:
-            for lo in range(0, len(b), BLOCK):
-                part = b.slice(lo, BLOCK)
+            for lo, texts in bpe.text_blocks(b.column(1)):
                 cols = [[], [], [], [], [], []]
-                for doc, ids in zip(part.column(0).to_pylist(),
-                                    enc.encode_all([t or "" for t in part.column(1).to_pylist()])):
+                for doc, ids in zip(b.column(0).slice(lo, len(texts)).to_pylist(), enc.encode_all(texts)):
                     ids += end
                     first = len(ids) % width or width
                     at = [0, *range(first, len(ids) + 1, width)]
