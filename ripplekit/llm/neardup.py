@@ -6,11 +6,12 @@ shingles into bin b, so that every coordinate of a non-empty set fills, whatever
 estimate the Jaccard similarity with the concentration of independent hashing.
 
 Banding: ``BANDS`` keys of ``ROWS`` coordinates. Texts with equal shingle sets are one representative. In a
-bucket (one band key) every representative is paired with the bucket's hub, never with all others; pairs whose
-sketches agree in less than half of the coordinates are left out (for a similarity of 0.75 the chance is below
-1e-7), all others are confirmed on the full shingle sets. A bucket whose members then lie in several components
-gets further hubs, and last the pairs between its strays and members of other components, so that no link that
-joins two components is left unchecked. Components come from label propagation on the confirmed links.
+bucket (one band key) every representative is paired with the bucket's HUBS hubs, never with all others; pairs
+whose sketches agree in less than half of the coordinates are left out (for a similarity of 0.75 the chance is
+below 1e-7), all others are confirmed on the full shingle sets. Where a bucket's members then lie in several
+components, its strays (not in the hub's component) are compared by size and 128 sketch bits with the members of
+other components inside the join, and what passes is confirmed too, so no likely link that joins two components
+is left unchecked. Components come from label propagation on the confirmed links.
 
 Defined results: null or empty text, or one without words, has n_shingles 0, is linked with nothing and kept. A
 text of 1 to 4 words has its whole word sequence as one shingle. Repeated rows and equal texts share a component;
@@ -29,10 +30,11 @@ from . import textops as T
 from .common import columns_of, components, stored
 
 COORDS, BANDS, ROWS = 128, 32, 4
-HUB_ROUNDS = 6
+HUBS = 3
+FAR_BITS = 38  # of 128 one-bit coordinates; at a similarity of 0.75 16 differ, with a deviation of 3.7
 _U = np.uint64
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary, bits array<long>"
 
 
 def similarity_sketch(doc: np.ndarray, h: np.ndarray, n_docs: int, t: int = COORDS) -> np.ndarray:
@@ -106,7 +108,9 @@ def _sketches(batches):
                 ids.slice(i, n), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]),
                 pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), band.reshape(-1)),
                 pa.array([r.tobytes() for r in sk], pa.binary()),
-            ], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+                pa.ListArray.from_arrays(np.arange(0, 2 * n + 1, 2, dtype=np.int32),
+                                         np.packbits(sk & 1, axis=1).reshape(-1).view(np.int64)),
+            ], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "bits"])
 
 
 def _sets(batches):
@@ -149,23 +153,24 @@ class _Links:
     def __init__(self, docs: DataFrame, reps: DataFrame):
         self.docs, self.reps, self.sets, self.links = docs, reps, None, None
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Confirm ``pairs(a, b)``; tells whether there were new links."""
+    def add(self, pairs: DataFrame, also: DataFrame | None = None) -> bool:
+        """Confirm ``pairs(a, b)``; tells whether there were new links. ``also`` names texts whose sets later pairs
+        will need."""
         r = self.reps.select("doc_id", "n_shingles", "sketch")
         pairs = (pairs.distinct()
                  .join(r.toDF("a", "na", "sa"), "a").join(r.toDF("b", "nb", "sb"), "b")
                  .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long"))
         pairs = stored(pairs, "near-pairs")
-        if pairs.isEmpty():
+        if pairs.isEmpty() and also is None:
             return False
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            ids = ids.join(self.sets, "doc_id", "left_anti")
-        found = (self.docs.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
-                 .dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
-                 .mapInArrow(_sets, "doc_id long, elements binary"))
-        new = stored(found, "near-sets")
-        self.sets = new if self.sets is None else self.sets.union(new)
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+        ids = (ids if also is None else ids.union(also)).distinct()
+        if self.sets is None:
+            self._make_sets(ids)
+        else:
+            ids = stored(ids.join(self.sets, "doc_id", "left_anti"), "near-new")
+            if not ids.isEmpty():
+                self._make_sets(ids)
         s = self.sets
         got = (pairs.join(s.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
                .join(s.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
@@ -174,6 +179,13 @@ class _Links:
         self.links = got if self.links is None else self.links.union(got)
         return not got.isEmpty()
 
+    def _make_sets(self, ids: DataFrame) -> None:
+        found = (self.docs.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
+                 .dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
+                 .mapInArrow(_sets, "doc_id long, elements binary"))
+        new = stored(found, "near-sets")
+        self.sets = new if self.sets is None else self.sets.union(new)
+
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row (see the module's text for the defined cases)."""
@@ -187,41 +199,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = (full.join(rep.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"])
             .dropDuplicates(["doc_id", "k1", "k2"]))
     reps = stored(reps, "near-rep-sketch")
-    entries = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = stored(entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n"))
-                    .where("hub < top"), "near-buckets")
+    entries = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bits", F.explode("bands").alias("key"))
+    # hubs of a bucket: the smallest id and, for each seed, the id with the smallest hash; the same ids are hubs of
+    # many buckets, so that few different pairs arise
+    hubs = [F.min("rep").alias("hub")] + [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"hub{i}") for i in range(1, HUBS)]
+    shared = stored(entries.groupBy("key").agg(*hubs, F.max("rep").alias("top"), F.count("*").alias("n")).where("hub < top"),
+                    "near-buckets")
     links = _Links(docs, reps)
+    member = stored(entries.join(shared.drop("top"), "key"), "near-members")
+    pairs = member.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array(
+        "hub", *[f"hub{i}" for i in range(1, HUBS)]))).alias("b")).where("a <> b")
     comp = None
-    member = entries.join(shared.select("key", "hub"), "key")
-    if links.add(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))):
+    if links.add(pairs, also=member.where("n > 2").select(F.col("rep").alias("doc_id"))):
+        comp = components(links.links, "near-cc")
+    # buckets of three or more whose members are still apart: strays (not in the hub's component) against members
+    # of other components whose sizes and sketch bits allow a link
+    wide = _with_comp(_with_comp(member.where("n > 2"), comp, "rep", "comp"), comp, "hub", "hub_comp")
+    wide = stored(wide.select("key", "rep", "comp", "hub", "hub_comp", "n_shingles", "bits"), "near-wide")
+    stray = wide.where("comp <> hub_comp").alias("s")
+    far = (F.bit_count(F.col("s.bits")[0].bitwiseXOR(F.col("m.bits")[0])) + F.bit_count(F.col("s.bits")[1].bitwiseXOR(F.col("m.bits")[1])))
+    left = (stray.join(wide.alias("m"), [F.col("s.key") == F.col("m.key"), F.col("s.comp") != F.col("m.comp"),
+                                         F.col("m.rep") != F.col("m.hub"), F.col("s.rep") != F.col("s.hub"),
+                                         100 * F.least("s.n_shingles", "m.n_shingles") >= 75 * F.greatest("s.n_shingles", "m.n_shingles"),
+                                         (F.col("m.comp") == F.col("m.hub_comp")) | (F.col("s.rep") < F.col("m.rep")),
+                                         far <= FAR_BITS])
+            .select(F.least("s.rep", "m.rep").alias("a"), F.greatest("s.rep", "m.rep").alias("b")))
+    if not wide.isEmpty() and links.add(left):
         comp = components(links.links, "near-cc")
-    wide = shared.where("n > 2").select("key", "hub")
-    if not wide.isEmpty():
-        member = stored(entries.join(wide, "key"), "near-wide")
-        for i in range(HUB_ROUNDS + 1):
-            lab = _with_comp(member, comp, "rep", "comp")
-            strays = _with_comp(lab, comp, "hub", "hub_comp").where("comp <> hub_comp and rep <> hub")
-            todo = stored(strays.select("key", "rep", "comp"), "near-strays")
-            per = todo.groupBy("key").agg(F.count("*").alias("s"))
-            size = member.groupBy("key").agg(F.count("*").alias("n"))
-            work = per.join(size, "key").where("n > 2").agg(F.sum(F.col("s") * (F.col("n") - 1)).alias("w"),
-                                                            F.sum("n").alias("n")).first()
-            if not work["w"]:
-                break
-            if i == HUB_ROUNDS or work["w"] <= 8 * work["n"]:
-                # strays against members of other components: what is left is linear, or all rounds are used
-                pairs = (todo.toDF("key", "a", "ca").join(lab.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), "hub"), "key")
-                         .where("ca <> cb and a <> b and b <> hub")
-                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-                if links.add(pairs):
-                    comp = components(links.links, "near-cc")
-                break
-            # another hub in every bucket that has strays: the stray that a seeded hash puts first
-            hubs = todo.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias("other"))
-            if links.add(lab.join(hubs, "key").where("rep <> other").select(
-                    F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))):
-                comp = components(links.links, "near-cc")
-            member = stored(lab.join(hubs, "key").select("rep", "key", F.col("other").alias("hub")), "near-wide")
     rep = rep.select("k1", "k2", F.col("rep").alias("node"))
     if comp is not None:
         rep = rep.join(comp, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("node"))
