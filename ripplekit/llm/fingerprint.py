@@ -142,6 +142,7 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = columns_of(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))
+    cuts = cuts or [0.0]  # an empty table, or one id: any place will do
     # range 0 holds the highest ids; null ids are in a last range of their own
     last = len(cuts) + 1
     deal = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="_range")
