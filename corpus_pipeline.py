@@ -17,7 +17,7 @@ from ripplekit.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: The stages train and iterate, which SQL cannot express; tests hold run() against a brute-force version.
+#: The stages train and iterate, which SQL cannot express; tests/llm holds the operators against brute force.
 ORACLE_SQL = None
 
 
