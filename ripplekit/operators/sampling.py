@@ -2,7 +2,7 @@
 
 Randomness comes from ``md5(seed | key)``: the same rows are picked on any
 cluster layout, in any partitioning, and DuckDB computes the same numbers
-(``('0x' || substr(md5(x), 1, 8))::BIGINT``).
+(``('0x' || substr(md5(x), 1, 15))::BIGINT``).
 """
 
 from __future__ import annotations
@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Bits taken from the md5: beyond any row count a modulus may stand for.
+HASH_BITS = 60
+
 
 def hash_int(key: Column, seed) -> Column:
-    """32-bit non-negative integer from md5(seed|key)."""
+    """60-bit non-negative integer from md5(seed|key)."""
     s = F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
-    return F.conv(F.substring(s, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(s, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def hash_uniform(key: Column, seed) -> Column:
     """Uniform [0, 1) from the hash."""
-    return hash_int(key, seed) / F.lit(float(2 ** 32))
+    return hash_int(key, seed) / F.lit(float(2 ** HASH_BITS))
 
 
 def hash_fold(key: Column, k: int, seed=0) -> Column:
@@ -69,9 +74,8 @@ def resample_global(df: DataFrame, order_cols, cols, seed, replace: bool = True)
     column, as the reference does).  With replacement: row r takes row
     1 + hash mod n; without: a hash permutation.  Both are equi-joins on a
     global row number computed from a range-partitioned sort (no single task)."""
-    from pyspark.sql import Row  # noqa: F401
-    n = df.count()
     ordered = _global_index(df, order_cols)
+    n = ordered.count()
     out = ordered
     for i, c in enumerate(cols):
         s = seed + i
@@ -88,17 +92,20 @@ def resample_global(df: DataFrame, order_cols, cols, seed, replace: bool = True)
 
 def _global_index(df: DataFrame, order_cols, name: str = "_idx") -> DataFrame:
     """1-based global row number in ``order_cols`` order without a single-task
-    window: per-partition counts after a range-partitioned sort, offsets from
-    a (partition-count-sized) prefix sum."""
-    srt = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    with_pid = srt.withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    local = with_pid.withColumn("_lrn", F.row_number().over(w))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.withColumn("_off", F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    offs = offs.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
-    return local.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_off") + F.col("_lrn")) \
-                .drop("_pid", "_lrn", "_off")
+    window.  The range-sorted rows are written once to the shared checkpoint
+    folder with (partition, place in it) packed into one id; counts, offsets
+    and every later reader see that one table, so tied or re-evaluated rows
+    cannot change places.  The broadcast offsets have one row per partition."""
+    local_bits = 33  # layout of monotonically_increasing_id
+    tagged = materialize(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                           .withColumn("_mid", F.monotonically_increasing_id()), "global-index")
+    pid = F.shiftright("_mid", local_bits)
+    counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_mid").bitwiseAND(F.lit((1 << local_bits) - 1)) + 1
+    return tagged.withColumn("_pid", pid).join(F.broadcast(offs), "_pid") \
+                 .withColumn(name, F.col("_off") + place).drop("_pid", "_mid", "_off")
 
 
 def placebo_events(units_weights: DataFrame, ids: DataFrame, start: str, n_days: int, seed, unit: str = "unit",

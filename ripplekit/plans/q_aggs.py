@@ -175,7 +175,7 @@ def effect_summary(spark, d):
 
 
 @query("fold_metric_stats", views=("panel",), sql="""
-WITH f AS (SELECT unit, ('0x' || substr(md5('7|' || CAST(day AS VARCHAR)), 1, 8))::BIGINT % 5 AS fold,
+WITH f AS (SELECT unit, ('0x' || substr(md5('7|' || CAST(day AS VARCHAR)), 1, 15))::BIGINT % 5 AS fold,
   AVG(media_online_protest) AS m FROM panel GROUP BY 1, 2)
 SELECT unit, ROUND(AVG(m), 9) AS mean_over_folds, ROUND(STDDEV_POP(m), 9) AS std_over_folds FROM f GROUP BY unit""".replace(
     "WITH f AS", ", f AS"))

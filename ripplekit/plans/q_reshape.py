@@ -13,7 +13,7 @@ from ..sources.tables import table
 from .registry import query
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
-MD5 = "('0x' || substr(md5({x}), 1, 8))::BIGINT"
+MD5 = "('0x' || substr(md5({x}), 1, 15))::BIGINT"
 
 
 def _h(expr):
@@ -215,7 +215,7 @@ def chrono_split(spark, d):
 , w AS (SELECT unit, COUNT(*) AS c FROM ev GROUP BY unit),
  cw AS (SELECT unit, SUM(c) OVER (ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / SUM(c) OVER () AS hi FROM w),
  cw2 AS (SELECT unit, hi, COALESCE(LAG(hi) OVER (ORDER BY unit), 0.0) AS lo FROM cw),
- dr AS (SELECT event_id AS placebo_id, {_h("'42|u|' || CAST(event_id AS VARCHAR)")} / 4294967296.0 AS u,
+ dr AS (SELECT event_id AS placebo_id, {_h("'42|u|' || CAST(event_id AS VARCHAR)")} / 1152921504606846976.0 AS u,
           {_h("'42|d|' || CAST(event_id AS VARCHAR)")} % 2405 AS dd FROM ev)
 SELECT dr.placebo_id, cw2.unit, CAST(DATE '1995-01-01' + CAST(dr.dd AS INTEGER) AS DATE) AS day FROM dr JOIN cw2 ON dr.u >= cw2.lo AND dr.u < cw2.hi""")
 def placebo_events(spark, d):
