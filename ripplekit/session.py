@@ -8,6 +8,7 @@ unset, which is what local tests need.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,10 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is left alone.
-    Only when it is unset (local tests) a scratch folder is created.
+    Only on a local master (tests) a scratch folder is created where it is
+    unset; elsewhere executors do not share the driver's disk, so that raises.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="ripplekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)
