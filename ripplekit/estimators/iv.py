@@ -28,6 +28,8 @@ def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "l
         d = d.withColumn("const", F.lit(1.0))
         exog = ["const"] + exog
     order = exog + endog + instruments + [y]
+    if robust:
+        d = d.persist()  # read again by the residual pass
     (n, _, G), = collect_gram(d, order).values()
     nx, ne, nz = len(exog), len(endog), len(instruments)
     ix = list(range(nx))
@@ -91,6 +93,8 @@ def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "l
             from ..functions.stats import chi2_sf
             rows.append(("sargan", "overid", sargan, None, None, float(chi2_sf(sargan, nz - ne)), None, None,
                          float(nz - ne), int(n)))
+    if robust:
+        d.unpersist()
     return df.sparkSession.createDataFrame(rows, IV_SCHEMA)
 
 
