@@ -220,4 +220,4 @@ def with_views(names, body: str) -> str:
     b = body.lstrip()
     if not order:
         return "WITH " + b[1:] if b.startswith(",") else body
-    return "WITH " + ",\n".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in order) + "\n" + b
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({SQL_VIEWS[n][1]})" for n in order) + "\n" + b
