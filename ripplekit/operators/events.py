@@ -29,30 +29,27 @@ def row_mean(*cols) -> Column:
     return F.when(n > 0, s / n)
 
 
-# Source labels understood by the selector: "acled", "gpreg",
-# "mean", "difference"; any other label keeps all rows.
-
-
-def select_source(df: DataFrame, source: str, region_col: str = "region",
-                  excluded_region: str = "Sachsen") -> DataFrame:
-    """Per-source event selection and size column.
-
-    acled: size = size_post; gpreg: size = size_pre minus one excluded region;
-    mean: size = null-skipping mean of both; difference: gpreg with both sizes > 0;
-    anything else: all rows unchanged.
-    """
-    if source == "acled":
-        return df.where(F.col("source") == "acled").withColumn("size", F.col("size_post")) \
-                 .drop("size_pre", "size_post", "source")
-    if source == "gpreg":
-        return df.where((F.col("source") == "gpreg") & ~F.col(region_col).eqNullSafe(excluded_region)) \
-                 .withColumn("size", F.col("size_pre")).drop("size_pre", "size_post", "source")
-    if source == "mean":
-        return df.withColumn("size", row_mean("size_pre", "size_post")).drop("size_pre", "size_post", "source")
-    if source == "difference":
-        return df.where((F.col("source") == "gpreg") & (F.col("size_pre") > 0) & (F.col("size_post") > 0)) \
-                 .drop("source")
-    return df
+# Source modes "acled", "gpreg", "mean" and "difference"; any other label keeps all rows.
+def source_modes(region_col: str, excluded_region: str) -> dict:
+    """Mode -> (rows, size); no size: both size columns stay."""
+    registered = F.col("source") == "gpreg"
+    return {
+        "acled": (F.col("source") == "acled", F.col("size_post")),
+        "gpreg": (registered & ~F.col(region_col).eqNullSafe(excluded_region), F.col("size_pre")),
+        "mean": (F.lit(True), row_mean("size_pre", "size_post")),
+        "difference": (registered & (F.least("size_pre", "size_post") > 0) & F.col("size_pre").isNotNull()
+                       & F.col("size_post").isNotNull(), None),
+    }
+
+
+def events_of_source(df: DataFrame, mode: str, region_col: str = "region", excluded_region: str = "Sachsen") -> DataFrame:
+    """The rows of one source mode, with its size column where it has one."""
+    modes = source_modes(region_col, excluded_region)
+    if mode not in modes:
+        return df
+    rows, size = modes[mode]
+    kept = df.where(rows)
+    return kept.drop("source") if size is None else kept.withColumn("size", size).drop("size_pre", "size_post", "source")
 
 
 def notes_agg(col: str = "notes", sep: str = "; ") -> Column:

@@ -73,23 +73,27 @@ def finite_or_null(c) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
 
 
-def make_queries_positive(df: DataFrame, media=("online", "print")) -> DataFrame:
-    """media_<m>_all = protest + not_protest; not_protest dropped."""
-    new = {f"media_{m}_all": F.col(f"media_{m}_protest") + F.col(f"media_{m}_not_protest") for m in media}
-    return df.withColumns(new).drop(*[f"media_{m}_not_protest" for m in media])
+def _count_column(medium: str, what: str) -> str:
+    return f"media_{medium}_{what}"
 
 
-def make_queries_negative(df: DataFrame, media=("online", "print")) -> DataFrame:
-    """Inverse of P19: not_protest = all - protest."""
-    new = {f"media_{m}_not_protest": F.col(f"media_{m}_all") - F.col(f"media_{m}_protest") for m in media}
-    return df.withColumns(new)
+def total_counts(df: DataFrame, media, part: str = "protest", rest: str = "not_protest", total: str = "all") -> DataFrame:
+    """Per medium the total replaces the rest: total = part + rest."""
+    sums = {_count_column(m, total): F.col(_count_column(m, part)) + F.col(_count_column(m, rest)) for m in media}
+    return df.withColumns(sums).drop(*(_count_column(m, rest) for m in media))
 
 
-def merge_media(df: DataFrame, dims=("all", "protest", "not_protest", "goal", "subsidiary_goal", "framing")) -> DataFrame:
-    """P20: media_combined_<d> = online + print; the print column is dropped."""
-    present = [d for d in dims if f"media_online_{d}" in df.columns and f"media_print_{d}" in df.columns]
-    new = {f"media_combined_{d}": F.col(f"media_online_{d}") + F.col(f"media_print_{d}") for d in present}
-    return df.withColumns(new).drop(*[f"media_print_{d}" for d in present])
+def rest_counts(df: DataFrame, media, part: str = "protest", rest: str = "not_protest", total: str = "all") -> DataFrame:
+    """Inverse of P19: rest = total - part."""
+    return df.withColumns({_count_column(m, rest): F.col(_count_column(m, total)) - F.col(_count_column(m, part))
+                           for m in media})
+
+
+def merge_media(df: DataFrame, dims, first: str = "online", second: str = "print", merged: str = "combined") -> DataFrame:
+    """P20: per dimension that both media have, merged = first + second; the second's column goes."""
+    pairs = [(_count_column(first, x), _count_column(second, x), _count_column(merged, x)) for x in dims]
+    pairs = [p for p in pairs if {p[0], p[1]} <= set(df.columns)]
+    return df.withColumns({m: F.col(a) + F.col(b) for a, b, m in pairs}).drop(*(b for _, b, _ in pairs))
 
 
 def cutover(old: DataFrame, new: DataFrame, cut: str, day: str = "day") -> DataFrame:

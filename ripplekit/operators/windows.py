@@ -34,7 +34,7 @@ def shift(c, k: int, unit="unit", day="day") -> Column:
 def lag_block(df: DataFrame, cols, lags, unit="unit", day="day", keep=None) -> DataFrame:
     """``{c}_lag{l}`` = value l days later (l <= 0 reads the past), the
     reference's ``shift(-lag)`` convention.  ``keep`` filters generated names
-    (e.g. roles.keep_lag_column) so pruned columns are never computed."""
+    (e.g. roles.design_lag) so pruned columns are never computed."""
     new = {}
     for c in cols:
         for lag in lags:

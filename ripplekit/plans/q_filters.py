@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
-from ..operators.events import add_type_flags, select_source
+from ..operators.events import add_type_flags, events_of_source
 from ..sources import views as V
 from ..sources.tables import table
 from .registry import query
@@ -42,7 +42,7 @@ def source_select(spark, d):
     e = V.evall(spark, d)
     parts = []
     for mode in ["acled", "gpreg", "mean", "difference", "all"]:
-        s = select_source(e, mode, excluded_region="NATION_3")
+        s = events_of_source(e, mode, excluded_region="NATION_3")
         size = "size" if "size" in s.columns else "size_pre"
         parts.append(s.select(F.lit(mode).alias("mode"), "event_id", F.round(size, 9).alias("size")))
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -94,7 +94,7 @@ SELECT unit, day, media_online_protest + media_online_not_protest AS media_onlin
   media_online_goal, media_print_goal FROM panel""")
 def positive_queries(spark, d):
     p = V.panel(spark, d).select("unit", "day", *V.MEDIA_COLS)
-    return P.make_queries_positive(p)
+    return P.total_counts(p, ("online", "print"))
 
 
 @query("merge_media", views=("panel",), sql="""
@@ -105,8 +105,8 @@ SELECT unit, day,
   media_online_protest + media_online_not_protest AS media_online_all, media_online_protest, media_online_goal
 FROM panel""")
 def merge_media(spark, d):
-    p = P.make_queries_positive(V.panel(spark, d).select("unit", "day", *V.MEDIA_COLS))
-    return P.merge_media(p)
+    p = P.total_counts(V.panel(spark, d).select("unit", "day", *V.MEDIA_COLS), ("online", "print"))
+    return P.merge_media(p, ("all", "protest", "goal"))
 
 
 @query("cutover_union", views=("ev", "ev2"), sql="""

@@ -35,7 +35,7 @@ def design(spark, d, targets=(Y,), steps=(7,), cumulative=True, instruments=Fals
     p = p.withColumn("wd", weekday_name("day"))
     p = p.select("*", *one_hot_drop_first("wd", WEEKDAYS, "weekday"), holiday_flag("day", "area").alias("holiday"))
     lagged = ["occ_protest", *targets]
-    p = W.lag_block(p, lagged, lags, keep=roles.keep_lag_column)
+    p = W.lag_block(p, lagged, lags, keep=roles.design_lag)
     ys = {}
     for t in targets:
         for s in steps:

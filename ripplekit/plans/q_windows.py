@@ -28,7 +28,7 @@ SELECT unit, day, LAG(occ_protest, 2) {WU} AS "occ_protest_lag-2", LAG(occ_prote
 FROM panel""")
 def lags(spark, d):
     p = _panel(spark, d, "occ_protest", "media_online_protest")
-    out = W.lag_block(p, ["occ_protest", "media_online_protest"], [-2, -1, 0, 1], keep=roles.keep_lag_column)
+    out = W.lag_block(p, ["occ_protest", "media_online_protest"], [-2, -1, 0, 1], keep=roles.design_lag)
     return out.drop("occ_protest", "media_online_protest", "media_online_protest_lag1")
 
 
