@@ -98,6 +98,12 @@ def sketch_block(data: np.ndarray, off: np.ndarray):
     return size, keys, band, (T.mix(sk) >> _U(56)).astype(np.uint8)
 
 
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Byte strings that lie end to end in ``data``, cut at the byte offsets ``at``, without a copy."""
+    data = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _sketches(batches):
     for b in batches:
         ids = b.column(0)
@@ -107,7 +113,7 @@ def _sketches(batches):
             yield pa.RecordBatch.from_arrays([
                 ids.slice(i, n), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]),
                 pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), band.reshape(-1)),
-                pa.array([r.tobytes() for r in sk], pa.binary()),
+                _binary(sk.reshape(-1), np.arange(0, n * COORDS + 1, COORDS)),
                 pa.ListArray.from_arrays(np.arange(0, 2 * n + 1, 2, dtype=np.int32),
                                          np.packbits(sk & 1, axis=1).reshape(-1).view(np.int64)),
             ], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "bits"])
@@ -120,7 +126,7 @@ def _sets(batches):
             doc, h = T.shingle_sets(data, off)
             at = np.searchsorted(doc, np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, n), pa.array([h[at[j]:at[j + 1]].tobytes() for j in range(n)], pa.binary())],
+                [b.column(0).slice(i, n), _binary(h, at * h.itemsize)],
                 names=["doc_id", "elements"])
 
 
@@ -140,8 +146,8 @@ def _linked(batches):
     """Exact check on the full sets: 100 * intersection >= 75 * union."""
     for b in batches:
         keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(b.column(2), b.column(3)):  # views of the batch: sets of long texts are not copied
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= 75 * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
