@@ -4,11 +4,13 @@ Every word (lower-cased A-Z) is the sum of hashed embeddings of itself and of it
 Filters of ``WIDTHS`` words slide over the whole text, each filter's largest response in the text is kept (0 if
 the text has no window of that width or no positive response), and a logistic unit reads these maxima.
 
-Training takes a bounded sample of labelled rows outside the held-out fold: the ``TOXIC_ROWS`` and ``CLEAN_ROWS``
-rows of each class with the smallest hash of their id. Scores of all other labelled rows outside the fold then
-calibrate: one threshold for all (it becomes score 0.5) and one for each language with ``LANG_ROWS`` toxic rows or
-more. Labels, language, source and id are never inputs of a score; the language only selects the threshold of
-``rejected``.
+Training takes a bounded sample of labelled rows outside the held-out fold: the rows of each class with the smallest
+hash of their id, at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` and never more than all but one in ``SPARED`` of the class.
+Scores of all other labelled rows outside the fold then calibrate, at every size of the input: each class's rows are
+weighted to the count that the class has outside the fold, sample included. They give one threshold for all (it becomes
+score 0.5) and one for each language with ``LANG_ROWS`` or more such rows of each class. With fewer than ``LEAST_ROWS``
+of either class in all, score 0.5 is the network's own even odds. Labels, language, source and id are never inputs of a
+score; the language only selects the threshold of ``rejected``.
 
 Defined results: null or empty text has no windows and gets the score of the bias. Repeated rows get equal scores.
 Rows with a null id are scored and not held out. Null labels are left out of training. With no labelled row of one
@@ -29,11 +31,13 @@ BUCKETS, DIM, FILTERS = 1 << 15, 16, 12
 WIDTHS = (1, 2, 3)
 PREFIXES = (5, 7)
 TOXIC_ROWS, CLEAN_ROWS = 2500, 3500
-LANG_ROWS = 50
+SPARED = 5
+LEAST_ROWS, LANG_ROWS = 5, 50
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.08, 5
 DROP = 0.5
 FOLDS = 5
 BINS, RANGE = 800, 40.0
+STEP = 2 * RANGE / BINS
 BLOCK = 1 << 20
 
 
@@ -170,9 +174,11 @@ def held_out(doc_id):
 def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int):
     """Word lists and labels of the bounded sample; at most toxic_rows + clean_rows ids are broadcast."""
     marked = (columns_of(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null")
-              .where(~held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic").cast("int")))
-    sample = (smallest(marked.where("toxic = 1"), toxic_rows, "doc_id")
-              .union(smallest(marked.where("toxic = 0"), clean_rows, "doc_id")))
+              .where(~held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic").cast("int")).distinct())
+    there = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    few = {y: max(1, min(n, there.get(y, 0) * (SPARED - 1) // SPARED)) for y, n in ((1, toxic_rows), (0, clean_rows))}
+    sample = (smallest(marked.where("toxic = 1"), few[1], "doc_id")
+              .union(smallest(marked.where("toxic = 0"), few[0], "doc_id")))
     rows = (docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
             .mapInArrow(_word_lists, "doc_id long, toxic int, ids binary").orderBy("doc_id").toPandas())
     texts = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows["ids"]]
@@ -187,6 +193,29 @@ def best_cut(toxic: np.ndarray, clean: np.ndarray) -> int:
     return int(ties[(len(ties)) // 2])
 
 
+def thresholds(cells) -> tuple[float, dict[str, float]]:
+    """The logit of score 0.5, and languages' own limits, from counts by (lang, toxic, trained, bin)."""
+    left: dict = {}
+    full: dict = {}
+    for r in cells:
+        lang, y = r["lang"], int(r["toxic"] != 0)
+        full.setdefault(lang, np.zeros(2))[y] += r["count"]
+        left.setdefault(lang, np.zeros((2, BINS)))
+        if not r["trained"]:
+            left[lang][y, r["bin"]] += r["count"]
+
+    def limit(n: np.ndarray, whole: np.ndarray) -> float:
+        toxic, clean = n[1] * (whole[1] / n[1].sum()), n[0] * (whole[0] / n[0].sum())
+        return best_cut(toxic, clean) * STEP - RANGE
+
+    def enough(n: np.ndarray, rows: int) -> bool:
+        return n.sum(1).min() >= rows
+
+    total = sum(left.values(), np.zeros((2, BINS)))
+    cut = limit(total, sum(full.values())) if enough(total, LEAST_ROWS) else 0.0
+    return cut, {lang: limit(n, full[lang]) for lang, n in left.items() if lang is not None and enough(n, LANG_ROWS)}
+
+
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
            toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, rejected (by the language's threshold) for every row."""
@@ -203,22 +232,12 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
         return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),
                           F.lit(False).alias("rejected"))
     out = stored(out, "toxic-logits")
-    step = 2 * RANGE / BINS
-    place = F.least(F.greatest(F.floor((F.col("logit") + RANGE) / step), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    place = F.least(F.greatest(F.floor((F.col("logit") + RANGE) / STEP), F.lit(0)), F.lit(BINS - 1)).cast("int")
     seen = (out.where("not held_out and doc_id is not null")
             .join(columns_of(labels, doc_id="doc_id", toxic="toxic").where("toxic is not null"), "doc_id")
-            .join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti"))
-    cells = seen.groupBy("lang", F.col("toxic").cast("int").alias("toxic"), place.alias("bin")).count().collect()
-    if not any(r["toxic"] for r in cells):  # every toxic row was in the sample: calibrate on all of them
-        seen = out.where("not held_out").join(columns_of(labels, doc_id="doc_id", toxic="toxic").where("toxic is not null"), "doc_id")
-        cells = seen.groupBy("lang", F.col("toxic").cast("int").alias("toxic"), place.alias("bin")).count().collect()
-    by_lang: dict = {}
-    for r in cells:
-        by_lang.setdefault(r["lang"], np.zeros((2, BINS)))[int(r["toxic"] != 0), r["bin"]] += r["count"]
-    total = sum(by_lang.values())
-    cut = best_cut(total[1], total[0]) * step - RANGE
-    own = {lang: best_cut(n[1], n[0]) * step - RANGE for lang, n in by_lang.items()
-           if lang is not None and n[1].sum() >= LANG_ROWS}
+            .join(F.broadcast(sample.select("doc_id", F.lit(True).alias("in_sample")).distinct()), "doc_id", "left"))
+    cut, own = thresholds(seen.groupBy("lang", F.col("toxic").cast("int").alias("toxic"), F.col("in_sample").isNotNull().alias("trained"),
+                                       place.alias("bin")).count().collect())
     limit = F.lit(cut)
     if own:
         limit = F.coalesce(F.create_map(*[F.lit(x) for kv in own.items() for x in kv])[F.col("lang")], limit)

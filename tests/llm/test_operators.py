@@ -184,6 +184,39 @@ def test_toxicity(spark, docs, no_docs):
     assert toxicity.scored(no_docs, labels).count() == 0
 
 
+@pytest.mark.parametrize("left", [5, 10, 100, 2500])
+def test_toxicity_thresholds_do_not_move_with_the_rows_left(left):
+    """Recall and false alarms hold however few toxic rows the sample leaves; trained rows never calibrate."""
+    recall, alarms = [], []
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        logits = {1: np.where(rng.random(left) < 0.05, -1, 1) * rng.uniform(0.5, 4, left),
+                  0: np.where(rng.random(16_500) < 0.005, 1, -1) * rng.uniform(0.5, 4, 16_500)}
+        cells = [{"lang": "en", "toxic": y, "trained": False, "bin": int((x + toxicity.RANGE) / toxicity.STEP), "count": 1}
+                 for y, xs in logits.items() for x in xs]
+        cells += [{"lang": "en", "toxic": 1, "trained": True, "bin": 799, "count": 2510 - left},
+                  {"lang": "en", "toxic": 0, "trained": True, "bin": 0, "count": 3500}]
+        cut, own = toxicity.thresholds(cells)
+        assert (own == {"en": cut}) == (left >= toxicity.LANG_ROWS)
+        toxic, clean = (np.where(rng.random(4000) < p, -s, s) * rng.uniform(0.5, 4, 4000) for p, s in ((0.05, 1), (0.005, -1)))
+        recall.append((toxic >= cut).mean())
+        alarms.append((clean >= cut).mean())
+    assert np.mean(recall) > 0.8 and np.mean(alarms) < 0.02
+    assert toxicity.thresholds([c for c in cells if c["trained"]]) == (0.0, {})
+
+
+def test_toxicity_training_spares_rows_of_each_class(spark):
+    d = spark.createDataFrame([(i, f"word{i} and more", "en") for i in range(500)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(500)] + [(0, 1), (5, None)], "doc_id long, toxic int")
+    outside = [i for i in range(500) if zlib.crc32(str(i).encode()) % 5]
+    texts, y, sample = toxicity.training_rows(d, labels, 2500, 3500)
+    ids = [r.doc_id for r in sample.collect()]
+    assert len(ids) == len(set(ids)) == len(texts) and set(ids) <= set(outside)
+    for k in (0, 1):
+        mine = sum(int(i % 5 == 0) == k for i in outside)
+        assert (y == k).sum() == mine * 4 // 5
+
+
 # --- 5 near-duplicates -------------------------------------------------------------------------------------------
 
 def brute_components(rows):
