@@ -6,6 +6,8 @@ the text has no window of that width or no positive response), and a logistic un
 
 Training takes a bounded sample of labelled rows outside the held-out fold: the rows of each class with the smallest
 hash of their id, at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` and never more than all but one in ``SPARED`` of the class.
+Of rows that share a sampled id one is taken (the smallest hash of its text); in the order of the ids' hashes, documents
+whose words no longer fit into the class's half of ``WORDS`` are passed over and calibrate instead.
 Scores of all other labelled rows outside the fold then calibrate, at every size of the input: each class's rows are
 weighted to the count that the class has outside the fold, sample included. They give one threshold for all (it becomes
 score 0.5) and one for each language with ``LANG_ROWS`` or more such rows of each class. With fewer than ``LEAST_ROWS``
@@ -32,6 +34,7 @@ WIDTHS = (1, 2, 3)
 PREFIXES = (5, 7)
 TOXIC_ROWS, CLEAN_ROWS = 2500, 3500
 SPARED = 5
+WORDS = 10_000_000
 LEAST_ROWS, LANG_ROWS = 5, 50
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.08, 5
 DROP = 0.5
@@ -171,16 +174,27 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int):
-    """Word lists and labels of the bounded sample; at most toxic_rows + clean_rows ids are broadcast."""
+def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, words: int = WORDS):
+    """Word lists and labels of the bounded sample; at most toxic_rows + clean_rows ids are broadcast, and as many word
+    lists of at most ``words`` words in all reach the driver."""
     marked = (columns_of(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null")
               .where(~held_out(F.col("doc_id"))).withColumn("toxic", F.col("toxic").cast("int")).distinct())
     there = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     few = {y: max(1, min(n, there.get(y, 0) * (SPARED - 1) // SPARED)) for y, n in ((1, toxic_rows), (0, clean_rows))}
     sample = (smallest(marked.where("toxic = 1"), few[1], "doc_id")
               .union(smallest(marked.where("toxic = 0"), few[0], "doc_id")))
-    rows = (docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-            .mapInArrow(_word_lists, "doc_id long, toxic int, ids binary").orderBy("doc_id").toPandas())
+    one = (docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic")
+           .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+           .select("doc_id", "toxic", "first.text").mapInArrow(_word_lists, "doc_id long, toxic int, ids binary"))
+    one = stored(one, "toxic-words")
+    sizes = one.select("doc_id", "toxic", (F.octet_length("ids") / (4 + 4 * len(PREFIXES))).cast("long").alias("words"))
+    room, taken = {0: words // 2, 1: words // 2}, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["words"] <= room[r["toxic"]]:
+            room[r["toxic"]] -= r["words"]
+            taken.append((r["doc_id"], r["toxic"]))
+    sample = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")
+    rows = one.join(F.broadcast(sample), ["doc_id", "toxic"]).orderBy("doc_id").toPandas()
     texts = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows["ids"]]
     return texts, rows["toxic"].to_numpy().astype(np.float32), sample
 

@@ -217,6 +217,20 @@ def test_toxicity_training_spares_rows_of_each_class(spark):
         assert (y == k).sum() == mine * 4 // 5
 
 
+def test_toxicity_training_is_bounded_by_rows_and_words(spark):
+    """A sampled id that many rows share gives one row; whole documents are taken up to the bound on words."""
+    rows = [(i, "w " * (10 + i % 7), "en") for i in range(200)] + [(1, f"copy {i % 4}", "en") for i in range(300)] + [(2, "long " * 5000, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    texts, y, sample = toxicity.training_rows(d, labels, 2500, 3500)
+    assert len(texts) == len({r.doc_id for r in sample.collect()}) == len(y)
+    texts, y, sample = toxicity.training_rows(d, labels, 2500, 3500, words=600)
+    ids = sorted(r.doc_id for r in sample.collect())
+    assert len(texts) == len(ids) and all(250 < sum(len(t) for t, k in zip(texts, y) if k == c) <= 300 for c in (0, 1))
+    found = {(i, len(t.split())) for i, t, _ in rows}
+    assert all((i, len(t)) in found for i, t in zip(ids, texts))
+
+
 # --- 5 near-duplicates -------------------------------------------------------------------------------------------
 
 def brute_components(rows):
