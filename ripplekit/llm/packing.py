@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences with Martello-Toth dominance reduction.
 
-Documents become the ids of a byte-level BPE file of the ``tokenizers`` library (by the encoder of bpe.py, whose ids
-are the library's own; strings of special tokens in a text are ordinary text) followed by ``END``; one longer than a sequence is cut into pieces of the sequence length, of which
-the first may be shorter. How the pieces share sequences depends on their lengths only, so the driver plans with
+Documents become the ids that the ``tokenizers`` library gives with a byte-level BPE file and without adding special
+tokens, followed by ``END``: a text is cut at the file's added tokens, which have ids of their own, and what lies
+between goes through the encoder of bpe.py. A document longer than a sequence is cut into pieces of the sequence length,
+of which the first may be shorter. How the pieces share sequences depends on their lengths only, so the driver plans with
 the histogram of lengths (at most ``capacity`` rows): first, sets that provably dominate every other choice for
 their largest piece are fixed for all its copies; the shrunken instance is packed by best-fit decreasing over
 classes of equal bins. The plan is a list of rank intervals for each length; the pieces get their rank within
@@ -16,12 +17,14 @@ and the encoder's memo.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +37,33 @@ END = 2
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class AddedTokens:
+    """The added tokens of a vocabulary file: found in a text before anything else, each is one id."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens") or []
+        if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in or look at their surroundings")
+        self.ids = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
+        longest = sorted(self.ids, key=len, reverse=True)
+        self.cut = regex.compile(f"({'|'.join(map(regex.escape, longest))})").split if longest else lambda t: [t]
+
+    def encode_all(self, enc: bpe.Encoder, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text of a block."""
+        split = [self.cut(t) if any(x in t for x in self.ids) else [t] for t in texts]  # text, token, text, ..., text
+        ids = iter(enc.encode_all([part for parts in split for part in parts[::2]]))
+        return [b"".join(self.ids[part] if n % 2 else next(ids) for n, part in enumerate(parts)) for parts in split]
+
+
 def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches):
+        added = AddedTokens(path)
         enc, end, width = bpe.encoder(path, public_tokenizers.PATTERN), np.array([END], "<u4").tobytes(), 4 * capacity
         for b in batches:
             for lo, texts in bpe.text_blocks(b.column(1)):
                 cols = [[], [], [], [], [], []]
-                for doc, ids in zip(b.column(0).slice(lo, len(texts)).to_pylist(), enc.encode_all(texts)):
+                for doc, ids in zip(b.column(0).slice(lo, len(texts)).to_pylist(), added.encode_all(enc, texts)):
                     ids += end
                     first = len(ids) % width or width
                     at = [0, *range(first, len(ids) + 1, width)]

@@ -420,6 +420,26 @@ def test_packing(docs, no_docs, texts):
     assert packing.packed(no_docs).count() == 0
 
 
+def test_packing_ids_are_those_of_the_library_as_it_comes(spark):
+    """Added tokens in a text have their own ids, whatever stands beside them."""
+    from array import array
+
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    rng = random.Random(13)
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "a", " b", "don't", "é", "１2", "the end"]
+    said = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x" * 3000 + "<|endoftext|>" + " y" * 1500, "", None]
+    said += ["".join(rng.choice(bits) for _ in range(rng.randrange(15))) for _ in range(400)]
+    got = collections.defaultdict(list)
+    for r in packing.packed(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), with_ids=True).collect():
+        got[r.doc_id].append(r)
+    for i, t in enumerate(said):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        rows = sorted(got[i], key=lambda r: r.piece)
+        assert b"".join(bytes(r.ids) for r in rows) == array("I", ids).tobytes(), t
+        assert sum(r.length for r in rows) == len(ids) and all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) for r in rows)
+
+
 # --- 8 personal data ---------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
