@@ -31,6 +31,11 @@ def columns_of(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[c].alias(new) for new, c in cols.items()])
 
 
+def text_hash(text: str = "text"):
+    """With the id, tells rows apart whose decisions may differ; null for a null text."""
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
 def smallest(df: DataFrame, n: int, *by: str) -> DataFrame:
     """The n rows with the smallest hash of the ``by`` columns: a sample that is the same on every run.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, components, stored
+from .common import columns_of, components, stored, text_hash
 
 COORDS, BANDS, ROWS = 128, 32, 4
 HUBS = 3
@@ -116,7 +116,8 @@ def _sketches(batches):
                 _binary(sk.reshape(-1), np.arange(0, n * COORDS + 1, COORDS)),
                 pa.ListArray.from_arrays(np.arange(0, 2 * n + 1, 2, dtype=np.int32),
                                          np.packbits(sk & 1, axis=1).reshape(-1).view(np.int64)),
-            ], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "bits"])
+                *(c.slice(i, n) for c in b.columns[2:]),
+            ], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "bits", *b.schema.names[2:]])
 
 
 def _sets(batches):
@@ -193,12 +194,15 @@ class _Links:
         self.sets = new if self.sets is None else self.sets.union(new)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row (see the module's text for the defined cases)."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row (see the module's text for the defined cases); with
+    ``row_keys`` also text_hash, which with the id determines the decision."""
     docs = columns_of(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = df.sparkSession
-    all_rows = stored(docs.mapInArrow(_sketches, SKETCH_SCHEMA), "near-sketch")
-    full = all_rows.where("n_shingles > 0 and doc_id is not null")
+    keys = ["text_hash"] if row_keys else []
+    all_rows = stored(docs.select("doc_id", "text", *[text_hash().alias(c) for c in keys])
+                      .mapInArrow(_sketches, SKETCH_SCHEMA + "".join(f", {c} string" for c in keys)), "near-sketch")
+    full = all_rows.drop(*keys).where("n_shingles > 0 and doc_id is not null")
     # one representative for each set; node = a doc_id, so rows that share a doc_id are one node
     rep = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     rep = stored(rep, "near-reps")
@@ -236,9 +240,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if comp is not None:
         rep = rep.join(comp, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("node"))
     rep = rep.withColumn("linked", F.lit(True))
-    out = all_rows.select("doc_id", "n_shingles", "k1", "k2").join(rep, ["k1", "k2"], "left")
+    out = all_rows.select("doc_id", *keys, "n_shingles", "k1", "k2").join(rep, ["k1", "k2"], "left")
     comp_id = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id"))
-    return (out.select("doc_id", "n_shingles", comp_id.alias("component_id"))
+    return (out.select("doc_id", *keys, "n_shingles", comp_id.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, smallest, stored
+from .common import columns_of, smallest, stored, text_hash
 
 BUCKETS, DIM, FILTERS = 1 << 15, 16, 12
 WIDTHS = (1, 2, 3)
@@ -164,8 +164,9 @@ def _scored(net: ConvNet | None):
             for i, data, off in T.blocks(b.column(1), BLOCK):
                 n = len(off) - 1
                 logit = net.logits(*word_ids(data, off), n).astype(np.float64) if net else np.full(n, -np.inf)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(logit)],
-                                                 names=["doc_id", "lang", "logit"])
+                names = [c for c in b.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, n) for c in names), pa.array(logit)],
+                                                 names=[*names, "logit"])
     return run
 
 
@@ -231,8 +232,9 @@ def thresholds(cells) -> tuple[float, dict[str, float]]:
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-           toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted, rejected (by the language's threshold) for every row."""
+           toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_keys: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted, rejected (by the language's threshold) for every row; with ``row_keys`` also
+    lang and text_hash, which with the id determine the decision."""
     docs = (columns_of(df, doc_id=id_col, text=text_col, lang=lang_col).withColumn("doc_id", F.col("doc_id").cast("long"))
             .withColumn("lang", F.col("lang").cast("string")))
     texts, y, sample = training_rows(docs, labels, toxic_rows, clean_rows)
@@ -240,10 +242,12 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     if len(set(y.tolist())) == 2:
         net = ConvNet()
         net.fit(texts, y)
-    rows = docs.select("doc_id", "text", "lang").mapInArrow(_scored(net), "doc_id long, lang string, logit double")
+    keys = ["lang", "text_hash"] if row_keys else []
+    rows = docs.select("doc_id", "text", "lang", *[text_hash().alias(c) for c in keys[1:]])
+    rows = rows.mapInArrow(_scored(net), f"doc_id long, lang string, {'text_hash string, ' if row_keys else ''}logit double")
     out = rows.withColumn("held_out", held_out(F.col("doc_id")))
     if net is None:
-        return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),
+        return out.select("doc_id", *keys, "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),
                           F.lit(False).alias("rejected"))
     out = stored(out, "toxic-logits")
     place = F.least(F.greatest(F.floor((F.col("logit") + RANGE) / STEP), F.lit(0)), F.lit(BINS - 1)).cast("int")
@@ -258,4 +262,4 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     score = 1 / (1 + F.exp(F.lit(cut) - F.col("logit")))
     return (out.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
             .withColumn("rejected", F.col("logit") >= limit)
-            .select("doc_id", "held_out", "score", "predicted", "rejected"))
+            .select("doc_id", *keys, "held_out", "score", "predicted", "rejected"))

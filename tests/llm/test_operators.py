@@ -589,3 +589,39 @@ def test_smallest_is_the_same_with_and_without_the_bound(spark):
 def test_queries_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES) and os.path.exists(bpe.VOCABULARY)
+
+
+# --- pipeline ----------------------------------------------------------------------------------------------------
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_decisions_belong_to_rows(spark, tmp_path):
+    import corpus_pipeline
+    rng = random.Random(21)
+    said = []
+    for i in range(600):
+        w = prose(rng, rng.randrange(20, 60)).split(" ")
+        if i % 3 == 0:
+            w.insert(rng.randrange(len(w)), "scumbag")
+        said.append(" ".join(w))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(said)]
+    foul, fair = said[3], said[4]
+    more = [(None, foul, "en", None, 1), (None, fair, "en", None, 2), (700, foul, "en", "s", 3), (700, fair, "en", "s", 4),
+            (701, foul, None, "s", 5), (702, None, None, None, None), (None, None, "en", "s", 6), (703, "", "en", "s", 0)]
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = spark.createDataFrame(rows + more, DOC_SCHEMA).withColumn("extra", F.lit("x"))
+    out = corpus_pipeline.toxicity_stage(spark, d, str(tmp_path))
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = [tuple(r) for r in out.collect()]
+    assert sorted((r for r in got if r in more), key=str) == sorted((r for r in more if r[1] != foul), key=str)
+    assert set(got) <= set(rows + more) and np.mean([r in got for r in rows[1::3] + rows[2::3]]) > 0.95
+    assert np.mean([r in got for r in rows[::3]]) < 0.1
+
+    long = [prose(rng, 200) for _ in range(4)]
+    rows = [(1, long[0], "en", "a", 1), (1, long[0], "en", "b", 2), (2, long[0], "fr", "a", 3), (2, long[1], "fr", "a", 4),
+            (None, long[2], "en", "b", 7), (None, long[2], "en", "a", 8), (None, long[0], "en", "a", 9), (3, None, "x", "y", 1),
+            (3, None, "x", "y", 1), (4, "", "x", "y", 0), (5, long[3], None, None, None)]
+    out = corpus_pipeline.neardup_stage(spark, spark.createDataFrame(rows, DOC_SCHEMA).withColumn("extra", F.lit("x")), "")
+    want = [rows[0], rows[3], rows[5], rows[6], rows[7], rows[9], rows[10]]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
