@@ -20,7 +20,8 @@ from ripplekit.llm.common import stored, table, text_hash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: The stages train and iterate, which SQL cannot express; tests/llm holds the operators against brute force.
+#: The stages train and iterate, which SQL cannot express; tests/llm holds each stage and run() against a version in
+#: plain Python (the toxicity classifier's own scores are taken over).
 ORACLE_SQL = None
 
 

@@ -625,3 +625,81 @@ def test_pipeline_decisions_belong_to_rows(spark, tmp_path):
     out = corpus_pipeline.neardup_stage(spark, spark.createDataFrame(rows, DOC_SCHEMA).withColumn("extra", F.lit("x")), "")
     want = [rows[0], rows[3], rows[5], rows[6], rows[7], rows[9], rows[10]]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """run(), stage by stage in plain Python: null, empty, repeated and extra-column rows, shared ids, long repeats."""
+    import corpus_pipeline
+    from array import array
+
+    from tokenizers import Tokenizer
+    rng = random.Random(22)
+
+    def plain(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    said = [plain(60) + (" scumbag " + plain(3) if i % 3 == 0 else "") for i in range(240)]
+    passage = plain(120)
+    texts = said + [plain(40) + " " + passage + " " + plain(200), plain(300) + " " + passage, plain(1500), plain(20) + "<|endoftext|>" + plain(9)]
+    texts += [" ".join(w if n != 20 else "other" for n, w in enumerate(said[1].split(" "))), said[4], "", None, "a", "   \n"]
+    rows = [(i, t, ("en", "fr", None)[i % 3 and i % 2], "src", 0) for i, t in enumerate(texts)]
+    twice = plain(150)
+    rows += [(1000, twice, "en", "a", 5), (1000, twice, "en", "b", 5), (None, said[3], "en", None, None), (None, plain(30), None, None, None),
+             (1001, said[6], "en", "s", 1), (1001, plain(50), "en", "s", 1), (1002, None, None, None, None)]
+    folder = str(tmp_path)
+    spark.createDataFrame([(*r, "x") for r in rows], DOC_SCHEMA + ", score string").write.parquet(f"{folder}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+
+    # 1: every row's text and language under an id of its own beside the documents
+    probes = spark.createDataFrame(rows + [(10_000 + n, *r[1:]) for n, r in enumerate(rows)], DOC_SCHEMA)
+    bad = {r.doc_id - 10_000 for r in toxicity.scored(probes, labels).where("rejected and doc_id >= 10000").collect()}
+    want = [r for n, r in enumerate(rows) if n not in bad]
+    assert 60 < len(bad) < 100 and not any(r[1] == said[3] for r in want)
+    first = spark.createDataFrame(rows, DOC_SCHEMA)
+    docs = corpus_pipeline.toxicity_stage(spark, first, folder)
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(want, key=str)
+    # 2: no text under a shared id is like another document's here
+    lead = brute_components([((r[0], n), r[1]) for n, r in enumerate(want) if r[0] is not None and r[1] != twice])
+    gone = {n for (i, n), (_, (top, _)) in lead.items() if top != i}
+    left = {}
+    for n, r in enumerate(want):
+        if n not in gone:
+            left[r[:2]] = min(r, left.get(r[:2], r), key=str)
+    want2 = list(left.values())
+    assert gone and len(want2) < len(want) - len(gone)
+    docs = corpus_pipeline.neardup_stage(spark, spark.createDataFrame(want, DOC_SCHEMA), folder)
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(want2, key=str)
+    # 3: the bytes of every passage of 400 bytes or more that is there twice
+    raw = [(r[1] or "").encode() for r in want2]
+    seen = collections.Counter(x[p:p + 400] for x in raw for p in range(len(x) - 399))
+    want3 = []
+    for r, x in zip(want2, raw):
+        out = {q for p in range(len(x) - 399) if seen[x[p:p + 400]] > 1 for q in range(p, p + 400)}
+        t = None if r[1] is None else bytes(b for q, b in enumerate(x) if q not in out).decode()
+        want3.append((r[0], t, r[2], r[3], None if t is None else len(t)))
+    assert sum(a[1] != b[1] for a, b in zip(want2, want3)) == 2
+    docs = corpus_pipeline.repeats_stage(spark, spark.createDataFrame(want2, DOC_SCHEMA), folder)
+    assert sorted((r[:2] for r in map(tuple, docs.collect())), key=str) == sorted((r[:2] for r in want3), key=str)
+    assert all(r.n_chars == len(r.text) for r in docs.collect() if r.text is not None)
+    # 4: no personal data here but in two rows of the stage's own test; the texts stay and are counted
+    docs = corpus_pipeline.pii_stage(spark, spark.createDataFrame(
+        want3 + [(2000 + i, f"write to joe{i}@site{i}.com now", "en", "s", 0) for i in range(30)], DOC_SCHEMA), folder)
+    clean = [r for r in want3] + [(2000 + i, "write to <EMAIL> now", "en", "s", 20) for i in range(30)]
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(clean, key=str)
+    # 5, and run() as a whole
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    pieces = []
+    for r in want3:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        at = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        pieces += [(r[0], n, a, b - a, zlib.crc32(array("I", ids[a:b]).tobytes())) for n, (a, b) in enumerate(zip(at, at[1:]))]
+    for docs in (corpus_pipeline.packing_stage(spark, spark.createDataFrame(want3, DOC_SCHEMA), folder), corpus_pipeline.run(spark, folder)):
+        got = docs.collect()
+        assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(pieces, key=str)
+        ends = collections.defaultdict(list)
+        for r in got:
+            ends[r.sequence_id].append((r.offset, r.offset + r.length))
+        for spans in ends.values():
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
