@@ -109,3 +109,63 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
     from .repeats import without_repeats
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@_query
+def op11_fim(spark, sf_dir: str) -> DataFrame:
+    from .fim import transformed
+    return transformed(table(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLES["op11_fim"] = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') units,
+         sha256('1:' || doc_id) h FROM documents),
+d AS (
+  SELECT *, len(units) n, ('0x' || h[1:8])::BIGINT h1, ('0x' || h[9:16])::BIGINT h2, ('0x' || h[17:24])::BIGINT h3,
+         ('0x' || h[25:32])::BIGINT h4 FROM u),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) lo, greatest(h1 % (n + 1), h2 % (n + 1)) hi,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END form FROM d),
+s AS (
+  SELECT *, array_to_string(units[1:lo], '') p, array_to_string(units[lo + 1:hi], '') m,
+         array_to_string(units[hi + 1:], '') s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) output_sha256, sha256(t) restored_sha256
+FROM s
+"""
+
+
+@_query
+def op12_runs(spark, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+    out = periodic_runs(table(spark, sf_dir, "documents"), tails=True)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return (out.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+@_query
+def op13_topk(spark, sf_dir: str) -> DataFrame:
+    from .maxscore import top_k
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_topk"] = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () r, [floor(256 * c::DOUBLE) FOR c IN embedding] x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+s AS (
+  SELECT q.vec_id query_id, q.r, c.vec_id, list_inner_product(q.x, c.x)::BIGINT score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) rank FROM s) WHERE rank <= 5
+"""
