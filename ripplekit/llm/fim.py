@@ -8,8 +8,9 @@ One shuffle carries the work. Tasks emit pieces of at most UNITS units keyed by
 ``repartitionAndSortWithinPartitions`` brings each row's pieces together in that order, and a task streams them into
 the digest of the output without joining them. The same stream is taken apart again by form and sentinels alone; its
 sections are keyed by their place in the text and sorted once more within the partition (no second shuffle, as the
-partitioner is the same) and stream into the digest of the restored text. The sorts spill to disk beyond Spark's
-Python memory limit; a task otherwise holds one piece at a time.
+partitioner is the same) and stream into the digest of the restored text. A first pass measures the texts, so that a
+sort has about SORT_BYTES however well they compress; the sorts spill to disk beyond Spark's Python memory limit, and
+a task otherwise holds one piece at a time.
 
 A row's key is the hash of its id and text with the number of its input partition, so that repeated rows, were they a
 third of all, spread like their input; pieces that arrive several times count copies. The key does not depend on the
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import columns_of
 
 UNITS = 4096
+SORT_BYTES = 16 << 20  # text in one task's sort
 #: The sentinels, and the percentages of the forms.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 TRANSFORMED, SPM = 90, 20
@@ -163,9 +165,10 @@ def _by_row(key) -> int:
 def transformed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 and, with ``texts``, the output."""
     spark = df.sparkSession
-    rows = (columns_of(df, doc_id=id_col, text=text_col)
-            .select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).rdd)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
+    docs = columns_of(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SORT_BYTES)
+    rows = docs.rdd
     out = (rows.mapPartitionsWithIndex(_pieces)
            .repartitionAndSortWithinPartitions(parts, _by_row).mapPartitions(_assembled(texts), True)
            .repartitionAndSortWithinPartitions(parts, _by_row).mapPartitions(_restored(texts), True))
