@@ -19,80 +19,79 @@ IV_SCHEMA = ("method string, predictor string, coef double, se double, stat doub
              "ci_upper double, kappa double, n long")
 
 
-def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "liml"), level: float = 0.95,
-            intercept: bool = True, robust: bool = False) -> DataFrame:
-    endog, exog, instruments = list(endog), list(exog), list(instruments)
-    cols = endog + exog + instruments + [y]
-    d = df.select(*cols).dropna()
-    if intercept:
-        d = d.withColumn("const", F.lit(1.0))
-        exog = ["const"] + exog
-    order = exog + endog + instruments + [y]
-    if robust:
-        d = d.persist()  # read again by the residual pass
-    (n, _, G), = collect_gram(d, order).values()
+def k_class_from_gram(G, n: int, exog, endog, instruments, methods=("2sls", "liml"), level: float = 0.95):
+    """Rows of the k-class estimators from the Gram of [exog, endog, instruments, y], and what a residual pass needs."""
+    names = list(exog) + list(endog)
     nx, ne, nz = len(exog), len(endog), len(instruments)
-    ix = list(range(nx))
-    ie = list(range(nx, nx + ne))
-    iz = list(range(nx + ne, nx + ne + nz))
+    ix, ie, iz = list(range(nx)), list(range(nx, nx + ne)), list(range(nx + ne, nx + ne + nz))
     iy = nx + ne + nz
-    R = ix + ie                       # regressors
-    Zf = ix + iz                      # all exogenous
+    R, Zf = ix + ie, ix + iz          # regressors, all exogenous
     sub = lambda a, b: G[np.ix_(a, b)]
     Qinv = np.linalg.pinv(sub(Zf, Zf))
-    RR, Ry = sub(R, R), sub(R, [iy])[:, 0]
-    RPR = sub(R, Zf) @ Qinv @ sub(Zf, R)
-    RPy = sub(R, Zf) @ Qinv @ sub(Zf, [iy])[:, 0]
+    RR, Ry = sub(R, R), G[R, iy]
+    ZR, Zy = sub(Zf, R), G[Zf, iy]
+    RPR, RPy = ZR.T @ Qinv @ ZR, ZR.T @ Qinv @ Zy
     RMR, RMy = RR - RPR, Ry - RPy
     Wi = [iy] + ie                    # endogenous block incl. outcome
     WW = sub(Wi, Wi)
     WMz = WW - sub(Wi, Zf) @ Qinv @ sub(Zf, Wi)
     WMx = WW - sub(Wi, ix) @ np.linalg.pinv(sub(ix, ix)) @ sub(ix, Wi)
     kappa_liml = float(np.min(np.real(np.linalg.eigvals(np.linalg.solve(WMz, WMx)))))
-    names = exog + endog
-    Zy = sub(Zf, [iy])[:, 0]
-    ZR = sub(Zf, R)
-    ZZ = sub(Zf, Zf)
-    rows = []
     q = norm_ppf(0.5 + level / 2)
+    rows, tsls = {}, None
     for m in methods:
         kappa = 1.0 if m == "2sls" else kappa_liml
-        A = RR - kappa * RMR
-        Ainv = np.linalg.pinv(A)
+        Ainv = np.linalg.pinv(RR - kappa * RMR)
         beta = Ainv @ (Ry - kappa * RMy)
-        yy = G[iy, iy]
-        rss = yy - 2 * beta @ Ry + beta @ RR @ beta
-        s2 = rss / max(n - len(R), 1)
-        cov = s2 * Ainv
-        for i, name in enumerate(names):
-            se = math.sqrt(max(cov[i, i], 0.0))
-            z = beta[i] / se if se > 0 else float("nan")
-            p = math.erfc(abs(z) / math.sqrt(2)) if se > 0 else None
-            rows.append((m, name, float(beta[i]), float(se), float(z), None if p is None else float(p), float(beta[i] - q * se),
-                         float(beta[i] + q * se), float(kappa), int(n)))
-        if m == "2sls" and robust:
+        rss = G[iy, iy] - 2 * beta @ Ry + beta @ RR @ beta
+        rows[m] = _coef_rows(m, names, beta, rss / max(n - len(R), 1) * Ainv, kappa, n, q)
+        if m == "2sls":
+            Ze = Zy - ZR @ beta
+            tsls = (beta, np.linalg.pinv(RPR) @ ZR.T @ Qinv, float(n * (Ze @ Qinv @ Ze) / rss) if rss > 0 else float("nan"))
+    return rows, tsls, q
+
+
+def _coef_rows(method, names, beta, cov, kappa, n, q):
+    out = []
+    for i, name in enumerate(names):
+        se = math.sqrt(max(cov[i, i], 0.0))
+        z = beta[i] / se if se > 0 else float("nan")
+        p = math.erfc(abs(z) / math.sqrt(2)) if se > 0 else None
+        out.append((method, name, float(beta[i]), float(se), float(z), None if p is None else float(p),
+                    float(beta[i] - q * se), float(beta[i] + q * se), float(kappa), int(n)))
+    return out
+
+
+def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "liml"), level: float = 0.95,
+            intercept: bool = True, robust: bool = False) -> DataFrame:
+    endog, exog, instruments = list(endog), list(exog), list(instruments)
+    d = df.select(*endog, *exog, *instruments, y).dropna()
+    if intercept:
+        d = d.withColumn("const", F.lit(1.0))
+        exog = ["const"] + exog
+    if robust:
+        d = d.persist()  # read again by the residual pass
+    (n, _, G), = collect_gram(d, exog + endog + instruments + [y]).values()
+    by_method, tsls, q = k_class_from_gram(G, n, exog, endog, instruments, methods, level)
+    rows = []
+    for m in methods:
+        rows += by_method[m]
+        if m != "2sls":
+            continue
+        beta, H, sargan = tsls
+        if robust:
             # HC0 sandwich for 2SLS: one more block-Gram pass over the
             # instruments weighted by the squared residuals
             from .gram import dot
-            e = F.col(y) - dot([order[j] for j in R], beta)
-            zcols = [order[j] for j in Zf]
-            (_, _, Om), = collect_gram(d.withColumn("_e2", e * e), zcols, (), F.col("_e2")).values()
-            H = np.linalg.pinv(RPR) @ sub(R, Zf) @ Qinv
-            covr = H @ Om @ H.T
-            for i, name in enumerate(names):
-                se = math.sqrt(max(covr[i, i], 0.0))
-                z = beta[i] / se if se > 0 else float("nan")
-                p = math.erfc(abs(z) / math.sqrt(2)) if se > 0 else None
-                rows.append(("2sls_robust", name, float(beta[i]), float(se), float(z), None if p is None else float(p),
-                             float(beta[i] - q * se), float(beta[i] + q * se), 1.0, int(n)))
-        if m == "2sls" and nz > ne:
+            e = F.col(y) - dot(exog + endog, beta)
+            (_, _, Om), = collect_gram(d.withColumn("_e2", e * e), exog + instruments, (), F.col("_e2")).values()
+            rows += _coef_rows("2sls_robust", exog + endog, beta, H @ Om @ H.T, 1.0, n, q)
+        if len(instruments) > len(endog):
             # Sargan over-identification test from the same Gram: n · e'P_Z e / e'e
-            Ze = Zy - ZR @ beta
-            ePe = Ze @ Qinv @ Ze
-            sargan = float(n * ePe / rss) if rss > 0 else float("nan")
             from ..functions.stats import chi2_sf
-            rows.append(("sargan", "overid", sargan, None, None, float(chi2_sf(sargan, nz - ne)), None, None,
-                         float(nz - ne), int(n)))
+            df_over = len(instruments) - len(endog)
+            rows.append(("sargan", "overid", sargan, None, None, float(chi2_sf(sargan, df_over)), None, None,
+                         float(df_over), int(n)))
     if robust:
         d.unpersist()
     return df.sparkSession.createDataFrame(rows, IV_SCHEMA)

@@ -1,53 +1,35 @@
 """Propensity scores and weighting estimators.
 
-Models are MLlib (distributed L-BFGS); scoring and the weighted means are
-plain aggregates.
+Models are fitted by Newton steps that are one distributed pass each for all
+folds (``multi.logistic_newton``); scoring and the weighted means are plain
+column expressions and aggregates.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _assemble(df: DataFrame, features, out: str = "features", constant: bool = True) -> DataFrame:
-    cols = list(features)
-    if constant:
-        df = df.withColumn("_const", F.lit(1.0))
-        cols = ["_const"] + cols
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
+from . import multi as M
+from .gram import dot
 
 
-def logistic_scores(train: DataFrame, score: DataFrame, label: str, features, c: float = 1.0,
-                    max_iter: int = 100, n_train: int | None = None) -> DataFrame:
-    """L2 logistic regression with the liblinear objective C·Σloss + ½||w||²
-    (intercept penalised too → constant column, no separate intercept):
-    Spark's (1/n)Σloss + λ/2||w||² with λ = 1/(C·n)."""
-    n = n_train if n_train is not None else train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                            fitIntercept=False, standardization=False, maxIter=max_iter)
-    model = lr.fit(_assemble(train, features))
-    out = model.transform(_assemble(score, features))
-    return out.withColumn("propensity", vector_to_array("probability").getItem(1)) \
-              .drop("features", "rawPrediction", "probability", "prediction", "_const")
+def _by_fold(fold: str, models: dict, columns) -> Column:
+    """The linear predictor of each row under its fold's coefficients (constant first)."""
+    out = F.lit(None).cast("double")
+    for f, beta in models.items():
+        out = F.when(F.col(fold) == f, F.lit(float(beta[0])) + dot(columns, beta[1:])).otherwise(out)
+    return out
 
 
-def cross_fitted_scores(df: DataFrame, label: str, features, fold: str, k: int, **kw) -> DataFrame:
-    """Each fold scored by a model fitted on the other folds.  Fold sizes
-    come from one grouped count (no count job per fold)."""
-    sizes = {r[fold]: r["n"] for r in df.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    parts = []
-    for f in range(k):
-        parts.append(logistic_scores(df.where(F.col(fold) != f), df.where(F.col(fold) == f), label, features,
-                                     n_train=total - sizes.get(f, 0), **kw))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def cross_fitted_scores(df: DataFrame, label: str, features, fold: str, k: int, c: float = 1.0) -> DataFrame:
+    """Each fold scored by a model fitted on the other folds: L2 logistic regression with the objective
+    C·Σloss + ½||w||², whose constant is penalised like any coefficient.  Features must be complete."""
+    features = list(features)
+    d = df.withColumn("fold", F.col(fold).cast("int")).select("fold", *[F.col(x).cast("double").alias(x) for x in [label, *features]])
+    fits = M.logistic_newton(d, {label: [label, *features]}, k, c)
+    z = _by_fold(fold, {f: fits[label, f][0] for f in range(k)}, features)
+    return df.withColumn("propensity", 1 / (1 + F.exp(-z)))
 
 
 def ipw_att(df: DataFrame, y: str, w: str, e: str, clip: float | None = None) -> DataFrame:
@@ -63,21 +45,17 @@ def ipw_att(df: DataFrame, y: str, w: str, e: str, clip: float | None = None) ->
     return a.withColumn("att", F.col("treated_mean") - F.col("control_mean"))
 
 
-def aipw(df: DataFrame, y: str, w: str, features, fold: str, k: int, reg: float = 0.01) -> DataFrame:
-    """Doubly robust ATE/ATT with cross-fitting: per fold, Lasso outcome
-    models per arm and a logistic propensity fitted on the other folds."""
-    parts = []
-    for f in range(k):
-        tr, te = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        te = logistic_scores(tr, te, w, features)
-        for arm in (0, 1):
-            lin = LinearRegression(featuresCol="features", labelCol=y, regParam=reg, elasticNetParam=1.0)
-            m = lin.fit(_assemble(tr.where(F.col(w) == arm), features, constant=False))
-            te = m.transform(_assemble(te, features, constant=False)).withColumnRenamed("prediction", f"mu{arm}") \
-                  .drop("features")
-        parts.append(te)
-    s = reduce(lambda a, b: a.unionByName(b), parts)
-    e = F.least(F.greatest(F.col("propensity"), F.lit(0.01)), F.lit(0.99))
+def aipw(df: DataFrame, y: str, w: str, features, fold: str, k: int) -> DataFrame:
+    """Doubly robust ATE/ATT with cross-fitting: outcome models per arm (lasso by information criterion from the
+    fold Grams, all arms and folds in one pass) and logistic scores fitted on the other folds."""
+    features = list(features)
+    d = df.withColumn("fold", F.col(fold).cast("int")).select("fold", *[F.col(x).cast("double").alias(x) for x in [w, y, *features]])
+    plan = M.Plan({w: [w, *features]}, {y: (y, 0)}, folds=k)
+    models = M.outcome_models(d, plan, [y])
+    s = cross_fitted_scores(df, w, features, fold, k)
+    for arm in (0, 1):
+        s = s.withColumn(f"mu{arm}", _by_fold(fold, {f: models[w, f, arm][:, 0] for f in range(k)}, features))
+    e = F.least(F.greatest(F.col("propensity"), F.lit(M.CLIP)), F.lit(1 - M.CLIP))
     psi = F.col("mu1") - F.col("mu0") + F.col(w) * (F.col(y) - F.col("mu1")) / e \
         - (1 - F.col(w)) * (F.col(y) - F.col("mu0")) / (1 - e)
     att_num = F.col(w) * (F.col(y) - F.col("mu0")) - (1 - F.col(w)) * e / (1 - e) * (F.col(y) - F.col("mu0"))
