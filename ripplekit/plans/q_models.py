@@ -45,11 +45,14 @@ def design(spark, d, targets=(Y,), steps=(7,), cumulative=True, instruments=Fals
     return p, xs, list(ys)
 
 
-def _long_targets(p, xs, ycols, extra=()):
-    """(target, step, y) long form: every (target, step) is a group of one Gram pass."""
-    long = p.select(*xs, *extra, *ycols).unpivot(list(xs) + list(extra), ycols, "_ts", "y")
-    parts = F.split("_ts", "__")
-    return long.withColumn("target", parts.getItem(1)).withColumn("step", parts.getItem(2).cast("int")).drop("_ts")
+def _regressions(p, xs, ys):
+    """The runner's regression rows for all (target, step) responses: two passes over one held design, no row copied."""
+    from ..estimators import multi as M
+    named = {y: (y.split("__")[1], int(y.split("__")[2])) for y in ys}
+    d = p.select(*[F.col(c).cast("double").alias(c) for c in [*xs, *ys]]).dropna(subset=xs).persist()
+    r = M.run_methods(d, M.Plan({"occ_protest_lag0": xs}, named), ("regression",))
+    d.unpersist()
+    return r.withColumnRenamed("treatment", "predictor").drop("estimand", "settled")
 
 
 @query("ols_hc3")
@@ -66,19 +69,14 @@ def ols_no_controls(spark, d):
 
 @query("effects_all_methods")
 def effects_all_methods(spark, d):
-    """All targets × steps in ONE Gram pass (grouped), HC3 in a second."""
-    p, xs, ys = design(spark, d, targets=("media_online_protest", "media_print_protest"), steps=(0, 1, 7))
-    long = _long_targets(p, xs, ys)
-    r = LN.ols(long, "y", xs, group=["target", "step"])
-    return r.where(F.col("predictor") == "occ_protest_lag0").withColumn("method", F.lit("regression"))
+    """Least squares with HC3 errors for all targets × steps (every method: ``methods_grid``)."""
+    return _regressions(*design(spark, d, targets=("media_online_protest", "media_print_protest"), steps=(0, 1, 7)))
 
 
 @query("placebo_outcome")
 def placebo_outcome(spark, d):
     """Outcome before the event (negative steps) — expected effect ≈ 0."""
-    p, xs, ys = design(spark, d, steps=(-7, -3, -1), cumulative=False)
-    long = _long_targets(p, xs, ys)
-    return LN.ols(long, "y", xs, group=["target", "step"]).where(F.col("predictor") == "occ_protest_lag0")
+    return _regressions(*design(spark, d, steps=(-7, -3, -1), cumulative=False))
 
 
 @query("placebo_treatment")
