@@ -66,43 +66,49 @@ def interval(values: np.ndarray, level: float) -> tuple[float, float, float]:
 
 def logistic_newton(df: DataFrame, designs: dict[str, list[str]], folds: int, c: float = 1.0, rounds: int = 40,
                     tol: float = 1e-8) -> dict[tuple[str, int], tuple[np.ndarray, bool]]:
-    """Cross-fitted logistic models, C * loss + |b|^2 / 2 with the constant penalised too: {(treatment, fold):
-    (coefficients, settled)}, each fitted on the rows outside the fold.  One pass is one Newton step of all models; a
-    step that raises a model's loss is halved."""
-    k = {t: len(xs) for t, xs in designs.items()}
-    models = [(t, f) for t in designs for f in range(folds)]
-    w = {m: np.zeros(k[m[0]]) for m in models}          # constant and all regressors but the treatment
-    best = {m: (w[m], np.inf, None) for m in models}     # where the last accepted step starts
-    live, settled = set(models), {m: False for m in models}
+    """Cross-fitted logistic models {(treatment, fold): (coefficients, settled)}, each fitted on the rows outside the
+    fold (column ``fold``)."""
+    models = {(t, f): (t, [x for x in xs if x != t], [g for g in range(folds) if g != f])
+              for t, xs in designs.items() for f in range(folds)}
+    return newton_models(df, models, c, rounds, tol)
+
+
+def newton_models(df: DataFrame, models: dict, c: float = 1.0, rounds: int = 40, tol: float = 1e-8) -> dict:
+    """Logistic models, C * loss + |b|^2 / 2 with the constant penalised too, all fitted together: one pass is one Newton
+    step of every model; a step that raises a model's loss is halved.  ``models``: key -> (label, columns, folds to train
+    on); returns key -> (coefficients with the constant first, settled).  A model without rows keeps zeros."""
+    w = {m: np.zeros(1 + len(cols)) for m, (_, cols, _) in models.items()}
+    best = {m: (w[m], np.inf) for m in models}     # where the last accepted step starts
+    live, settled = set(models), dict.fromkeys(models, False)
+    names = {m: str(i) for i, m in enumerate(models)}
     for _ in range(rounds):
         now = {m: w[m] for m in live}
 
         def sums(pdf):
-            out, fold = {}, pdf["fold"].to_numpy()
-            for t, xs in designs.items():
-                wanted = [f for f in range(folds) if (t, f) in now]
-                if not wanted:
-                    continue
-                X, y = _matrix(pdf, [x for x in xs if x != t]), pdf[t].to_numpy(float)
-                for f in wanted:
-                    Xf, yf = X[fold != f], y[fold != f]
-                    z = Xf @ now[t, f]
-                    p = 0.5 * (1 + np.tanh(z / 2))
-                    loss = np.sum(np.logaddexp(0, z) - yf * z)
-                    out[f"{t}|{f}"] = np.column_stack([(Xf * (p * (1 - p))[:, None]).T @ Xf, Xf.T @ (p - yf), np.full(X.shape[1], loss)])
+            out, fold, seen = {}, pdf["fold"].to_numpy(), {}
+            for m, b in now.items():
+                label, cols, train = models[m]
+                if tuple(cols) not in seen:
+                    seen[tuple(cols)] = _matrix(pdf, cols)
+                at = np.isin(fold, train)
+                X, y = seen[tuple(cols)][at], pdf[label].to_numpy(float)[at]
+                z = X @ b
+                p = 0.5 * (1 + np.tanh(z / 2))
+                loss = np.sum(np.logaddexp(0, z) - y * z)
+                out[names[m]] = np.column_stack([(X * (p * (1 - p))[:, None]).T @ X, X.T @ (p - y), np.full(len(b), loss)])
             return out
 
         got = array_sums(df, sums)
         if not got:
             break
-        for t, f in list(live):
-            m, s = (t, f), got[f"{t}|{f}"]
-            H, g, loss = s[:, :-2], s[:, -2], s[0, -1] + w[t, f] @ w[t, f] / (2 * c)
+        for m in list(live):
+            s = got[names[m]]
+            H, g, loss = s[:, :-2], s[:, -2], s[0, -1] + w[m] @ w[m] / (2 * c)
             if loss > best[m][1] * (1 + 1e-12) + 1e-12:
                 w[m] = (w[m] + best[m][0]) / 2
                 continue
             move = np.linalg.solve(H + np.eye(len(g)) / c, g + w[m] / c)
-            best[m] = (w[m], loss, None)
+            best[m] = (w[m], loss)
             if np.abs(move).max() < tol:
                 settled[m] = True
                 live.discard(m)
