@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import ranks as R
 from ..operators import windows as W
 from ..operators.joins import event_window
 from ..sources import views as V
@@ -94,9 +95,9 @@ def resample_quarter(spark, d):
 SELECT unit, ROUND(quantile_cont(size, 0.25), 6) AS p25, ROUND(median(size), 6) AS p50,
   ROUND(quantile_cont(size, 0.75), 6) AS p75 FROM ev GROUP BY unit""")
 def quantiles(spark, d):
-    return V.ev(spark, d).groupBy("unit").agg(
-        F.round(F.percentile("size", 0.25), 6).alias("p25"), F.round(F.median("size"), 6).alias("p50"),
-        F.round(F.percentile("size", 0.75), 6).alias("p75"))
+    """Exact quantiles by rank selection on range-partitioned counts of the values."""
+    q = R.quantiles(V.ev(spark, d), ["unit"], "size", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return q.select("unit", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
 
 
 @query("source_quality", sql="""
@@ -375,10 +376,14 @@ def histogram(spark, d):
 SELECT lang, COUNT(*) AS n, MIN(w) AS min_words, MAX(w) AS max_words, ROUND(AVG(w), 9) AS mean_words,
   quantile_cont(w, 0.5) AS median_words FROM (SELECT lang, len(string_split(text, ' ')) AS w FROM documents) GROUP BY lang""")
 def word_count_summary(spark, d):
-    w = table(spark, d, "documents").select("lang", F.size(F.split("text", " ")).alias("w"))
-    return w.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("w").cast("bigint").alias("min_words"),
-                                 F.max("w").cast("bigint").alias("max_words"), F.round(F.avg("w"), 9).alias("mean_words"),
-                                 F.median("w").alias("median_words"))
+    w = table(spark, d, "documents").select("lang", F.size(F.split("text", " ")).cast("long").alias("w"))
+    c = R.with_before(R.value_counts(w, ["lang"], "w"), ["lang"], "w")
+    k = (F.col("n_total") - 1) / 2
+    holds = lambda i: (F.col("n_before") <= i) & (i < F.col("n_before") + F.col("n"))
+    mid = [F.max(F.when(holds(i), F.col("w"))) for i in (F.floor(k), F.ceil(k))]
+    return c.groupBy("lang").agg(F.sum("n").alias("n"), F.min("w").alias("min_words"), F.max("w").alias("max_words"),
+                                 F.round(F.sum(F.col("w") * F.col("n")) / F.sum("n"), 9).alias("mean_words"),
+                                 ((mid[0] + mid[1]) / 2).alias("median_words"))
 
 
 @query("monthly_source_counts", views=("evlog",), sql="""

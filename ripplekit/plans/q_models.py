@@ -13,6 +13,7 @@ from ..estimators import linear as LN
 from ..estimators import propensity as PS
 from ..estimators import synth as SC
 from ..functions.dates import WEEKDAYS, holiday_flag, weekday_name
+from ..operators import ranks as R
 from ..operators import windows as W
 from ..operators.aggregates import effect_summary as _effect_summary
 from ..operators.reshape import one_hot_drop_first
@@ -316,19 +317,10 @@ def normality(spark, d):
        FROM (SELECT t, score, ROW_NUMBER() OVER (ORDER BY score) AS rk FROM c))
 SELECT ROUND((SUM(CASE WHEN t = 1 THEN ar END) - SUM(t) * (SUM(t) + 1) / 2.0) / (SUM(t) * SUM(1 - t)), 9) AS auc, COUNT(*) AS n FROM r""")
 def baseline_auc(spark, d):
-    """AUC of the historic-mean forecast by the rank-sum formula with
-    tie-averaged ranks: ranks come from per-score counts (an aggregate over
-    distinct scores) and a running sum over that small table."""
+    """AUC of the historic-mean forecast by the rank-sum formula with tie-averaged, distributed ranks."""
     p = V.panel(spark, d).select("unit", "day", "occ_protest").repartition("unit")
-    s = p.withColumn("score", W.historic_mean("occ_protest")).where(F.col("score").isNotNull())
-    c = s.groupBy("score").agg(F.count(F.lit(1)).alias("c"), F.sum("occ_protest").alias("pos"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    c = c.withColumn("ar", F.col("before") + (F.col("c") + 1) / 2.0)
-    a = c.agg(F.sum(F.col("pos") * F.col("ar")).alias("rs"), F.sum("pos").alias("n1"), F.sum("c").alias("n"))
-    n0 = F.col("n") - F.col("n1")
-    return a.select(F.round((F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * n0), 9).alias("auc"),
-                    F.col("n").cast("long").alias("n"))
+    a = R.auc(p.withColumn("score", W.historic_mean("occ_protest")), [], "score", "occ_protest")
+    return a.select(F.round("auc", 9).alias("auc"), "n")
 
 
 # C16-C23 --------------------------------------------------------------------
