@@ -73,10 +73,12 @@ def logistic_newton(df: DataFrame, designs: dict[str, list[str]], folds: int, c:
     return newton_models(df, models, c, rounds, tol)
 
 
-def newton_models(df: DataFrame, models: dict, c: float = 1.0, rounds: int = 40, tol: float = 1e-8) -> dict:
+def newton_models(df: DataFrame, models: dict, c: float = 1.0, rounds: int = 40, tol: float = 1e-8,
+                  weights: dict | None = None) -> dict:
     """Logistic models, C * loss + |b|^2 / 2 with the constant penalised too, all fitted together: one pass is one Newton
     step of every model; a step that raises a model's loss is halved.  ``models``: key -> (label, columns, folds to train
-    on); returns key -> (coefficients with the constant first, settled).  A model without rows keeps zeros."""
+    on); returns key -> (coefficients with the constant first, settled).  ``weights``: key -> (weight of class 0, of class
+    1).  A model without rows keeps zeros."""
     w = {m: np.zeros(1 + len(cols)) for m, (_, cols, _) in models.items()}
     best = {m: (w[m], np.inf) for m in models}     # where the last accepted step starts
     live, settled = set(models), dict.fromkeys(models, False)
@@ -94,8 +96,9 @@ def newton_models(df: DataFrame, models: dict, c: float = 1.0, rounds: int = 40,
                 X, y = seen[tuple(cols)][at], pdf[label].to_numpy(float)[at]
                 z = X @ b
                 p = 0.5 * (1 + np.tanh(z / 2))
-                loss = np.sum(np.logaddexp(0, z) - y * z)
-                out[names[m]] = np.column_stack([(X * (p * (1 - p))[:, None]).T @ X, X.T @ (p - y), np.full(len(b), loss)])
+                s = 1.0 if weights is None else np.where(y > 0, weights[m][1], weights[m][0])
+                loss = np.sum(s * (np.logaddexp(0, z) - y * z))
+                out[names[m]] = np.column_stack([(X * (s * p * (1 - p))[:, None]).T @ X, X.T @ (s * (p - y)), np.full(len(b), loss)])
             return out
 
         got = array_sums(df, sums)
