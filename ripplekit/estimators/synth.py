@@ -195,7 +195,10 @@ def _day_solver(outcomes, pre, post, method, scale, unit, start_ok="_ev", config
         outs = []
         treat = pdf["_t"].to_numpy()
         evok = pdf[start_ok].to_numpy()
-        donors = np.nonzero(treat == 0)[0]
+        free = treat == 0
+        if cfg is not None and "donors" in c:
+            free &= ~pdf[f"x_{c['donors']}"].to_numpy(bool)
+        donors = np.nonzero(free)[0]
         series = pdf["series"].to_numpy()
         for ti in np.nonzero((treat == 1) & evok)[0]:
             if min_count is not None:
@@ -238,12 +241,12 @@ def parse_config(cfg: str) -> dict:
 
 
 def day_members(panel: DataFrame, outcomes, pre: int, post: int, treatment: str = "occ_protest",
-                start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
+                start: str | None = None, unit: str = "unit", day: str = "day", extra=()) -> DataFrame:
     """One row per (day, unit) with the unit's window arrays, its treatment
     that day (null treatment rows are dropped: neither event nor donor) and
     whether it qualifies as an event (full pre-window after ``start``)."""
     arr = window_arrays(panel, outcomes, pre, post, unit, day)
-    t = panel.select(F.col(unit).alias("series"), F.col(day).alias("event_day"), F.col(treatment).alias("_t")) \
+    t = panel.select(F.col(unit).alias("series"), F.col(day).alias("event_day"), F.col(treatment).alias("_t"), *extra) \
              .where(F.col("_t").isNotNull())
     ok = F.lit(True) if start is None else (F.date_sub("event_day", pre) >= F.to_date(F.lit(start)))
     return t.join(arr, ["series", "event_day"]).withColumn("_ev", ok)
@@ -329,3 +332,16 @@ def sc_grid(panel: DataFrame, outcome: str, pres, post: int, scales=(None,), tre
         F.sqrt(F.avg(F.when(F.col("rel_day") >= 0, F.col("err") * F.col("err")))).alias("post_rmse"))
     # every configuration appears, with 0 events when none qualifies
     return all_cfg.join(stats, "config", "left").fillna({"events": 0})
+
+
+def donor_sets(panel: DataFrame, outcome: str, modes, pre: int, post: int, treatment: str = "occ_protest", scale: str | None = "demean",
+               start: str | None = None, unit: str = "unit", day: str = "day") -> DataFrame:
+    """Every event's effect under each donor set: donors are the untreated units of the day that ``x_{mode}`` does not
+    exclude.  Window arrays are built and shipped once for all modes.  Rows (mode, unit, event_day, rel_day, effect)."""
+    flags = [f"x_{m}" for m in modes]
+    m = _spread(day_members(panel, [outcome], pre, post, treatment, start, unit, day, extra=flags), ["event_day"])
+    configs = [f"pre={pre}|scale={scale or 'none'}|donors={x}" for x in modes]
+    res = m.groupBy("event_day").applyInPandas(_day_solver([outcome], pre, post, "nnls", None, unit, configs=configs),
+                                               SC_SCHEMA.replace("unit string", f"{unit} string") + ", config string")
+    return res.select(F.regexp_extract("config", r"donors=(\w+)", 1).alias("mode"), unit, "event_day", "rel_day",
+                      (F.col("y") - F.col("y_synth")).alias("effect"))

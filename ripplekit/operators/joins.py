@@ -69,6 +69,28 @@ def exclude_contaminated(events: DataFrame, panel: DataFrame, indicator: Column,
     return events.join(bad, on=[unit, day], how="left_anti")
 
 
+# The exclusion modes.
+EXCLUSION_MODES = ("none", "acled", "official", "all", "regions")
+
+
+def exclusion_flags(panel: DataFrame, acled: str, official: str, before: int, after: int, no_official: Column | None = None,
+                    unit: str = "unit", day: str = "day") -> DataFrame:
+    """J9 on a dense spine: ``x_{mode}`` says whether a unit-day is contaminated under each of the five modes: an event of
+    the mode's sources in the days [-before, -1] or [1, after]; a missing official count excludes; ``regions`` excludes the
+    units that ``no_official`` marks.  One window pass for all modes."""
+    flags = {"acled": F.coalesce(F.col(acled), F.lit(0)) > 0, "official": F.coalesce(F.col(official) > 0, F.lit(True))}
+    flags["all"] = flags["acled"] | flags["official"]
+    w = Window.partitionBy(unit).orderBy(day)
+    out = {"x_none": F.lit(False), "x_regions": F.lit(False) if no_official is None else F.coalesce(no_official, F.lit(False))}
+    for mode, flag in flags.items():
+        near = [F.max(flag).over(w.rowsBetween(*span)) for span in ((-before, -1), (1, after)) if span[0] <= span[1]]
+        hit = F.lit(False)
+        for x in near:
+            hit = hit | F.coalesce(x, F.lit(False))
+        out[f"x_{mode}"] = hit
+    return panel.withColumns(out)
+
+
 def offset_lookup(keys: DataFrame, series: DataFrame, offsets, value: str, unit="unit", day="day") -> DataFrame:
     """Value at (unit, day + k) for every k, as one equi-join."""
     k = keys.select(unit, day).withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets]))) \

@@ -1,12 +1,16 @@
 """Rolling-origin back-tests, precision-recall curves and the best threshold from distributed ranks."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..estimators import synth as SC
+from ..operators import joins as J
 from ..operators import ranks as R
 from ..operators import windows as W
 from ..sources import views as V
 from ..sources.tables import table
+from .q_methods import source_panel
 from .registry import query
 
 _SCORED = """
@@ -63,3 +67,51 @@ def pr_curve(spark, d):
     c = R.pr_curve(x, ["lang"], "n_chars", "quality").drop("step")
     return c.select("lang", "threshold", *[F.col(k).cast("long").alias(k) for k in ("tp", "fp", "fn")],
                     *[F.round(k, 9).alias(k) for k in ("precision", "recall", "f1")])
+
+
+FREE_BEFORE, FREE_AFTER = 3, 2
+NO_OFFICIAL = "ASIA"
+
+
+def _exclusion_panel(spark, d):
+    """The panel with each source's event counts and the five exclusion flags.  Stand-in: units of NO_OFFICIAL have no
+    official register, their counts are null."""
+    from ..sources.tables import dim
+    p = V.panel(spark, d).select("unit", "day", "occ_protest", V.MEDIA_COLS[0])
+    n = V.evall(spark, d).groupBy(F.col("region").alias("unit"), "day").agg(
+        F.count(F.when(F.col("source") == "acled", 1)).alias("acled"), F.count(F.when(F.col("source") == "gpreg", 1)).alias("gpreg"))
+    area = dim(spark, d, "nation").join(dim(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")) \
+        .select(F.col("n_name").alias("unit"), (F.col("r_name") == NO_OFFICIAL).alias("unregistered"))
+    p = p.join(n, ["unit", "day"], "left").join(F.broadcast(area), "unit").withColumns({
+        "acled": F.coalesce("acled", F.lit(0)), "official": F.when(~F.col("unregistered"), F.coalesce("gpreg", F.lit(0)))})
+    return J.exclusion_flags(p.repartition("unit"), "acled", "official", FREE_BEFORE, FREE_AFTER, F.col("unregistered"))
+
+
+@query("contamination_modes", views=("panel", "evall"), sql=f"""
+, n AS (SELECT region AS unit, day, SUM(CASE WHEN source = 'acled' THEN 1 ELSE 0 END) AS acled, SUM(CASE WHEN source = 'gpreg' THEN 1 ELSE 0 END) AS gpreg
+        FROM evall GROUP BY 1, 2),
+ p AS (SELECT panel.unit, panel.day, occ_protest, coalesce(acled, 0) > 0 AS a, r_name = '{NO_OFFICIAL}' AS u,
+         CASE WHEN r_name = '{NO_OFFICIAL}' THEN true ELSE coalesce(gpreg, 0) > 0 END AS o
+       FROM panel JOIN nation ON n_name = panel.unit JOIN region ON n_regionkey = r_regionkey LEFT JOIN n ON n.unit = panel.unit AND n.day = panel.day),
+ x AS (SELECT unit, day, occ_protest, u, coalesce(bool_or(a) OVER b, false) OR coalesce(bool_or(a) OVER f, false) AS xa,
+         coalesce(bool_or(o) OVER b, false) OR coalesce(bool_or(o) OVER f, false) AS xo FROM p
+       WINDOW b AS (PARTITION BY unit ORDER BY day ROWS BETWEEN {FREE_BEFORE} PRECEDING AND 1 PRECEDING),
+         f AS (PARTITION BY unit ORDER BY day ROWS BETWEEN 1 FOLLOWING AND {FREE_AFTER} FOLLOWING))
+SELECT m.mode, unit, day FROM x, (VALUES ('none'), ('acled'), ('official'), ('all'), ('regions')) m(mode) WHERE occ_protest = 1
+  AND CASE mode WHEN 'none' THEN true WHEN 'acled' THEN NOT xa WHEN 'official' THEN NOT xo WHEN 'all' THEN NOT (xa OR xo) ELSE NOT u END""")
+def contamination_modes(spark, d):
+    """Event days that are free of other events under each of the five exclusion modes."""
+    p = _exclusion_panel(spark, d).where("occ_protest = 1")
+    long = p.select("unit", "day", *[F.col(f"x_{m}").alias(m) for m in J.EXCLUSION_MODES]).unpivot(
+        ["unit", "day"], list(J.EXCLUSION_MODES), "mode", "excluded")
+    return long.where(~F.col("excluded")).select("mode", "unit", "day")
+
+
+@query("donor_set_bands")
+def donor_set_bands(spark, d):
+    """Median and quartiles of the cumulative impact by day, under each of the five donor sets."""
+    e = SC.donor_sets(_exclusion_panel(spark, d), V.MEDIA_COLS[0], J.EXCLUSION_MODES, 28, 7, start=V.START)
+    w = Window.partitionBy("mode", "unit", "event_day").orderBy("rel_day").rowsBetween(Window.unboundedPreceding, 0)
+    c = e.where("rel_day >= 0").withColumn("impact", F.sum("effect").over(w))
+    q = R.quantiles(c, ["mode", "rel_day"], "impact", {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    return q.join(c.groupBy("mode", "rel_day").agg(F.count(F.lit(1)).alias("events")), ["mode", "rel_day"])

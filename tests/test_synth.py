@@ -58,3 +58,26 @@ def test_ar_direct_and_exog():
     assert np.allclose(f[1:], y[1:], atol=1e-8)
     d = _ar_path(y, 60, 1, exog=x, direct=True)
     assert np.isfinite(d[60:]).all()
+
+
+def test_donor_sets(spark):
+    p = _panel(spark).withColumns({"x_none": F.lit(False), "x_b": F.col("unit") == "b", "x_all": F.lit(True)})
+    e = SC.donor_sets(p, "y", ["none", "b", "all"], 14, 7, scale=None, start="2000-01-01").toPandas()
+    one = SC.synthetic_control(p.where("unit <> 'b'"), ["y"], 14, 7, start="2000-01-01").toPandas()
+    assert set(e["mode"]) == {"none", "b"} and np.allclose(e[e["mode"] == "none"].effect, 0, atol=1e-6)
+    got = e[e["mode"] == "b"].sort_values(["event_day", "rel_day"]).effect.to_numpy()
+    want = one.sort_values(["event_day", "rel_day"])
+    assert np.allclose(got, want.y - want.y_synth, atol=1e-9) and np.abs(got).max() > 0.1
+
+
+def test_exclusion_flags(spark):
+    from ripplekit.operators.joins import EXCLUSION_MODES, exclusion_flags
+    acled = [0, 0, 1, 0, 0, 0, 0, 0, 0, 0]
+    official = [0, 0, 0, 0, 0, 0, 0, None, 0, 0]
+    days = pd.date_range("2000-01-01", periods=10).date
+    df = spark.createDataFrame([("u", d, a, o, False) for d, a, o in zip(days, acled, official)], "unit string, day date, a int, o int, r boolean")
+    got = exclusion_flags(df, "a", "o", 2, 1, F.col("r")).orderBy("day").collect()
+    near = lambda hit: [any(0 <= i + k < 10 and hit[i + k] for k in (-2, -1, 1)) for i in range(10)]
+    a, o = [x > 0 for x in acled], [x is None or x > 0 for x in official]
+    want = {"none": [False] * 10, "acled": near(a), "official": near(o), "all": near([x or y for x, y in zip(a, o)]), "regions": [False] * 10}
+    assert {m: [r[f"x_{m}"] for r in got] for m in EXCLUSION_MODES} == want
