@@ -81,7 +81,13 @@ def paths(messages: DataFrame) -> DataFrame:
         jump = stored(x.join(y, [F.col("x.tree").eqNullSafe(F.col("y.tree")), F.col("x.above") == F.col("y.msg")])
                       .select("x.tree", "x.msg", "y.above"), "chat-jump")
         step *= 2
-    return walk
+    # a path ends at a message without a parent among the messages; a leaf that hangs on a cycle has none
+    linked = child.join(known, [child["tree"].eqNullSafe(known["tree"]), child["parent"] == known["parent"]], "left_semi") \
+        .select("tree", "msg").distinct()
+    w = walk.alias("w")
+    ended = (w.join(linked.alias("l"), [F.col("w.tree").eqNullSafe(F.col("l.tree")), F.col("w.msg").eqNullSafe(F.col("l.msg"))], "left_anti")
+             .select("tree", "leaf").distinct())
+    return w.join(ended.alias("e"), [F.col("w.tree").eqNullSafe(F.col("e.tree")), F.col("w.leaf").eqNullSafe(F.col("e.leaf"))], "left_semi")
 
 
 def conversations(messages: DataFrame, branches: int | None = None) -> DataFrame:

@@ -108,7 +108,7 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
 @_query
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
     from .repeats import without_repeats
-    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept").withColumn("cut", F.col("n_removed") > 0)
 
 
 @_query

@@ -1,7 +1,8 @@
 """Vectorised text primitives over Arrow string columns: words, lines, rolling hashes, shingles.
 
 All functions work on blocks of whole texts laid end to end as UTF-8 bytes; nothing crosses a text's end.
-Hashes are 64-bit: a random value per byte, a polynomial over them modulo 2^64, and a final mix.
+Hashes are 64-bit: a random value per byte, polynomials over them modulo two primes below 2^31, and a final mix. (Modulo
+a power of two, words with a recursive structure collide whatever the base and the values are.)
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,37 +32,55 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + _U(salt << 20)) * _U(BASE))
 
 
-_BYTE = seeds(256, 7)
-_BYTE_LOWER = _BYTE[_LOWER]
-_POW = {}
+class _Prime:
+    """Arithmetic modulo 2^31 - c on arrays below 2^62, with powers of a base and of its inverse."""
 
+    def __init__(self, c: int, salt: int):
+        self.c, self.p = c, (1 << 31) - c
+        self.byte = self.mod(seeds(256, salt) >> _U(2))
+        self.base = int(seeds(1, salt + 1)[0] >> _U(2)) % self.p | 1
+        self.tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
-def _powers(n: int):
-    """BASE^i and BASE^-i for i < n."""
-    if len(_POW.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for key, b in (("p", BASE), ("q", _INV)):
-                out = np.ones(size, np.uint64)
+    def mod(self, x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = (x & _U(0x7FFFFFFF)) + (x >> _U(31)) * _U(self.c)
+        return np.where(x >= _U(self.p), x - _U(self.p), x)
+
+    def powers(self, n: int):
+        """base^i and base^-i for i < n."""
+        if len(self.tables[0]) < n:
+            size = max(n, 1 << 16)
+            out = []
+            for b in (self.base, pow(self.base, -1, self.p)):
+                t = np.ones(size, np.uint64)
                 k = 1
                 while k < size:
                     m = min(k, size - k)
-                    out[k:k + m] = out[:m] * _U(pow(b, k, 1 << 64))
+                    t[k:k + m] = self.mod(t[:m] * _U(pow(b, k, self.p)))
                     k += m
-                _POW[key] = out
-    return _POW["p"], _POW["q"]
+                out.append(t)
+            self.tables = tuple(out)
+        return self.tables
+
+
+_PRIMES = (_Prime(1, 7), _Prime(19, 9))
 
 
 class Rolling:
     """Hashes of any byte ranges of a block."""
 
     def __init__(self, data: np.ndarray, lower: bool = False):
-        p, self.q = _powers(len(data) + 1)
-        self.h = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * p[:len(data)], out=self.h[1:])
+        n = len(data)
+        self.sums = []
+        for m in _PRIMES:
+            up, down = m.powers(n + 1)
+            h = np.zeros(n + 1, np.uint64)
+            np.cumsum(m.mod((m.byte[_LOWER] if lower else m.byte)[data] * up[:n]), out=h[1:])
+            self.sums.append((m, h, down))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.h[end] - self.h[start]) * self.q[start] + (end - start).astype(np.uint64))
+        a, b = (m.mod(m.mod(h[end] - h[start]) * down[start]) for m, h, down in self.sums)
+        return mix(mix(a << _U(31) | b) + (end - start).astype(np.uint64))
 
 
 def blocks(col, max_bytes: int = 2 << 20):

@@ -587,7 +587,7 @@ def test_smallest_is_the_same_with_and_without_the_bound(spark):
 
 
 def test_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and os.path.exists(bpe.VOCABULARY)
 
 
