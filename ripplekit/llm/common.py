@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 
-__all__ = ["table", "work_dir", "stored", "columns_of", "smallest", "components"]
+__all__ = ["table", "work_dir", "stored", "text_batches", "columns_of", "smallest", "components"]
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -26,6 +26,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts pass to Python in Arrow batches of at most ``rows`` rows from here on (Spark's default is 10,000, tens
+    of MB of texts or sets on both sides of every task); a smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def columns_of(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, under the operator's own names (other columns of any name are ignored)."""
     return df.select(*[df[c].alias(new) for new, c in cols.items()])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, components, stored, text_hash
+from .common import columns_of, components, stored, text_batches, text_hash
 
 COORDS, BANDS, ROWS = 128, 32, 4
 HUBS = 3
@@ -200,6 +200,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = columns_of(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = df.sparkSession
     keys = ["text_hash"] if row_keys else []
+    text_batches(spark)
     all_rows = stored(docs.select("doc_id", "text", *[text_hash().alias(c) for c in keys])
                       .mapInArrow(_sketches, SKETCH_SCHEMA + "".join(f", {c} string" for c in keys)), "near-sketch")
     full = all_rows.drop(*keys).where("n_shingles > 0 and doc_id is not null")

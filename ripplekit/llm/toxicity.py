@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, smallest, stored, text_hash
+from .common import columns_of, smallest, stored, text_hash, text_batches
 
 BUCKETS, DIM, FILTERS = 1 << 15, 16, 12
 WIDTHS = (1, 2, 3)
@@ -237,6 +237,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     lang and text_hash, which with the id determine the decision."""
     docs = (columns_of(df, doc_id=id_col, text=text_col, lang=lang_col).withColumn("doc_id", F.col("doc_id").cast("long"))
             .withColumn("lang", F.col("lang").cast("string")))
+    text_batches(df.sparkSession)
     texts, y, sample = training_rows(docs, labels, toxic_rows, clean_rows)
     net = None
     if len(set(y.tolist())) == 2:
