@@ -43,8 +43,13 @@ class _Prime:
 
     def mod(self, x: np.ndarray) -> np.ndarray:
         for _ in range(2):
-            x = (x & _U(0x7FFFFFFF)) + (x >> _U(31)) * _U(self.c)
-        return np.where(x >= _U(self.p), x - _U(self.p), x)
+            high = x >> _U(31)
+            if self.c > 1:
+                high *= _U(self.c)
+            x = x & _U(0x7FFFFFFF)
+            x += high
+        np.subtract(x, _U(self.p), out=x, where=x >= _U(self.p))
+        return x
 
     def powers(self, n: int):
         """base^i and base^-i for i < n."""
@@ -83,8 +88,9 @@ class Rolling:
         return mix(mix(a << _U(31) | b) + (end - start).astype(np.uint64))
 
 
-def blocks(col, max_bytes: int = 2 << 20):
-    """(first row, bytes, offsets) of consecutive whole texts, about ``max_bytes`` at once; null counts as empty."""
+def blocks(col, max_bytes: int = 1 << 19):
+    """(first row, bytes, offsets) of consecutive whole texts, about ``max_bytes`` at once (the arrays made of them take 8
+    bytes for each and should stay in a core's cache); null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = pc.fill_null(col.cast(pa.large_string()), "")
