@@ -16,7 +16,8 @@ SUBSET = ["event_lift", "daily_treatment", "spine_fill", "source_select", "cance
           "ffill_edges", "pivot_unit_day", "one_hot", "ragged_to_table", "bootstrap_unit", "resample_global",
           "placebo_events", "parse_quantity", "org_labels", "boilerplate_clean", "kwic", "sessionize", "html_text",
           "text_history", "bh_by", "ipw_att", "wald_binary", "baseline_auc", "scaled_donor_mean", "donor_pool_size",
-          "csv_roundtrip", "partitioned_scan", "service_counts"]
+          "csv_roundtrip", "partitioned_scan", "service_counts", "rolling_auc", "best_f1", "pr_curve", "movable_feasts",
+          "number_words", "size_tags", "contamination_modes", "day_text_series", "word_count_summary"]
 
 KEYS = sorted(E.oracle_sql()) if os.environ.get("RIPPLEKIT_FULL") else SUBSET
 
