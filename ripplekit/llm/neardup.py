@@ -9,9 +9,12 @@ Banding: ``BANDS`` keys of ``ROWS`` coordinates. Texts with equal shingle sets a
 bucket (one band key) every representative is paired with the bucket's HUBS hubs, never with all others; pairs
 whose sketches agree in less than half of the coordinates are left out (for a similarity of 0.75 the chance is
 below 1e-7), all others are confirmed on the full shingle sets. Where a bucket's members then lie in several
-components, its strays (not in the hub's component) are compared by size and 128 sketch bits with the members of
-other components inside the join, and what passes is confirmed too, so no likely link that joins two components
-is left unchecked. Components come from label propagation on the confirmed links.
+components, its strays (not in the hub's component) are joined with the members of all such buckets on rare shingles:
+with the shingles of every set ordered rarest first, two sets that overlap in o shingles share one among the first
+|x| - o + 1 of the one and the first |y| - o + 1 of the other, and a similarity of 0.75 needs o >= 3/7 (|x| + |y|).
+So no link that joins two components is left out, and texts that share a passage but lie below the limit meet only
+where their own shingles are too few to fill those places. What meets is confirmed as above. Components come from
+label propagation on the confirmed links.
 
 Defined results: null or empty text, or one without words, has n_shingles 0, is linked with nothing and kept. A
 text of 1 to 4 words has its whole word sequence as one shingle. Repeated rows and equal texts share a component;
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +35,11 @@ from .common import columns_of, components, stored, text_batches, text_hash
 
 COORDS, BANDS, ROWS = 128, 32, 4
 HUBS = 3
-FAR_BITS = 38  # of 128 one-bit coordinates; at a similarity of 0.75 16 differ, with a deviation of 3.7
+CLASS = 1.1  # sets whose sizes differ by less than this factor share a size class
+HOT = 10_000  # shingles that make up more than 1/HOT of all occurrences, so at most HOT of them, are broadcast
 _U = np.uint64
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary, bits array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
 def similarity_sketch(doc: np.ndarray, h: np.ndarray, n_docs: int, t: int = COORDS) -> np.ndarray:
@@ -114,10 +119,8 @@ def _sketches(batches):
                 ids.slice(i, n), pa.array(size.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]),
                 pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), band.reshape(-1)),
                 _binary(sk.reshape(-1), np.arange(0, n * COORDS + 1, COORDS)),
-                pa.ListArray.from_arrays(np.arange(0, 2 * n + 1, 2, dtype=np.int32),
-                                         np.packbits(sk & 1, axis=1).reshape(-1).view(np.int64)),
                 *(c.slice(i, n) for c in b.columns[2:]),
-            ], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "bits", *b.schema.names[2:]])
+            ], names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", *b.schema.names[2:]])
 
 
 def _sets(batches):
@@ -131,6 +134,22 @@ def _sets(batches):
                 names=["doc_id", "elements"])
 
 
+def _occurrences(batches):
+    """One row for each shingle of a set."""
+    for b in batches:
+        end = np.cumsum(np.asarray(pc.binary_length(b.column(2)), np.int64) // 8)
+        lo = 0
+        while lo < len(b):
+            before = end[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(end, before + (1 << 16), "right")))
+            n = np.diff(end[lo:hi], prepend=before)
+            h = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in b.column(2).slice(lo, hi - lo)])
+            row = pa.array(np.repeat(np.arange(lo, hi), n))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(np.repeat(n, n)), pa.array(h)],
+                                             names=["doc_id", "set", "n", "h"])
+            lo = hi
+
+
 def _likely(batches):
     """Pairs whose sizes and sketches allow a similarity of 0.75."""
     for b in batches:
@@ -210,7 +229,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = (full.join(rep.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"])
             .dropDuplicates(["doc_id", "k1", "k2"]))
     reps = stored(reps, "near-rep-sketch")
-    entries = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bits", F.explode("bands").alias("key"))
+    entries = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     # hubs of a bucket: the smallest id and, for each seed, the id with the smallest hash; the same ids are hubs of
     # many buckets, so that few different pairs arise
     hubs = [F.min("rep").alias("hub")] + [F.min_by("rep", F.xxhash64("rep", F.lit(i))).alias(f"hub{i}") for i in range(1, HUBS)]
@@ -224,18 +243,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if links.add(pairs, also=member.where("n > 2").select(F.col("rep").alias("doc_id"))):
         comp = components(links.links, "near-cc")
     # buckets of three or more whose members are still apart: strays (not in the hub's component) against members
-    # of other components whose sizes and sketch bits allow a link
-    wide = _with_comp(_with_comp(member.where("n > 2"), comp, "rep", "comp"), comp, "hub", "hub_comp")
-    wide = stored(wide.select("key", "rep", "comp", "hub", "hub_comp", "n_shingles", "bits"), "near-wide")
-    stray = wide.where("comp <> hub_comp").alias("s")
-    far = (F.bit_count(F.col("s.bits")[0].bitwiseXOR(F.col("m.bits")[0])) + F.bit_count(F.col("s.bits")[1].bitwiseXOR(F.col("m.bits")[1])))
-    left = (stray.join(wide.alias("m"), [F.col("s.key") == F.col("m.key"), F.col("s.comp") != F.col("m.comp"),
-                                         F.col("m.rep") != F.col("m.hub"), F.col("s.rep") != F.col("s.hub"),
-                                         100 * F.least("s.n_shingles", "m.n_shingles") >= 75 * F.greatest("s.n_shingles", "m.n_shingles"),
-                                         (F.col("m.comp") == F.col("m.hub_comp")) | (F.col("s.rep") < F.col("m.rep")),
-                                         far <= FAR_BITS])
-            .select(F.least("s.rep", "m.rep").alias("a"), F.greatest("s.rep", "m.rep").alias("b")))
-    if not wide.isEmpty() and links.add(left):
+    # of other components
+    wide = _with_comp(_with_comp(member.where("n > 2").select("key", "rep", "hub"), comp, "rep", "comp"), comp, "hub", "hub_comp")
+    wide = stored(wide.select("key", "rep", "comp", (F.col("comp") != F.col("hub_comp")).alias("stray")), "near-wide")
+    apart = wide.where("stray").select("key").distinct()
+    wide = stored(wide.join(apart, "key", "left_semi").groupBy(F.col("rep").alias("doc_id"), "comp")
+                  .agg(F.max("stray").alias("stray")), "near-apart")
+    if not wide.isEmpty() and links.add(_rare_pairs(links.sets, wide)):
         comp = components(links.links, "near-cc")
     rep = rep.select("k1", "k2", F.col("rep").alias("node"))
     if comp is not None:
@@ -247,6 +261,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _rare_pairs(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a stray and a text of another component that can be linked: some shingle lies, rarest first, so
+    early in both sets that enough others may follow. ``texts`` has doc_id, comp, stray; ``sets`` their full sets."""
+    own = (sets.join(texts.select("doc_id"), "doc_id", "left_semi").where(F.length("elements") > 0)
+           .select("doc_id", F.xxhash64("elements").alias("set"), "elements").dropDuplicates(["doc_id", "set"]))
+    occ = stored(own.mapInArrow(_occurrences, "doc_id long, set long, n long, h long"), "near-occurrences")
+    count = stored(occ.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-shared")
+    total = count.agg(F.sum("df")).first()[0] or 0
+    hot = count.where(F.col("df") * HOT > total)  # fewer than HOT rows, as their df add up to total at most
+    marked = occ.join(F.broadcast(hot), "h", "left")
+    cold = marked.where("df is null").drop("df").join(count.where(F.col("df") * HOT <= total), "h")
+    # shingles of one text only come first and can't meet another: they only take up places
+    ranked = (marked.where("df is not null").unionByName(cold).groupBy("doc_id", "set", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+              .join(texts, "doc_id")
+              .withColumn("alone", F.col("n") - F.size("shared"))
+              .withColumn("size", F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS))).cast("int")))
+    # for every size class of the other set, the places that may hold the first common shingle
+    reach = int(np.ceil(np.log(4 / 3) / np.log(CLASS)))
+    least = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("other"))) - 1, F.expr("(3 * n + 3) div 4"))
+    places = (ranked.withColumn("other", F.explode(F.sequence(F.col("size") - reach, F.col("size") + reach)))
+              .where(F.pow(F.lit(CLASS), F.col("other") + 1) + 1 >= 0.75 * F.col("n"))
+              .withColumn("least", least).where("3 * least <= 4 * n")
+              .withColumn("last", F.expr("n - (3 * (n + least) + 6) div 7")).where("last >= alone")
+              .select("doc_id", "comp", "stray", "n", "size", "other", "alone",
+                      F.posexplode(F.expr("slice(shared, 1, cast(last - alone + 1 as int))")).alias("at", "x"))
+              .select("doc_id", "comp", "stray", "n", "size", "other", (F.col("alone") + F.col("at")).alias("at"), "x.h"))
+    places = stored(places, "near-places")
+    s, m = places.where("stray").alias("s"), places.alias("m")
+    need = F.expr("(3 * (s.n + m.n) + 6) div 7")
+    met = s.join(m, [F.col("s.h") == F.col("m.h"), F.col("s.size") == F.col("m.other"), F.col("s.other") == F.col("m.size"),
+                     F.col("s.comp") != F.col("m.comp"), ~F.col("m.stray") | (F.col("s.doc_id") < F.col("m.doc_id")),
+                     4 * F.least("s.n", "m.n") >= 3 * F.greatest("s.n", "m.n"),
+                     F.col("s.at") + need <= F.col("s.n"), F.col("m.at") + need <= F.col("m.n")])
+    return met.select(F.least("s.doc_id", "m.doc_id").alias("a"), F.greatest("s.doc_id", "m.doc_id").alias("b"))
+
+
 def _with_comp(df: DataFrame, comp: DataFrame | None, node: str, name: str) -> DataFrame:
     if comp is None:
         return df.withColumn(name, F.col(node))

@@ -283,6 +283,50 @@ def test_near_duplicate_chains_and_large_groups(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect()} == want
 
 
+def test_family_around_the_limit(spark):
+    """Copies of one text with few to many edits: those that link to some other copy are found, wherever it is."""
+    rng = random.Random(11)
+    base = [f"c{i}" for i in range(150)]
+    rows = []
+    for f in range(240):
+        mine = list(base)
+        for at in rng.sample(range(150), rng.randrange(3, 16)):
+            mine[at] = f"e{f}-{at}"
+        rows.append(" ".join(mine[:150 - 30 * (f % 5 == 0)]))
+    for f in range(0, 240, 12):  # a link between two outliers
+        w = rows[f].split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        rows.append(" ".join(w))
+    rng.shuffle(rows)
+    want = brute_components(list(enumerate(rows)))
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect()} == want
+
+
+def test_rare_pairs_hold_every_link_and_few_others(spark):
+    rng = random.Random(12)
+    sets = []
+    for f in range(150):  # a shared part just below the limit, own elements, and some close partners
+        sets.append([*range(110), *range(1000 * f + 1000, 1000 * f + 1000 + rng.randrange(20, 60))])
+        if f % 10 == 0:
+            sets.append(sets[-1][:-3] + [7_000_000 + f])
+    sets += [[5], [5, 6], [8_000_000], list(range(9_000_000, 9_090_000)), list(range(9_010_000, 9_090_000))]
+    one = [set(x) for x in sets]
+    linked = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+              if 100 * len(one[a] & one[b]) >= 75 * len(one[a] | one[b])}
+    stored = spark.createDataFrame([(i, bytearray(np.array(x, np.int64).tobytes())) for i, x in enumerate(sets)] +
+                                   [(0, bytearray(np.array(sets[0], np.int64).tobytes())), (1, bytearray())],
+                                   "doc_id long, elements binary")
+    texts = spark.createDataFrame([(i, i, True) for i in range(len(sets))], "doc_id long, comp long, stray boolean")
+    got = {(r.a, r.b) for r in neardup._rare_pairs(stored, texts).collect()}
+    family = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2)}
+    assert linked and linked <= got and len(got) < len(family) / 2
+    rest = {(a, b) for a, b in got if len(one[a]) > 146 and len(one[b]) > 146}  # own elements fill the first places
+    assert rest <= linked
+    part = neardup._rare_pairs(stored, texts.withColumn("stray", F.col("doc_id") % 2 == 0))
+    assert {(r.a, r.b) for r in part.collect()} == {(a, b) for a, b in got if a % 2 == 0 or b % 2 == 0}
+
+
 def test_similarity_sketch_fills_and_estimates():
     rng = np.random.default_rng(5)
     pool = T.mix(rng.integers(0, 1 << 62, 900, dtype=np.uint64))
