@@ -180,10 +180,10 @@ class _Links:
         self.docs, self.reps, self.sets, self.links = docs, reps, None, None
 
     def add(self, pairs: DataFrame, also: DataFrame | None = None) -> bool:
-        """Confirm ``pairs(a, b)``; tells whether there were new links. ``also`` names texts whose sets later pairs
+        """Confirm ``pairs(a, b)``; tells whether there are links (then in ``links``). ``also`` names texts whose sets later pairs
         will need."""
         r = self.reps.select("doc_id", "n_shingles", "sketch")
-        pairs = (pairs.distinct()
+        pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                  .join(r.toDF("a", "na", "sa"), "a").join(r.toDF("b", "nb", "sb"), "b")
                  .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long"))
         pairs = stored(pairs, "near-pairs")
@@ -202,7 +202,7 @@ class _Links:
                .join(s.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
                .select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"))
         got = stored(got, "near-links")
-        self.links = got if self.links is None else self.links.union(got)
+        self.links = got
         return not got.isEmpty()
 
     def _make_sets(self, ids: DataFrame) -> None:
@@ -250,7 +250,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wide = stored(wide.join(apart, "key", "left_semi").groupBy(F.col("rep").alias("doc_id"), "comp")
                   .agg(F.max("stray").alias("stray")), "near-apart")
     if not wide.isEmpty() and links.add(_rare_pairs(links.sets, wide)):
-        comp = components(links.links, "near-cc")
+        comp = _merged(comp, links.links)
     rep = rep.select("k1", "k2", F.col("rep").alias("node"))
     if comp is not None:
         rep = rep.join(comp, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("node"))
@@ -298,6 +298,16 @@ def _rare_pairs(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return met.select(F.least("s.doc_id", "m.doc_id").alias("a"), F.greatest("s.doc_id", "m.doc_id").alias("b"))
 
 
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after new ``links``: only those links are followed, between the components there were."""
+    if comp is None:
+        return components(links, "near-cc")
+    ends = _with_comp(_with_comp(links, comp, "a", "ca"), comp, "b", "cb")
+    up = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "near-up")
+    old = comp.join(up.toDF("comp", "_up"), "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp"))
+    return stored(old.union(up.join(comp, "node", "left_anti").select("node", "comp")), "near-cc")
+
+
 def _with_comp(df: DataFrame, comp: DataFrame | None, node: str, name: str) -> DataFrame:
     if comp is None:
         return df.withColumn(name, F.col(node))
