@@ -180,8 +180,8 @@ class _Links:
         self.docs, self.reps, self.sets, self.links = docs, reps, None, None
 
     def add(self, pairs: DataFrame, also: DataFrame | None = None) -> bool:
-        """Confirm ``pairs(a, b)``; tells whether there are links (then in ``links``). ``also`` names texts whose sets later pairs
-        will need."""
+        """Confirm ``pairs(a, b)``; tells whether there are links, which are then in ``links``. ``also`` names texts whose
+        sets later pairs will need."""
         r = self.reps.select("doc_id", "n_shingles", "sketch")
         pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                  .join(r.toDF("a", "na", "sa"), "a").join(r.toDF("b", "nb", "sb"), "b")
