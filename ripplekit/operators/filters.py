@@ -102,11 +102,18 @@ def cutover(old: DataFrame, new: DataFrame, cut: str, day: str = "day") -> DataF
     return old.where(F.col(day) < c).unionByName(new.where(F.col(day) >= c), allowMissingColumns=True)
 
 
-def required_columns_report(frames: dict[str, DataFrame], required, optional=()):
-    """Per source, which required / optional columns are missing
-    (schema only, no data pass).  Returns plain rows for createDataFrame."""
-    rows = []
-    for name, df in frames.items():
-        cols = set(df.columns)
-        rows.append((name, sorted(set(required) - cols), sorted(set(optional) - cols)))
-    return rows
+def column_report(frames: dict[str, DataFrame], required, optional=()) -> DataFrame:
+    """Per source and wanted column, whether it is there and in how many
+    of the rows it is filled; ``ok`` is false for a required column that is
+    absent or null somewhere.  One aggregate per source; an absent column
+    counts as filled nowhere, an empty source has nothing missing but absent columns."""
+    def one(name, df):
+        wanted = [(c, c in required) for c in dict.fromkeys([*required, *optional])]
+        there = set(df.columns)
+        counts = df.agg(F.count("*").alias("n_rows"), F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(must).alias("required"), F.lit(c in there).alias("present"),
+                     (F.count(df[c]) if c in there else F.lit(0)).cast("long").alias("n_filled"))
+            for c, must in wanted]).alias("told"))
+        return (counts.select(F.lit(name).alias("source"), "n_rows", F.inline("told"))
+                .withColumn("ok", ~F.col("required") | (F.col("present") & (F.col("n_filled") == F.col("n_rows")))))
+    return reduce(DataFrame.unionByName, [one(name, df) for name, df in frames.items()])

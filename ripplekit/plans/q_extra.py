@@ -210,13 +210,24 @@ def leaderboard(spark, d):
     return t.where(F.col("value").isNotNull()).distinct().orderBy("value")
 
 
-@query("column_check")
+@query("column_check", views=("ev", "evall"), sql="""
+SELECT source, n_rows, x.name AS "column", x.must AS required, x.n IS NOT NULL AS present, COALESCE(x.n, 0) AS n_filled,
+       NOT x.must OR COALESCE(x.n, -1) = n_rows AS ok
+FROM (
+  SELECT source, n_rows, UNNEST([
+    {'name': 'event_id', 'must': TRUE, 'n': event_id}, {'name': 'day', 'must': TRUE, 'n': day},
+    {'name': 'unit', 'must': TRUE, 'n': unit}, {'name': 'size', 'must': TRUE, 'n': size},
+    {'name': 'notes', 'must': FALSE, 'n': notes}, {'name': 'location', 'must': FALSE, 'n': location}]) AS x
+  FROM (
+    SELECT 'ev' AS source, COUNT(*) AS n_rows, COUNT(event_id) AS event_id, COUNT(day) AS day, COUNT(unit) AS unit,
+           COUNT(size) AS size, COUNT(notes) AS notes, COUNT(location) AS location FROM ev
+    UNION ALL SELECT 'evall', COUNT(*), COUNT(event_id), COUNT(day), NULL, NULL, COUNT(notes), COUNT(location) FROM evall
+    UNION ALL SELECT 'events', COUNT(*), COUNT(event_id), NULL, NULL, NULL, NULL, NULL FROM events))""")
 def column_check(spark, d):
-    """Required / optional columns per source (schema only, no data pass)."""
-    from ..operators.filters import required_columns_report
+    """Required / optional columns per source: there, and filled in every row?"""
+    from ..operators.filters import column_report
     frames = {"ev": V.ev(spark, d), "evall": V.evall(spark, d), "events": table(spark, d, "events")}
-    rows = required_columns_report(frames, ["event_id", "day", "unit", "size"], ["notes", "location"])
-    return spark.createDataFrame(rows, "source string, missing_required array<string>, missing_optional array<string>")
+    return column_report(frames, ["event_id", "day", "unit", "size"], ["notes", "location"])
 
 
 @query("min_count_sweep")
