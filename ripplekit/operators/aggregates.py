@@ -67,14 +67,27 @@ def unpivot(df: DataFrame, ids, cols, var: str = "variable", val: str = "value")
     return df.unpivot(list(ids), list(cols), var, val)
 
 
+def quotient(a, b) -> Column:
+    """a / b as SQL's doubles have it: infinite over 0, NaN for 0 / 0 (Spark's own division raises)."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Aggregate: Pearson correlation over the rows that have both; NaN where one of them is constant (Spark's own
+    raises there)."""
+    sd = [F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) for x, y in ((a, b), (b, a))]
+    return quotient(F.covar_pop(a, b), sd[0] * sd[1])
+
+
 def instrument_screen(df: DataFrame, instruments, treatment: str, outcome: str) -> DataFrame:
     """Per instrument corr(z, w), corr(z, y) and Wald = cov(z,y)/cov(z,w),
-    as ONE grouped aggregate over the unpivoted instruments."""
+    as ONE grouped aggregate over the unpivoted instruments.  A constant column has no correlation (NaN)."""
     long = df.select(treatment, outcome, *instruments) \
              .unpivot([treatment, outcome], list(instruments), "instrument", "z").where(F.col("z").isNotNull())
     return long.groupBy("instrument").agg(
-        F.corr("z", treatment).alias("corr_treatment"), F.corr("z", outcome).alias("corr_outcome"),
-        F.try_divide(F.covar_samp("z", outcome), F.covar_samp("z", treatment)).alias("wald"),
+        correlation("z", treatment).alias("corr_treatment"), correlation("z", outcome).alias("corr_outcome"),
+        quotient(F.covar_samp("z", outcome), F.covar_samp("z", treatment)).alias("wald"),
         F.count(F.lit(1)).alias("n"))
 
 
@@ -82,7 +95,7 @@ def corr_pairs(df: DataFrame, cols) -> DataFrame:
     """Pairwise Pearson correlations in one aggregate, long form (a, b, corr)."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = df.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
     st = F.stack(F.lit(len(pairs)), *[x for a, b in pairs for x in (F.lit(a), F.lit(b), F.col(f"`{a}|{b}`"))])
     return row.select(st.alias("a", "b", "corr"))
 
