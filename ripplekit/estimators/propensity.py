@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import quotient
 from . import multi as M
 from .gram import dot
 
@@ -33,14 +34,15 @@ def cross_fitted_scores(df: DataFrame, label: str, features, fold: str, k: int,
 
 
 def ipw_att(df: DataFrame, y: str, w: str, e: str, clip: float | None = None) -> DataFrame:
-    """C14: ATT = mean(Y | W=1) − Σ ω(1−W)Y / Σ ω(1−W), ω = e/(1−e) (Hájek)."""
+    """C14: ATT = mean(Y | W=1) − Σ ω(1−W)Y / Σ ω(1−W), ω = e/(1−e) (Hájek); NaN
+    where no unit is a control."""
     ec = F.col(e)
     if clip is not None:
         ec = F.least(F.greatest(ec, F.lit(clip)), F.lit(1 - clip))
     om = ec / (1 - ec)
     ctl = (1 - F.col(w)) * om
     a = df.agg(F.avg(F.when(F.col(w) == 1, F.col(y))).alias("treated_mean"),
-               (F.sum(ctl * F.col(y)) / F.sum(ctl)).alias("control_mean"),
+               quotient(F.sum(ctl * F.col(y)), F.sum(ctl)).alias("control_mean"),
                F.sum(F.col(w)).cast("long").alias("n_treated"), F.sum(1 - F.col(w)).cast("long").alias("n_control"))
     return a.withColumn("att", F.col("treated_mean") - F.col("control_mean"))
 

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from ripplekit.estimators.propensity import ipw_att
 from ripplekit.operators.aggregates import corr_pairs, instrument_screen
 
 ROWS = [(1, 2.0, 5.0), (1, 3.0, 1.0), (1, None, 7.0), (1, 7.0, 2.0)]
@@ -21,3 +22,8 @@ def test_corr_pairs_constant_column(spark):
     assert math.isnan(got["w", "z"]) and math.isnan(got["w", "y"])
     z, y = np.array([(a[1], a[2]) for a in ROWS if a[1] is not None]).T
     assert got["z", "y"] == pytest.approx(np.corrcoef(z, y)[0, 1])
+
+
+def test_ipw_without_controls(spark):
+    r = ipw_att(spark.createDataFrame([(1, 0.5, 2.0), (1, 0.9, 4.0)], "w int, e double, y double"), "y", "w", "e", clip=0.01).first()
+    assert r.treated_mean == 3.0 and math.isnan(r.control_mean) and math.isnan(r.att) and (r.n_treated, r.n_control) == (2, 0)
