@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_ppf
+from ..operators.aggregates import correlation, quotient
 from .gram import collect_gram
 
 IV_SCHEMA = ("method string, predictor string, coef double, se double, stat double, p double, ci_lower double, "
@@ -98,11 +99,11 @@ def k_class(df: DataFrame, y: str, endog, exog, instruments, methods=("2sls", "l
 
 
 def first_stage_f(df: DataFrame, treatment: str, instruments) -> DataFrame:
-    """Single-instrument F = r²(n-2)/(1-r²) per instrument, one aggregate."""
+    """Single-instrument F = r²(n-2)/(1-r²) per instrument, one aggregate; NaN for a constant treatment or instrument."""
     long = df.select(treatment, *instruments).unpivot([treatment], list(instruments), "instrument", "z") \
              .where(F.col("z").isNotNull() & F.col(treatment).isNotNull())
-    r = long.groupBy("instrument").agg(F.corr("z", treatment).alias("r"), F.count(F.lit(1)).alias("n"))
-    return r.select("instrument", "n", (F.col("r") * F.col("r") * (F.col("n") - 2) / (1 - F.col("r") * F.col("r"))).alias("f"))
+    r = long.groupBy("instrument").agg(correlation("z", treatment).alias("r"), F.count(F.lit(1)).alias("n"))
+    return r.select("instrument", "n", quotient(F.col("r") * F.col("r") * (F.col("n") - 2), 1 - F.col("r") * F.col("r")).alias("f"))
 
 
 def wald_binary(df: DataFrame, y: str, w: str, z) -> DataFrame:

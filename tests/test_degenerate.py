@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from ripplekit.estimators.iv import first_stage_f
 from ripplekit.estimators.propensity import ipw_att
 from ripplekit.operators.aggregates import corr_pairs, instrument_screen
 
@@ -24,6 +25,11 @@ def test_corr_pairs_constant_column(spark):
     assert got["z", "y"] == pytest.approx(np.corrcoef(z, y)[0, 1])
 
 
+def test_first_stage_constant_treatment(spark):
+    r = first_stage_f(spark.createDataFrame(ROWS, "w int, z double, y double"), "w", ["z"]).first()
+    assert math.isnan(r.f) and r.n == 3
+
+
 def test_ipw_without_controls(spark):
     r = ipw_att(spark.createDataFrame([(1, 0.5, 2.0), (1, 0.9, 4.0)], "w int, e double, y double"), "y", "w", "e", clip=0.01).first()
     assert r.treated_mean == 3.0 and math.isnan(r.control_mean) and math.isnan(r.att) and (r.n_treated, r.n_control) == (2, 0)
