@@ -85,6 +85,26 @@ def collect_gram(df: DataFrame, cols, group=(), weight: Column | None = None) ->
     return res
 
 
+def ridge_from_gram(G: np.ndarray, alpha: float = 0.0) -> np.ndarray:
+    """Ridge coefficients, constant first and unpenalised, from the cross products of [const, X, y].  On the centred,
+    unit-variance scale, so that without a penalty columns that are constant or repeat others take the smallest
+    coefficients that fit; without rows all are 0."""
+    k = len(G) - 1
+    beta = np.zeros(k)
+    n = G[0, 0]
+    if n <= 0:
+        return beta
+    mean = G[0, 1:] / n
+    C = G[1:, 1:] - n * np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(C), 0.0))
+    some = np.flatnonzero(sd[:-1] ** 2 > 1e-12 * np.diag(G)[1:k])
+    A = C[np.ix_(some, some)] + alpha * np.eye(len(some))
+    s = np.sqrt(np.diag(A))
+    beta[1 + some] = np.linalg.pinv(A / np.outer(s, s), rcond=1e-12, hermitian=True) @ (C[some, -1] / s) / s
+    beta[0] = mean[-1] - beta[1:] @ mean[:-1]
+    return beta
+
+
 def with_intercept(df: DataFrame, name: str = "const") -> DataFrame:
     return df.withColumn(name, F.lit(1.0))
 

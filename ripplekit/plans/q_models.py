@@ -395,7 +395,7 @@ def cv_grid(spark, d):
     import math
 
     import numpy as np
-    from ..estimators.gram import collect_gram
+    from ..estimators.gram import collect_gram, ridge_from_gram
     p, xs, ys = design(spark, d)
     p = p.select(*xs, ys[0], "day").dropna().withColumn("const", F.lit(1.0)) \
          .withColumn("fold", hash_fold(F.col("day").cast("string"), 5, 2))
@@ -405,11 +405,8 @@ def cv_grid(spark, d):
     total = sum(m for _, _, m in G.values())
     rows = []
     for alpha in (0.0, 1.0, 10.0, 100.0):
-        pen = np.eye(k) * alpha
-        pen[0, 0] = 0.0
         for (f,), (n, _, mf) in sorted(G.items()):
-            tr = total - mf
-            beta = np.linalg.solve(tr[:k, :k] + pen, tr[:k, k])
+            beta = ridge_from_gram(total - mf, alpha)
             sse = mf[k, k] - 2 * beta @ mf[:k, k] + beta @ mf[:k, :k] @ beta
             sy, sx = mf[0, k], mf[0, :k]
             sst = mf[k, k] - sy * sy / n

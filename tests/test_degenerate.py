@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from ripplekit.estimators.gram import ridge_from_gram
 from ripplekit.estimators.iv import first_stage_f
 from ripplekit.estimators.propensity import ipw_att
 from ripplekit.operators.aggregates import corr_pairs, instrument_screen
@@ -33,3 +34,19 @@ def test_first_stage_constant_treatment(spark):
 def test_ipw_without_controls(spark):
     r = ipw_att(spark.createDataFrame([(1, 0.5, 2.0), (1, 0.9, 4.0)], "w int, e double, y double"), "y", "w", "e", clip=0.01).first()
     assert r.treated_mean == 3.0 and math.isnan(r.control_mean) and math.isnan(r.att) and (r.n_treated, r.n_control) == (2, 0)
+
+
+def test_ridge_with_constant_and_repeated_columns():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2)) * [1.0, 300.0]
+    y = 4 + x @ [2.0, -0.01] + rng.normal(size=200)
+    X = np.column_stack([np.ones(200), x, np.ones(200), x[:, 0]])
+    A = np.column_stack([X, y])
+    b = ridge_from_gram(A.T @ A)
+    full = np.column_stack([np.ones(200), x])
+    want = np.linalg.lstsq(full, y, rcond=None)[0]
+    assert np.allclose(X @ b, full @ want) and b[3] == 0.0 and b[1] == pytest.approx(b[4])
+    B = np.column_stack([full, y])
+    pen = np.diag([0.0, 10.0, 10.0])
+    assert np.allclose(ridge_from_gram(B.T @ B, 10.0), np.linalg.solve(full.T @ full + pen, full.T @ y))
+    assert not ridge_from_gram(np.zeros((4, 4))).any()
