@@ -143,10 +143,12 @@ def pooled_regressors(df: DataFrame, label: str, features, train_cond, models=("
                       seed: int = 5) -> DataFrame:
     """C20: one pooled MLlib regressor per model over all events (trained on
     the pre-period rows), predictions for every row; metrics per model and
-    period from one aggregate."""
+    period from one aggregate.  Without a training row there is no prediction
+    (null metrics); without any row the result is empty."""
     from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     out = []
+    none = df.where(train_cond).isEmpty()
     for m in models:
         if m == "forest":
             reg = RandomForestRegressor(labelCol=label, numTrees=30, maxDepth=5, seed=seed)
@@ -154,8 +156,9 @@ def pooled_regressors(df: DataFrame, label: str, features, train_cond, models=("
             reg = GBTRegressor(labelCol=label, maxIter=20, maxDepth=4, seed=seed)
         else:
             reg = GeneralizedLinearRegression(labelCol=label, family="poisson", link="log", maxIter=50, regParam=1e-6)
-        fit = Pipeline(stages=[va, reg]).fit(df.where(train_cond))
-        pr = fit.transform(df).withColumn("model", F.lit(m)).withColumn("period", F.when(train_cond, "pre").otherwise("post"))
+        pr = (df.withColumn("prediction", F.lit(None).cast("double")) if none
+              else Pipeline(stages=[va, reg]).fit(df.where(train_cond)).transform(df))
+        pr = pr.withColumn("model", F.lit(m)).withColumn("period", F.when(train_cond, "pre").otherwise("post"))
         err = F.col(label) - F.col("prediction")
         out.append(pr.groupBy("model", "period").agg(F.avg(err * err).alias("mse"), F.avg(err).alias("bias"),
                                                        F.count(F.lit(1)).alias("n")))

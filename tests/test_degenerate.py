@@ -6,6 +6,7 @@ import pytest
 
 from ripplekit.estimators.gram import ridge_from_gram
 from ripplekit.estimators.iv import first_stage_f
+from ripplekit.estimators.ml import pooled_regressors
 from ripplekit.estimators.propensity import ipw_att
 from ripplekit.operators.aggregates import corr_pairs, instrument_screen
 
@@ -50,3 +51,11 @@ def test_ridge_with_constant_and_repeated_columns():
     pen = np.diag([0.0, 10.0, 10.0])
     assert np.allclose(ridge_from_gram(B.T @ B, 10.0), np.linalg.solve(full.T @ full + pen, full.T @ y))
     assert not ridge_from_gram(np.zeros((4, 4))).any()
+
+
+def test_pooled_regressors_without_training_rows(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "y double, x double, rel double")
+    got = pooled_regressors(df, "y", ["x"], F.col("rel") < 0).collect()
+    assert sorted((r.model, r.period, r.mse, r.n) for r in got) == [(m, "post", None, 1) for m in ("boosting", "forest", "poisson")]
+    assert pooled_regressors(df.where("false"), "y", ["x"], F.col("rel") < 0).collect() == []
