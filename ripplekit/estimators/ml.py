@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import (CountVectorizer, CountVectorizerModel, IDF, NGram, RegexTokenizer, SQLTransformer,
+                                VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -41,44 +42,72 @@ def tfidf_stages(text: str, n: int = 1, vocab: int = 1000, sublinear: bool = Fal
     return st
 
 
+def term_counts(df: DataFrame, text: str, vocab: int, n: int = 1, fold: str | None = None, k: int = 0, keep=()):
+    """(table, vocabularies): the texts' counts of the terms in any vocabulary as one sparse vector ``_all``, next to the
+    ``keep`` columns and stored, and for each of ``k`` folds (or for all rows) the places in it of the ``vocab`` most
+    frequent terms outside the fold, most frequent first, and the terms.  Every text is cut into terms twice, whatever
+    the number of folds, models and passes over the table."""
+    from ..session import materialize
+    stages = tfidf_stages(text, n, vocab)
+    cut = next(i for i, s in enumerate(stages) if isinstance(s, CountVectorizer))
+    src = stages[cut].getInputCol()
+    for s in stages[:cut]:
+        df = s.transform(df)
+    one = [F.when(F.col(fold) != f, 1) for f in range(k)] if fold else [F.lit(1)]
+    split = df.select(F.explode(src).alias("term"), *[c.cast("long").alias(f"n{i}") for i, c in enumerate(one)])
+    counts = materialize(split.groupBy("term").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(one))]), "term_counts")
+    tops = [[r["term"] for r in counts.where(F.col(f"n{i}") > 0).orderBy(F.desc(f"n{i}"), "term").limit(vocab).collect()]
+            for i in range(len(one))]
+    at = {t: i for i, t in enumerate(dict.fromkeys(t for top in tops for t in top))}  # at most folds * vocab terms
+    counter = CountVectorizerModel.from_vocabulary(list(at), inputCol=src, outputCol="_all")
+    return materialize(counter.transform(df).select(*keep, "_all"), "term_vectors"), [([at[t] for t in top], top) for top in tops]
+
+
 def cv_classifier(df: DataFrame, text: str, label: str, fold: str, k: int, model: str = "logistic",
                   n: int = 1, vocab: int = 1000) -> DataFrame:
     """Per fold fit pipeline(text → tf-idf → classifier) on the
     other folds, predict the fold, report the confusion metrics per fold."""
+    return cv_classifiers(df, text, label, fold, k, [model], n, vocab)
+
+
+def cv_classifiers(df: DataFrame, text: str, label: str, fold: str, k: int, models, n: int = 1,
+                   vocab: int = 1000) -> DataFrame:
+    """``cv_classifier`` for several models, which share the texts' term counts."""
+    d, vocabularies = term_counts(df, text, vocab, n, fold, k, keep=[label, fold])
     out = []
-    for f in range(k):
-        tr, te = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-        if model == "complement_nb":
-            clf = NaiveBayes(featuresCol="features", labelCol=label, modelType="complement", smoothing=1.0)
-            stages = tfidf_stages(text, n, vocab, idf=False)
-        elif model == "random_forest":
-            clf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=50, seed=7)
-            stages = tfidf_stages(text, n, vocab)
-        else:
-            clf = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=100)
-            stages = tfidf_stages(text, n, vocab)
-        m = Pipeline(stages=stages + [clf]).fit(tr)
-        pr = m.transform(te).select(F.col(label).cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
-        out.append(pr.agg(*confusion("t", "p")).withColumn("fold", F.lit(f)))
-    return reduce(lambda a, b: a.unionByName(b), out).withColumn("model", F.lit(model))
+    for model in models:
+        for f in range(k):
+            tr, te = d.where(F.col(fold) != f), d.where(F.col(fold) == f)
+            stages = [VectorSlicer(inputCol="_all", outputCol="_tf", indices=vocabularies[f][0])]
+            if model == "complement_nb":
+                clf = NaiveBayes(featuresCol="_tf", labelCol=label, modelType="complement", smoothing=1.0)
+            else:
+                stages.append(IDF(inputCol="_tf", outputCol="features"))
+                if model == "random_forest":
+                    clf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=50, seed=7)
+                else:
+                    clf = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=100)
+            m = Pipeline(stages=stages + [clf]).fit(tr)
+            pr = m.transform(te).select(F.col(label).cast("int").alias("t"), F.col("prediction").cast("int").alias("p"))
+            out.append(pr.agg(*confusion("t", "p")).withColumn("fold", F.lit(f)).withColumn("model", F.lit(model)))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def topic_clusters(df: DataFrame, text: str, k: int = 5, n: int = 2, vocab: int = 1000, top: int = 5,
                    seed: int = 1) -> DataFrame:
     """TF-IDF (1..n-grams) + k-means; top terms per cluster by centre weight."""
-    pipe = Pipeline(stages=tfidf_stages(text, n, vocab) + [KMeans(k=k, seed=seed, featuresCol="features")])
-    model = pipe.fit(df)
-    cv = [s for s in model.stages if hasattr(s, "vocabulary")][0]
+    d, [(_, terms)] = term_counts(df, text, vocab, n)
+    model = Pipeline(stages=[IDF(inputCol="_all", outputCol="features"), KMeans(k=k, seed=seed, featuresCol="features")]).fit(d)
     km = model.stages[-1]
     spark = df.sparkSession
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(km.clusterCenters())]
     cdf = spark.createDataFrame(centers, "cluster int, center array<double>")
-    vocab_df = spark.createDataFrame(list(enumerate(cv.vocabulary)), "idx int, term string")
+    vocab_df = spark.createDataFrame(list(enumerate(terms)), "idx int, term string")
     long = cdf.select("cluster", F.posexplode("center").alias("idx", "weight"))
     from pyspark.sql import Window
     w = Window.partitionBy("cluster").orderBy(F.col("weight").desc(), F.col("idx"))
     topt = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    sizes = model.transform(df).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = model.transform(d).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
     return topt.join(F.broadcast(vocab_df), "idx").join(sizes, "cluster", "left") \
                .select("cluster", "rank", "term", "weight", "size")
 
