@@ -482,8 +482,7 @@ def relevance_search(spark, d):
     fold-out); trees on the same TF-IDF features."""
     from ..estimators import ml as M
     docs = _labelled_docs(spark, d)
-    parts = [M.cv_classifier(docs, "text", "label", "fold", 5, m) for m in ("logistic", "complement_nb", "random_forest")]
-    r = reduce(lambda a, b: a.unionByName(b), parts)
+    r = M.cv_classifiers(docs, "text", "label", "fold", 5, ("logistic", "complement_nb", "random_forest"))
     return r.groupBy("model").agg(F.avg("macro_f1").alias("macro_f1"), F.avg("f1").alias("f1"),
                                   F.stddev_pop("f1").alias("f1_sd"))
 
