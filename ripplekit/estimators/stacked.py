@@ -9,6 +9,8 @@ Text arrives as counts (row key, term, n): a day's text is never put together, h
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -48,6 +50,20 @@ def with_text(rows: DataFrame, terms: DataFrame, keys, vocabulary: dict) -> Data
     return rows.join(own, list(keys), "left")
 
 
+@contextmanager
+def small_batches(spark, rows: int = 200):
+    """Rows with their terms pass to Python at most ``rows`` at a time inside (a row may hold folds * size terms, each a
+    Python object there); afterwards the session's own setting holds again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key, "10000")
+    if not 0 < int(own) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def _tfidf(lists, idf: np.ndarray):
     """(row, id, value) of the rows' vectors: counts times idf, of length 1; ids with idf 0 are not in the vocabulary."""
     size = np.array([0 if x is None else len(x) for x in lists])
@@ -126,7 +142,8 @@ def stacked_scores(rows: DataFrame, terms: DataFrame, keys, label: str, series,
             idf[f][ids[t]] = x
     base = rows.select(*keys, "fold", F.col("inner").cast("int").alias("inner"), F.col(label).cast("double").alias(label),
                        *[F.col(x).cast("double").alias(x) for x in series])
-    d = store(text_probabilities(store(with_text(base, terms, keys, words)), label, idf, inner))
+    with small_batches(rows.sparkSession):
+        d = store(text_probabilities(store(with_text(base, terms, keys, words)), label, idf, inner))
     models = {}
     for f in words:
         models["series", f] = (label, series, list(range(f)))

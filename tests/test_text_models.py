@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ripplekit.estimators import ml as M
+from ripplekit.estimators.stacked import small_batches
 
 
 def test_term_counts_by_fold(spark):
@@ -23,3 +24,12 @@ def test_models_together_as_alone(spark):
     alone = [r for m in kinds for r in M.cv_classifier(df, "text", "label", "fold", 3, m).collect()]
     assert sorted(both) == sorted(alone) and len(both) == 9
     assert all(r["tp"] + r["tn"] == 10 for r in both if r["model"] == "logistic")
+
+
+def test_small_batches_end(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark, 2):
+        df = spark.range(10).coalesce(1).mapInPandas(lambda bs: (b.assign(id=len(b)) for b in bs), "id long")
+        assert df.agg(F.max("id")).first()[0] == 2
+    assert spark.conf.get(key) == before
