@@ -46,6 +46,15 @@ def test_number_words(spark):
     assert {r.s: r.n for r in X.with_parsed_quantity(df, "s", "n").collect()} == more
 
 
+def test_parse_quantity_cleans_a_text_once(spark):
+    plan = spark.createDataFrame([("x",)], "s string").select(X.parse_quantity("s").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") + plan.count("regexp_extract(") < 20
+    affixed = {"around about ten people": 10, "about around ten cars": None, "ten people of": None, "ten of people": 10, "ten cars\n": None,
+               "a several": None, "about ten of\n people": None, "several a dozen": 50, "1,200 to 1,300 people": 1250, "a 7": 7}
+    df = spark.createDataFrame([(k,) for k in affixed], "s string")
+    assert {r.s: r.n for r in df.select("s", X.parse_quantity("s").alias("n")).collect()} == affixed
+
+
 @pytest.mark.parametrize("text,want", [("a [size=around 160] b", "around 160"), ("armed; crowd size=no report", "no report"), ("size= 5 ", "5"),
                                        ("nothing", None), (None, None), ("[size=]", None)])
 def test_size_tags(spark, text, want):
