@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -571,6 +572,33 @@ def test_vocabulary_files_agree():
     assert {k: v for k, v in bpe.load_ranks(packing.VOCABULARY).items()} == bpe.load_ranks(bpe.VOCABULARY)
 
 
+def test_bpe_searches_all_new_runs_of_a_block_at_once(library):
+    enc, lib = library
+    calls, find = [], enc.find
+    enc.find = lambda text: calls.append(text) or find(text)
+    try:
+        texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(20)] + ["tail \n", "", " ", "a  b \x85 c", "x\u3000 y"]
+        got = enc.encode_all(texts)
+        assert len(calls) < 40  # one for the runs, one for each head and for each run that ends in white space
+    finally:
+        enc.find = find
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [lib.encode(t, disallowed_special=()) for t in texts]
+
+
+def test_bpe_memo_is_small_and_bounded():
+    memo = bpe.Memo(1000)
+    for i in range(30):
+        memo.trim()
+        words = pa.array([f"word{j}" for j in range(i * 100, i * 100 + 200)], pa.large_string())
+        new = np.flatnonzero(memo.find(words) < 0)
+        size = np.full(len(new), 2)
+        memo.add(words.take(pa.array(new)), size, np.repeat(new, size).astype("<u4"))
+        at = memo.find(words)
+        assert (at >= 0).all() and (memo.size[at] == 2).all() and len(memo.ids) == memo.size.sum()
+    assert len(memo.keys) <= 1200
+    assert (memo.keys.nbytes + memo.size.nbytes + memo.first.nbytes + memo.ids.nbytes) / len(memo.keys) < 50
+
+
 def test_bpe_query(spark, docs, no_docs, texts, library):
     _, own = library
     for r in bpe.decode(bpe.encode(docs)).collect():
