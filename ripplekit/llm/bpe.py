@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, handed_back
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 MEMO = 300_000
@@ -267,6 +267,9 @@ class Memo:
 
     def __init__(self, limit: int):
         self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
         self._hold(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, "<u4"))
 
     def _hold(self, keys: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
@@ -368,6 +371,11 @@ class Encoder:
         stop = 4 * np.append(0, np.cumsum(long))[edge]
         return [packed[a:b] for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())]
 
+    def forget(self) -> None:
+        """Empties the memos, which else stay in the Python worker when its task has ended."""
+        for memo in (self.pieces, self.runs):
+            memo.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -398,11 +406,14 @@ def text_blocks(texts):
 def _encoded(path: str, pattern: str):
     def run(batches):
         enc = encoder(path, pattern)
-        for b in batches:
-            for lo, texts in text_blocks(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), pa.array(enc.encode_all(texts), pa.binary())],
-                                                 names=["doc_id", "ids"])
-    return run
+        try:
+            for b in batches:
+                for lo, texts in text_blocks(b.column(1)):
+                    ids = pa.array(enc.encode_all(texts), pa.binary())
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), ids], names=["doc_id", "ids"])
+        finally:
+            enc.forget()
+    return handed_back(run)
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY,

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, components, stored, text_batches, text_hash
+from .common import columns_of, components, handed_back, stored, text_batches, text_hash
 
 COORDS, BANDS, ROWS = 128, 32, 4
 HUBS = 3
@@ -185,7 +185,7 @@ class _Links:
         r = self.reps.select("doc_id", "n_shingles", "sketch")
         pairs = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                  .join(r.toDF("a", "na", "sa"), "a").join(r.toDF("b", "nb", "sb"), "b")
-                 .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely, "a long, b long"))
+                 .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(handed_back(_likely), "a long, b long"))
         pairs = stored(pairs, "near-pairs")
         if pairs.isEmpty() and also is None:
             return False
@@ -200,7 +200,7 @@ class _Links:
         s = self.sets
         got = (pairs.join(s.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
                .join(s.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-               .select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"))
+               .select("a", "b", "x", "y").mapInArrow(handed_back(_linked), "a long, b long"))
         got = stored(got, "near-links")
         self.links = got
         return not got.isEmpty()
@@ -208,7 +208,7 @@ class _Links:
     def _make_sets(self, ids: DataFrame) -> None:
         found = (self.docs.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
                  .dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
-                 .mapInArrow(_sets, "doc_id long, elements binary"))
+                 .mapInArrow(handed_back(_sets), "doc_id long, elements binary"))
         new = stored(found, "near-sets")
         self.sets = new if self.sets is None else self.sets.union(new)
 
@@ -221,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = ["text_hash"] if row_keys else []
     text_batches(spark)
     all_rows = stored(docs.select("doc_id", "text", *[text_hash().alias(c) for c in keys])
-                      .mapInArrow(_sketches, SKETCH_SCHEMA + "".join(f", {c} string" for c in keys)), "near-sketch")
+                      .mapInArrow(handed_back(_sketches), SKETCH_SCHEMA + "".join(f", {c} string" for c in keys)), "near-sketch")
     full = all_rows.drop(*keys).where("n_shingles > 0 and doc_id is not null")
     # one representative for each set; node = a doc_id, so rows that share a doc_id are one node
     rep = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -266,7 +266,7 @@ def _rare_pairs(sets: DataFrame, texts: DataFrame) -> DataFrame:
     early in both sets that enough others may follow. ``texts`` has doc_id, comp, stray; ``sets`` their full sets."""
     own = (sets.join(texts.select("doc_id"), "doc_id", "left_semi").where(F.length("elements") > 0)
            .select("doc_id", F.xxhash64("elements").alias("set"), "elements").dropDuplicates(["doc_id", "set"]))
-    occ = stored(own.mapInArrow(_occurrences, "doc_id long, set long, n long, h long"), "near-occurrences")
+    occ = stored(own.mapInArrow(handed_back(_occurrences), "doc_id long, set long, n long, h long"), "near-occurrences")
     count = stored(occ.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "near-shared")
     total = count.agg(F.sum("df")).first()[0] or 0
     hot = count.where(F.col("df") * HOT > total)  # fewer than HOT rows, as their df add up to total at most

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import columns_of, stored
+from .common import columns_of, handed_back, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 1024
@@ -60,23 +60,26 @@ def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches):
         added = AddedTokens(path)
         enc, end, width = bpe.encoder(path, public_tokenizers.PATTERN), np.array([END], "<u4").tobytes(), 4 * capacity
-        for b in batches:
-            for lo, texts in bpe.text_blocks(b.column(1)):
-                cols = [[], [], [], [], [], []]
-                for doc, ids in zip(b.column(0).slice(lo, len(texts)).to_pylist(), added.encode_all(enc, texts)):
-                    ids += end
-                    first = len(ids) % width or width
-                    at = [0, *range(first, len(ids) + 1, width)]
-                    for n, (x, y) in enumerate(zip(at, at[1:])):
-                        one = ids[x:y]
-                        for c, v in zip(cols, (doc, n, x // 4, (y - x) // 4, zlib.crc32(one), one)):
-                            c.append(v)
-                out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    out, names = [*out, pa.array(cols[5], pa.binary())], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(out, names=names)
-    return run
+        try:
+            for b in batches:
+                for lo, texts in bpe.text_blocks(b.column(1)):
+                    cols = [[], [], [], [], [], []]
+                    for doc, ids in zip(b.column(0).slice(lo, len(texts)).to_pylist(), added.encode_all(enc, texts)):
+                        ids += end
+                        first = len(ids) % width or width
+                        at = [0, *range(first, len(ids) + 1, width)]
+                        for n, (x, y) in enumerate(zip(at, at[1:])):
+                            one = ids[x:y]
+                            for c, v in zip(cols, (doc, n, x // 4, (y - x) // 4, zlib.crc32(one), one)):
+                                c.append(v)
+                    out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if with_ids:
+                        out, names = [*out, pa.array(cols[5], pa.binary())], [*names, "ids"]
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+        finally:
+            enc.forget()
+    return handed_back(run)
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY,

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import columns_of, smallest, stored, text_hash, text_batches
+from .common import columns_of, handed_back, smallest, stored, text_hash, text_batches
 
 BUCKETS, DIM, FILTERS = 1 << 15, 16, 12
 WIDTHS = (1, 2, 3)
@@ -186,7 +186,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_row
               .union(smallest(marked.where("toxic = 0"), few[0], "doc_id")))
     one = (docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic")
            .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
-           .select("doc_id", "toxic", "first.text").mapInArrow(_word_lists, "doc_id long, toxic int, ids binary"))
+           .select("doc_id", "toxic", "first.text").mapInArrow(handed_back(_word_lists), "doc_id long, toxic int, ids binary"))
     one = stored(one, "toxic-words")
     sizes = one.select("doc_id", "toxic", (F.octet_length("ids") / (4 + 4 * len(PREFIXES))).cast("long").alias("words"))
     room, taken = {0: words // 2, 1: words // 2}, []
@@ -245,7 +245,7 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
         net.fit(texts, y)
     keys = ["lang", "text_hash"] if row_keys else []
     rows = docs.select("doc_id", "text", "lang", *[text_hash().alias(c) for c in keys[1:]])
-    rows = rows.mapInArrow(_scored(net), f"doc_id long, lang string, {'text_hash string, ' if row_keys else ''}logit double")
+    rows = rows.mapInArrow(handed_back(_scored(net)), f"doc_id long, lang string, {'text_hash string, ' if row_keys else ''}logit double")
     out = rows.withColumn("held_out", held_out(F.col("doc_id")))
     if net is None:
         return out.select("doc_id", *keys, "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"),

@@ -8,6 +8,7 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -599,6 +600,18 @@ def test_bpe_memo_is_small_and_bounded():
     assert (memo.keys.nbytes + memo.size.nbytes + memo.first.nbytes + memo.ids.nbytes) / len(memo.keys) < 50
 
 
+def test_bpe_memos_go_when_a_task_ends():
+    texts = ["some words and some more words", None, "more words"]
+    ids = pa.array([1, 2, 3], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["doc_id", "text"])
+    for path, run in ((bpe.VOCABULARY, bpe._encoded(bpe.VOCABULARY, bpe.public_tokenizers.PATTERN)),
+                      (packing.VOCABULARY, packing._cut(packing.VOCABULARY, 1024, True))):
+        enc = bpe.encoder(path, bpe.public_tokenizers.PATTERN)
+        first = [b.to_pylist() for b in run(iter([batch]))]
+        assert len(enc.pieces.keys) == len(enc.runs.keys) == 0
+        assert [b.to_pylist() for b in run(iter([batch]))] == first  # the next task begins with empty ones
+
+
 def test_bpe_query(spark, docs, no_docs, texts, library):
     _, own = library
     for r in bpe.decode(bpe.encode(docs)).collect():
@@ -640,6 +653,20 @@ def test_repeats(docs, no_docs, texts, least, gram, group):
     assert repeats.without_repeats(no_docs).count() == 0
 
 
+def test_repeated_starts_memory():
+    data = np.random.default_rng(5).integers(97, 123, 300_000, np.uint8).tobytes()
+    strings = [data[i:i + 700] for i in range(0, len(data), 350)]
+    size = sum(map(len, strings))
+    repeats.repeated_starts(strings[:10], 400)
+    tracemalloc.start()
+    try:
+        repeats.repeated_starts(strings, 400)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 65 * size
+
+
 def test_repeated_starts():
     rng = random.Random(12)
     for _ in range(60):
